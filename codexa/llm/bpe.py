@@ -30,7 +30,7 @@ from codexa.llm.common import int_lists, slices, with_column
 
 END = "</w>"
 #: Chunks that a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 700_000
 #: White space for Python's split() but not for the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -74,12 +74,10 @@ class SpeculativeBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self._chunks: dict[str, int] = {}
-        self._words: dict[str, list[int]] = {}
+        self._chunks: dict[str, int] = {}  # first place in _flat << 32 | tokens
+        self._words: dict[str, int] = {}  # as in _chunks
         self._flat = np.empty(1 << 20, np.uint32)
         self._used = 0
-        self._at: list[int] = [0]
-        self._bounds = np.zeros(1, np.int64)
 
     def _symbols(self, token: str) -> list[int]:
         body = token.removesuffix(END)
@@ -174,19 +172,27 @@ class SpeculativeBPE:
     def _learn(self, chunks: list[str]) -> None:
         parts = [self._split(c) for c in chunks]
         new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self._words]
-        self._words.update(zip(new, self.encode_words(new), strict=True))
-        get = self._words.__getitem__
-        flat = [t for p in parts for w in p for t in get(w)]
-        if self._used + len(flat) > len(self._flat):
-            self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), len(flat)), np.uint32)])
-        self._flat[self._used : self._used + len(flat)] = flat
-        at = self._used
+        self._keep(self._words, new, self.encode_words(new))
+        get, flat = self._words.__getitem__, self._flat
+        todo = []
         for c, p in zip(chunks, parts, strict=True):
-            self._chunks[c] = len(self._at) - 1
-            at += sum(len(get(w)) for w in p)
-            self._at.append(at)
+            if len(p) == 1:
+                self._chunks[c] = get(p[0])
+            else:
+                todo.append((c, [t for v in map(get, p) for t in flat[v >> 32 : (v >> 32) + (v & 0xFFFFFFFF)].tolist()]))
+        self._keep(self._chunks, [c for c, _ in todo], [ids for _, ids in todo])
+
+    def _keep(self, where: dict[str, int], names: list[str], ids: list[list[int]]) -> None:
+        sizes = [*map(len, ids)]
+        more = sum(sizes)
+        if self._used + more > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), more), np.uint32)])
+        self._flat[self._used : self._used + more] = np.fromiter((t for x in ids for t in x), np.uint32, more)
+        at = self._used
+        for name, n in zip(names, sizes, strict=True):
+            where[name] = at << 32 | n
+            at += n
         self._used = at
-        self._bounds = np.array(self._at, np.int64)
 
     def _pieces(self, text: str) -> Iterator[str | int]:
         """Stretches without special tokens, and the ids of those."""
@@ -231,8 +237,7 @@ class SpeculativeBPE:
         if "" in chunks:
             chunks = [c for c in chunks if c]
         which = np.fromiter(map(self._chunks.__getitem__, chunks), np.int64, len(chunks))
-        start, end = self._bounds[which], self._bounds[which + 1]
-        n = end - start
+        start, n = which >> 32, which & 0xFFFFFFFF
         stop = np.cumsum(n)
         return self._flat[np.repeat(start - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
 
@@ -247,20 +252,23 @@ def encoder(path: str) -> SpeculativeBPE:
     return SpeculativeBPE(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the token ids of each whole text (array of int) in column `ids`, which replaces one of that name.
 
-    A null text counts as empty and has no tokens; strings of special tokens in a text give those tokens. Rows keep
-    their other columns, whatever these are called; repeated rows stay repeated, an empty table stays empty.
+    A null text counts as empty and has no tokens; strings of special tokens in a text give those tokens. With
+    `decoded`, the ids are decoded again into a column of that name in the same pass. Rows keep their other columns,
+    whatever these are called; repeated rows stay repeated, an empty table stays empty.
     """
-    keep = docs.drop(ids) if ids in docs.columns else docs
-    schema = T.StructType([*keep.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    keep = docs.drop(*[c for c in (ids, decoded) if c in docs.columns])
+    coded = T.StructType([*keep.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    schema = T.StructType([*coded.fields, T.StructField(decoded, T.StringType(), False)]) if decoded else coded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for b in slices(batches, text):
+        for b in slices(batches, text, 4 << 20):
             got = bpe.encode_batch(b.column(text).to_pylist())
-            yield with_column(b, ids, int_lists(got), schema)
+            out = with_column(b, ids, int_lists(got), coded)
+            yield with_column(out, decoded, pa.array(map(bpe.decode, got), pa.string()), schema) if decoded else out
 
     return keep.mapInArrow(run, schema)
 
