@@ -8,8 +8,8 @@ adjacent pair is the encoding of its concatenation. For one pair, time is run ba
 of the two symbols at the border was formed last is split, and the pair is refused if the two symbols that met there
 would have merged before one of them became part of the token it is in.
 
-Words come from the tokenizer file's own normaliser and splitter; equal chunks between white space are encoded once for
-each Python worker, as long as its bounded cache holds them.
+Texts of Latin letters are split by a pattern for that range of characters, all others by the tokenizer file's own
+normaliser and splitter. Equal words are encoded once for each Python worker, as long as its bounded cache holds them.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from pyspark.sql import types as T
 from codexa.llm.common import int_lists, slices, with_column
 
 END = "</w>"
-#: Chunks that a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 700_000
-#: White space for Python's split() but not for the tokenizer.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Words that a worker remembers; beyond that it starts anew.
+CACHE_WORDS = 600_000
+#: In texts up to U+024F, NFC changes nothing, and letters, numbers and white space are these.
+_OUTSIDE = re.compile("[^\x00-\u024f]").search
+_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
+#: Marks words that are already in the vocabulary's byte alphabet.
+_CODED = "\0"
 _NEVER = np.int64(1 << 40)
 
 
@@ -63,19 +65,25 @@ class SpeculativeBPE:
             self.ranks[i, j] = rank, k
             if self.formed[k] < 0:
                 self.formed[k], self.left[k], self.right[k] = rank, i, j
+        self._made = np.array([k for _, k in sorted(self.ranks.values())], np.int64)
         keys = np.array([a << 20 | b for a, b in self.ranks], np.int64)
         order = np.argsort(keys)
         self._keys, self._ranks = keys[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         #: Only tokens that are the encoding of their own string are proposed.
         self._propose = {s: i for s, i in self.vocab.items() if self.formed[i] < 0 or self.merge(self._symbols(s)) == [i]}
-        self.longest = max(len(s.removesuffix(END)) for s in self._propose)
+        self._reach: dict[str, int] = {}  # the length of the longest token by its first two letters
+        for s in self._propose:
+            body = s.removesuffix(END)
+            self._reach[body[:2]] = max(len(body), self._reach.get(body[:2], 1))
         self._pairs: dict[int, bool] = {}
         self.exact_words = self.words = 0
         self._forget()
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self._letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
     def _forget(self) -> None:
-        self._chunks: dict[str, int] = {}  # first place in _flat << 32 | tokens
-        self._words: dict[str, int] = {}  # as in _chunks
+        self._words: dict[str, int] = {}  # first place in _flat << 32 | tokens
         self._flat = np.empty(1 << 20, np.uint32)
         self._used = 0
 
@@ -106,15 +114,55 @@ class SpeculativeBPE:
                     heapq.heappush(todo, (m[0], x, m[1], ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
+    def merge_many(self, words: list[list[int]], most: int = 20) -> list[list[int]]:
+        """merge() of each word; those of up to `most` symbols step by step side by side."""
+        out = [ids if len(ids) < 2 else self.merge(ids) if len(ids) > most else [] for ids in words]
+        todo = np.array([i for i, ids in enumerate(words) if 2 <= len(ids) <= most], np.int64)
+        if not len(todo):
+            return out
+        table = np.full((len(todo), most + 1), -1, np.int64)
+        for row, i in zip(table, todo.tolist(), strict=True):
+            row[: len(words[i])] = words[i]
+        ranks = self._rank(table[:, :-1], table[:, 1:])
+        places = np.arange(most + 1)
+        while len(todo):
+            best = ranks.argmin(1)
+            lines = np.arange(len(todo))
+            rank = ranks[lines, best]
+            done = rank == _NEVER
+            if done.any():
+                for i, row in zip(todo[done].tolist(), table[done].tolist(), strict=True):
+                    out[i] = [t for t in row if t >= 0]
+                todo, table, ranks, best, rank = (v[~done] for v in (todo, table, ranks, best, rank))
+                lines = np.arange(len(todo))
+                if not len(todo):
+                    break
+            table[lines, best] = self._made[rank]
+            take = np.minimum(places + (places > best[:, None]), most)
+            table = np.take_along_axis(table, take, 1)
+            table[:, most] = -1
+            ranks = np.take_along_axis(ranks, np.minimum(take[:, :-1], most - 1), 1)
+            ranks[:, most - 1] = _NEVER
+            before = np.maximum(best - 1, 0)
+            ranks[lines, best] = self._rank(table[lines, best], table[lines, best + 1])
+            ranks[lines, before] = self._rank(table[lines, before], table[lines, before + 1])
+        return out
+
+    def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of merging x and y; _NEVER where they don't merge."""
+        key = np.where((x < 0) | (y < 0), -1, x << 20 | y)
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._ranks[at], _NEVER)
+
     def _greedy(self, word: str) -> list[int]:
-        get, n, at, out, longest = self._propose.get, len(word), 0, [], self.longest
+        get, reach, n, at, out = self._propose.get, self._reach.get, len(word), 0, []
         while at < n:
-            end = min(n, at + longest)
-            if end == n:
+            end = at + reach(word[at : at + 2], 1)
+            if end >= n:
                 if (t := get(word[at:] + END)) is not None:
                     out.append(t)
                     break
-                end -= 1
+                end = n - 1
             while (t := get(word[at:end])) is None:
                 end -= 1
             out.append(t)
@@ -127,9 +175,7 @@ class SpeculativeBPE:
         x, y = a.astype(np.int64), b.astype(np.int64)
         over_x, over_y = np.full(len(a), _NEVER), np.full(len(a), _NEVER)
         while len(todo):
-            key = x << 20 | y
-            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            rank = np.where(self._keys[at] == key, self._ranks[at], _NEVER)
+            rank = self._rank(x, y)
             bad = (rank < over_x) & (rank <= over_y)
             good[todo[bad]] = False
             fx, fy = self.formed[x], self.formed[y]
@@ -158,88 +204,65 @@ class SpeculativeBPE:
                 for i, ok in zip(new.tolist(), self.compatible(codes[new] >> 20, codes[new] & 0xFFFFF).tolist(), strict=True):
                     known[i] = self._pairs[int(codes[i])] = ok
             failing = inner[~np.array(known, bool)[back]]
-            for i in np.unique(np.searchsorted(np.cumsum(sizes), failing, side="right")).tolist():
-                found[i] = self.merge(self._symbols(words[i] + END))
-                self.exact_words += 1
+            wrong = np.unique(np.searchsorted(np.cumsum(sizes), failing, side="right")).tolist()
+            for i, ids in zip(wrong, self.merge_many([self._symbols(words[i] + END) for i in wrong]), strict=True):
+                found[i] = ids
+            self.exact_words += len(wrong)
         self.words += len(words)
         return found
 
-    def _split(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isprintable():
-            return _ASCII_WORDS(chunk.lower())
-        return [w for w, _ in self.pretokenize(self.normalize(chunk))]
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [self._split(c) for c in chunks]
-        new = [w for w in dict.fromkeys(w for p in parts for w in p) if w not in self._words]
-        self._keep(self._words, new, self.encode_words(new))
-        get, flat = self._words.__getitem__, self._flat
-        todo = []
-        for c, p in zip(chunks, parts, strict=True):
-            if len(p) == 1:
-                self._chunks[c] = get(p[0])
-            else:
-                todo.append((c, [t for v in map(get, p) for t in flat[v >> 32 : (v >> 32) + (v & 0xFFFFFFFF)].tolist()]))
-        self._keep(self._chunks, [c for c, _ in todo], [ids for _, ids in todo])
+    def _coded(self, word: str) -> str:
+        """In the vocabulary's byte alphabet."""
+        if word[0] == _CODED and len(word) > 1:
+            return word[1:]
+        if word.isascii() and word.isprintable():
+            return word
+        return "".join(map(self._letters.__getitem__, word.encode()))
 
-    def _keep(self, where: dict[str, int], names: list[str], ids: list[list[int]]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        ids = self.encode_words([*map(self._coded, words)])
         sizes = [*map(len, ids)]
         more = sum(sizes)
         if self._used + more > len(self._flat):
             self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), more), np.uint32)])
         self._flat[self._used : self._used + more] = np.fromiter((t for x in ids for t in x), np.uint32, more)
         at = self._used
-        for name, n in zip(names, sizes, strict=True):
-            where[name] = at << 32 | n
+        for word, n in zip(words, sizes, strict=True):
+            self._words[word] = at << 32 | n
             at += n
         self._used = at
 
-    def _pieces(self, text: str) -> Iterator[str | int]:
-        """Stretches without special tokens, and the ids of those."""
-        for s in self.split_special(text) if self.split_special and "<|" in text else (text,):
-            if s in self.special:
-                yield self.special[s]
-            elif s:
-                yield s
-
-    def _chunks_of(self, text: str) -> list[str]:
-        if _SEPARATORS.search(text):
-            return self.normalize(text).split(" ")
-        return text.split()
+    def _split(self, text: str) -> list[str]:
+        if _OUTSIDE(text) is None and _CODED not in text:
+            return _LATIN_WORDS(text.lower())
+        return [_CODED + w for w, _ in self.pretokenize(self.normalize(text))]
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; null counts as empty."""
-        if len(self._chunks) > CACHE_CHUNKS:
+        if len(self._words) > CACHE_WORDS:
             self._forget()
-        lists: list[list[str] | list[list[str] | int]] = []
+        parts: list[list[list[str] | int]] = []
         for t in texts:
-            if not t:
-                lists.append([])
-            elif "<|" in t and any(s in t for s in self.special):
-                lists.append([p if isinstance(p, int) else self._chunks_of(p) for p in self._pieces(t)])
+            if t and "<|" in t and self.split_special:
+                parts.append([self.special[s] if s in self.special else self._split(s) for s in self.split_special(t)])
             else:
-                lists.append(self._chunks_of(t))
-        plain = [x if not x or isinstance(x[0], str) else [c for p in x if not isinstance(p, int) for c in p] for x in lists]
-        have = self._chunks
-        if new := [c for c in set().union(*plain) if c and c not in have]:
+                parts.append([self._split(t or "")])
+        have = self._words
+        if new := [w for w in set().union(*[p for x in parts for p in x if not isinstance(p, int)]) if w not in have]:
             self._learn(new)
-        have, out = self._chunks, []
-        for x, p in zip(lists, plain, strict=True):
-            if x is p:
-                out.append(self._gather(x))
-            else:
-                out.append(np.concatenate([np.array([q], np.uint32) if isinstance(q, int) else self._gather(q) for q in x]))
+        out = []
+        for x in parts:
+            got = [np.array([p], np.uint32) if isinstance(p, int) else self._gather(p) for p in x]
+            out.append(got[0] if len(got) == 1 else np.concatenate(got))
         return out
 
-    def _gather(self, chunks: list[str]) -> np.ndarray:
-        if not chunks:
+    def _gather(self, words: list[str]) -> np.ndarray:
+        if not words:
             return np.empty(0, np.uint32)
-        if "" in chunks:
-            chunks = [c for c in chunks if c]
-        which = np.fromiter(map(self._chunks.__getitem__, chunks), np.int64, len(chunks))
+        which = np.fromiter(map(self._words.__getitem__, words), np.int64, len(words))
         start, n = which >> 32, which & 0xFFFFFFFF
         stop = np.cumsum(n)
-        return self._flat[np.repeat(start - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        return self._flat[np.repeat(start - stop + n, n) + np.arange(stop[-1])]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes when the file names no decoder: the tokens' strings, joined by blanks."""
@@ -278,14 +301,3 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     keep = df.drop(decoded) if decoded in df.columns else df
     schema = T.StructType([*keep.schema.fields, T.StructField(decoded, T.StringType(), False)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                col = part.column(ids).fill_null([]) if part.column(ids).null_count else part.column(ids)
-                flat, cuts = col.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *pa.compute.list_value_length(col).to_pylist()])
-                texts = [bpe.decode(flat[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield with_column(part, decoded, pa.array(texts, pa.string()), schema)
-
-    return keep.mapInArrow(run, schema)
