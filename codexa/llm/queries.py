@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.llm import arc_convert, bpe, langid, packing, quality_rules, simhash, substring
+from codexa.llm import arc_convert, bpe, langid, packing, quality_mil, quality_rules, simhash, substring
 from codexa.llm.common import fold
 
 
@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_mil.learn(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    scored = quality_mil.score(docs, model)
+    predicted = (F.col("score") >= quality_mil.ACCEPT_FROM).cast("int").alias("predicted")
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", predicted)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = arc_convert.convert(table(spark, sf_dir, "pages"), "page_id", "url", "html", payloads=False)
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_langid": op6_langid, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
+    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_langid": op6_langid, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
 
 
 OP2_SQL = """
@@ -78,4 +86,4 @@ FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op1_quality_mil": op1_quality_mil, "op2_warc": OP2_SQL}
