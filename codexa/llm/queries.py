@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.llm import arc_convert, bpe, langid, packing, quality_mil, quality_rules, simhash, substring
+from codexa.llm import arc_convert, bpe, jpeg, langid, packing, quality_mil, quality_rules, simhash, substring
 from codexa.llm.common import fold
 
 
@@ -49,6 +49,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media")
+    return jpeg.load(stored, tensors=False).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.where(fold("doc_id", 3) != 1))
@@ -71,7 +79,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_langid": op6_langid, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
+    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_jpeg": op5_jpeg, "op6_langid": op6_langid, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
 
 
 OP2_SQL = """
