@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.llm import arc_convert, bpe, jpeg, langid, packing, quality_mil, quality_rules, simhash, substring
+from codexa.llm import arc_convert, bpe, jpeg, langid, lm_mix, packing, quality_mil, quality_rules, simhash, substring
 from codexa.llm.common import fold
 
 
@@ -63,6 +63,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op7_lm_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_mix.score(docs, fold("doc_id", 10) != 0)
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -79,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_jpeg": op5_jpeg, "op6_langid": op6_langid, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
+    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_jpeg": op5_jpeg, "op6_langid": op6_langid, "op7_lm_mix": op7_lm_mix, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
 
 
 OP2_SQL = """
