@@ -301,3 +301,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     keep = df.drop(decoded) if decoded in df.columns else df
     schema = T.StructType([*keep.schema.fields, T.StructField(decoded, T.StringType(), False)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, min(500, b.num_rows - at))
+                texts = [bpe.decode(np.array(x or [], np.int64)) for x in part.column(ids).to_pylist()]
+                yield with_column(part, decoded, pa.array(texts, pa.string()), schema)
+
+    return keep.mapInArrow(run, schema)

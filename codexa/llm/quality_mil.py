@@ -24,6 +24,8 @@ SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 50_000
 ACCEPT_FROM = 0.3
 CODED, GATE, EPOCHS, BATCH, RATE, SEED = 32, 16, 14, 128, 0.004, 7
+#: Few labels are gone through more often, until there have been so many steps.
+LEAST_STEPS = 600
 
 _CLASSES = 14
 
@@ -114,7 +116,8 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> Attention | None:
     model = Attention({k: rng.normal(0, 1 / np.sqrt(max(1, s[0])), s) if len(s) > 1 else np.zeros(s) for k, s in size.items()})
     model.weights["c"], model.weights["a"] = rng.normal(0, 0.2, CODED), rng.normal(0, 0.2, GATE)
     first, second, step = {k: np.zeros(s) for k, s in size.items()}, {k: np.zeros(s) for k, s in size.items()}, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // BATCH)))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), BATCH):
             own = order[at : at + BATCH]
@@ -125,7 +128,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> Attention | None:
                 g = g + 1e-5 * model.weights[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                rate = RATE * (1 - epoch / EPOCHS)
+                rate = RATE * (1 - epoch / epochs)
                 model.weights[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return model
 
