@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import hot_safe_join, slices, written
+from codexa.llm.common import hot_safe_join, n_partitions, slices, written
 
 WORDS = 3
 SEED = 42
@@ -82,7 +82,8 @@ def _links(a: str, b: str) -> list[Column]:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """Step 1: links (u, v) that join all fingerprints (fp, each once) up to 2 bits apart."""
-    balls = fps.select("fp", F.explode(F.expr(_bits(64, 1))).alias("m")).select("fp", F.expr("fp ^ m").alias("variant"))
+    spread = fps.repartition(n_partitions(fps.sparkSession), "fp")
+    balls = spread.select("fp", F.explode(F.expr(_bits(64, 1))).alias("m")).select("fp", F.expr("fp ^ m").alias("variant"))
     met = balls.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").withColumn("u", F.array_min("fps"))
     return met.select("u", F.explode("fps").alias("v")).where("u <> v").select(*_links("u", "v")).distinct()
 
@@ -90,6 +91,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 def far_links(members: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Steps 2 and 3: links (u, v) between components of members (fp, comp) that hold fingerprints exactly 3 bits apart."""
     halves = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), _half(h).alias("v")) for h in (0, 1)])).alias("x")
+    members = members.repartition(n_partitions(members.sparkSession), "fp")
     index = members.select("fp", "comp", halves).select("fp", "comp", "x.h", "x.v").withColumn("key", F.expr("v | shiftleft(cast(h AS long), 32)"))
     counts = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "halves")
     crowded = counts.where(F.col("rows") > heavy).select("key", F.lit(True).alias("crowded"))
