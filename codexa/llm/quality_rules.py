@@ -145,13 +145,13 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
 
     Words are runs of characters outside U+0020 and U+0009 to U+000D. A null text has no words; then, as for any text of
     under MIN_WORDS words, the base rules fail. Repeated rows are judged each, alike. Columns of docs with the names
-    of the results are replaced. No rows give no rows. The features of all rows are written to the shared folder once;
-    the model is fitted over all of them.
+    of the results are replaced. No rows give no rows. The model is fitted over all rows. Without the text, their
+    features are written to the shared folder once; with it, they are measured again, as that moves no text.
     """
     docs = docs.drop(*[c for c in docs.columns if c in ("quality", "base_failed", "kept") or c.startswith("vote_")])
     rules = _rules()
     voted = measured(docs, text, keep_text).withColumns({f"vote_{r}": rules[r] for r in RULES})
-    table = written(voted, "rules")
+    table = voted if keep_text else written(voted, "rules")
     counts = table.groupBy(*[f"vote_{r}" for r in RULES]).count().collect()  # at most 3 ** len(RULES) rows
     model = fit([(tuple(r[:-1]), r[-1]) for r in sorted(counts)])
     start, up, down = _log_odds(model)
