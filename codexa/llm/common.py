@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -40,16 +41,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _delete(t.sparkSession, path)
+            t._scratch = None
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps now; it waits for collected references otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _scratch:
         try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 
@@ -81,7 +102,10 @@ def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame
     spark = left.sparkSession
     total = counts.agg(F.sum("rows")).first()[0] or 0
     hot = counts.where(F.col("rows") > max(total // HOT_KEYS, 64)).select(key)
-    hot = spark.createDataFrame(hot.collect(), hot.schema)  # fewer than HOT_KEYS rows
+    found = hot.collect()  # fewer than HOT_KEYS rows
+    if not found:
+        return left.join(right, key, how)
+    hot = spark.createDataFrame(found, hot.schema)
     is_hot = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     few = right.join(F.broadcast(hot), key, "left_semi")
     rest = right.join(F.broadcast(hot), key, "left_anti")

@@ -12,6 +12,9 @@ radius, these are shuffled, and fingerprints that meet on a variant are linked.
    components, meet on whole fingerprints at one and two bits (at most 2081 on a variant), which loses no link.
 
 Exact copies share a fingerprint and take part as one. Links are contracted to components by alternating star steps.
+
+With several seeds a text has as many fingerprints, and rows are linked if any pair of fingerprints of one seed is; each
+seed's round starts from the components of those before.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import hot_safe_join, n_partitions, slices, written
+from codexa.llm.common import discard, hot_safe_join, n_partitions, release, slices, written
 
 WORDS = 3
 SEED = 42
@@ -34,35 +37,46 @@ HEAVY = 1024
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint, as a signed integer: a bit is 1 if set in over half the shingles' hashes."""
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    """The 64-bit fingerprint, as a signed integer: a bit is 1 if set in over half the hashes of the shingles (each once, if distinct)."""
+    return _fingerprints(text, words, (seed,), distinct)[0]
+
+
+def _fingerprints(text: str | None, words: int, seeds: tuple[int, ...], distinct: bool) -> list[int]:
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
-    if len(w) <= words:
+        return [0] * len(seeds)
+    if words == 1:
+        shingles = w
+    elif len(w) <= words:
         shingles = [b" ".join(w)]
     else:
         stream = b" ".join(w)
         ends = np.cumsum([len(x) + 1 for x in w]).tolist()
         shingles = [stream[i : j - 1] for i, j in zip([0, *ends], ends[words - 1 :], strict=False)]
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), _BLOCK):
-        part = shingles[at : at + _BLOCK]
-        h = np.fromiter((digest(s, SEED) for s in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and fp (64 bits as a signed long) of each row; a null or wordless text has 0."""
+    if distinct:
+        shingles = [*dict.fromkeys(shingles)]
+    out, digest = [], xxhash.xxh64_intdigest
+    for seed in seeds:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(shingles), _BLOCK):
+            part = shingles[at : at + _BLOCK]
+            h = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, seeds: tuple[int, ...] = (SEED,), distinct: bool = False) -> DataFrame:
+    """id and fp0, fp1, ... (64 bits as a signed long, one a seed) of each row; a null or wordless text has 0."""
+    names = ["id", *(f"fp{k}" for k in range(len(seeds)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            fps = pa.array([fingerprint(t) for t in b.column(text).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], names=["id", "fp"])
+            fps = np.array([_fingerprints(t, words, seeds, distinct) for t in b.column(text).to_pylist()], np.int64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(seeds)))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _bits(width: int, most: int) -> str:
@@ -80,12 +94,12 @@ def _links(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Step 1: links (u, v) that join all fingerprints (fp, each once) up to 2 bits apart."""
-    spread = fps.repartition(n_partitions(fps.sparkSession), "fp")
-    balls = spread.select("fp", F.explode(F.expr(_bits(64, 1))).alias("m")).select("fp", F.expr("fp ^ m").alias("variant"))
-    met = balls.groupBy("variant").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").withColumn("u", F.array_min("fps"))
-    return met.select("u", F.explode("fps").alias("v")).where("u <> v").select(*_links("u", "v")).distinct()
+def near_links(members: DataFrame) -> DataFrame:
+    """Step 1: links (u, v) between components of members (fp, each once; comp) that join all fingerprints up to 2 bits apart."""
+    spread = members.repartition(n_partitions(members.sparkSession), "fp")
+    balls = spread.select("comp", F.explode(F.expr(_bits(64, 1))).alias("m"), "fp").select("comp", F.expr("fp ^ m").alias("variant"))
+    met = balls.groupBy("variant").agg(F.collect_set("comp").alias("comps")).where("size(comps) > 1").withColumn("u", F.array_min("comps"))
+    return met.select("u", F.explode("comps").alias("v")).where("u <> v").distinct()
 
 
 def far_links(members: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -122,32 +136,60 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         large = hot_safe_join(both, low.select("u", "low"), "u", low.select("u", "rows")).where("v > u").select(F.col("low").alias("u"), "v").where("u <> v").distinct()
         large = written(large, "links")
         down = large.select(F.col("v").alias("n"), F.col("u").alias("m"))  # towards smaller neighbours
-        low = down.groupBy("n").agg(F.min("m").alias("low"))
-        small = written(down.join(low, "n").select("low", F.explode(F.array("n", "m")).alias("v")).where("low <> v").select(F.col("low").alias("u"), "v").distinct(), "links")
+        lowest = down.groupBy("n").agg(F.min("m").alias("low"))
+        small = written(down.join(lowest, "n").select("low", F.explode(F.array("n", "m")).alias("v")).where("low <> v").select(F.col("low").alias("u"), "v").distinct(), "links")
         before, links = links, small
         same = before.count() == small.count() and small.join(before, ["u", "v"], "left_anti").limit(1).count() == 0
+        discard(before, low, large)
         if same:
             break
     else:
         raise RuntimeError(f"components have not settled in {most} steps")
-    return links.select(F.col("v").alias("node"), F.col("u").alias("comp"))
+    found = links.select(F.col("v").alias("node"), F.col("u").alias("comp"))
+    found._scratch = links._scratch
+    return found
+
+
+def _moved(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with comp replaced by the component that links join it to."""
+    links = written(links, "links")
+    if links.limit(1).count() == 0:
+        return members
+    found = components(links)
+    counts = written(members.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    out = hot_safe_join(members, found.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", counts)
+    moved = written(out.withColumn("comp", F.coalesce("_to", "comp")).select(members.columns), "members")
+    discard(members, counts, links, found)
+    return moved
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """id, fp and component_id (the smallest id reachable by links, itself included) of each row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, seeds: tuple[int, ...] = (SEED,), distinct: bool = False, heavy: int = HEAVY) -> DataFrame:
+    """id, fp (of the first seed) and component_id (the smallest id reachable by links, itself included) of each row.
 
     Fingerprints up to 3 bits apart are linked. Null and wordless texts have the fingerprint 0 and are linked like any
     other; rows with a null id take part and get their component's smallest id, or null if there is none; repeated rows
-    come out repeated; no rows give no rows.
+    come out repeated; no rows give no rows. Other columns play no part.
     """
-    rows = written(fingerprints(docs, id_col, text), "fingerprints")
-    each = written(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")), "each")
-    near = components(near_links(each.select("fp")))
-    members = written(each.join(near, each.fp == near.node, "left").select("fp", "rows", "least", F.coalesce("comp", "fp").alias("comp")), "members")
-    far = components(far_links(members.select("fp", "comp"), heavy))
-    joined = members.join(far, members.comp == far.node, "left").select("fp", "rows", "least", F.coalesce(far.comp, members.comp).alias("comp"))
+    fps = [f"fp{k}" for k in range(len(seeds))]
+    rows = written(fingerprints(docs, id_col, text, words, seeds, distinct), "fingerprints")
+    each = written(rows.groupBy("fp0").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")), "each")
+    members = written(rows.select(*fps).distinct().withColumn("comp", F.col("fp0")), "members") if fps[1:] else written(each.select("fp0", F.col("fp0").alias("comp")), "members")
+    for k, fp in enumerate(fps):
+        own = members.select(F.col(fp).alias("fp"), "comp").distinct()
+        least = own.groupBy("fp").agg(F.min("comp").alias("comp"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows"))
+        if k:  # one fingerprint of this seed in several components
+            least = written(least, "least")
+            several = least.where("comp <> most").select("fp", F.col("comp").alias("u"), "rows")
+            alike = hot_safe_join(own, several.select("fp", "u"), "fp", several.select("fp", "rows")).where("u <> comp").select("u", F.col("comp").alias("v"))
+            members = _moved(members, alike.unionByName(near_links(least.select("fp", "comp"))).distinct())
+            discard(least)
+        else:
+            members = _moved(members, near_links(least.select("fp", "comp")))
+        members = _moved(members, far_links(members.select(F.col(fp).alias("fp"), "comp").distinct(), heavy))
+        if fps[1:]:
+            release(docs.sparkSession)
+    joined = members.select("fp0", "comp").distinct().join(each, "fp0")
     joined = written(joined, "joined")
-    firsts = joined.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    firsts = written(firsts, "firsts")
-    named = hot_safe_join(joined.select("fp", "comp"), firsts.select("comp", "component_id"), "comp", firsts.select("comp", "rows")).select("fp", "component_id")
-    return hot_safe_join(rows, named, "fp", each.select("fp", "rows"))
+    firsts = written(joined.groupBy("comp").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows")), "firsts")
+    named = hot_safe_join(joined.select("fp0", "comp"), firsts.select("comp", "component_id"), "comp", firsts.select("comp", "rows")).select("fp0", "component_id")
+    return hot_safe_join(rows, named, "fp0", each.select("fp0", "rows")).select("id", F.col("fp0").alias("fp"), "component_id")

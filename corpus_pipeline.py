@@ -13,6 +13,9 @@ from codexa.llm import packing, quality_mil, quality_rules, simhash, substring
 from codexa.llm.common import fold, written
 from codexa.llm.queries import table, tokenizer_path
 
+#: Seeds of the near-duplicate stage's fingerprints.
+NEAR_SEEDS = (42, 43, 44, 45)
+
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised quality rules keep."""
@@ -20,17 +23,23 @@ def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def passes_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled ones among them, accepts."""
-    model = quality_mil.learn(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    """Documents that the classifier accepts.
+
+    It is learned from the labelled rows of the whole table of documents: few bad ones are left among those kept so far.
+    """
+    known = table(spark, sf_dir, "documents").where(fold("doc_id", 5) != 0)
+    model = quality_mil.learn(known, table(spark, sf_dir, "labels"))
     return quality_mil.score(docs, model, column="_quality").where(F.col("_quality") >= quality_mil.ACCEPT_FROM).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates.
 
+    Near copies whose five-word shingles overlap by 0.8 are about 8 bits apart as sums of word triples, too far for a
+    radius of 3, but about 4 as sums of distinct words; several seeds make up for pairs that one seed puts further apart.
     Of rows that repeat that id one stays; rows without an id all stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = simhash.near_duplicates(docs, words=1, seeds=NEAR_SEEDS, distinct=True)
     kept = groups.where("id = component_id").select("id").distinct()
     found = docs.join(kept, docs.doc_id == kept.id, "left_semi").dropDuplicates(["doc_id"])
     return found.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)

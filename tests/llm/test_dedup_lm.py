@@ -70,7 +70,7 @@ def test_components_of_planted_fingerprints(spark, heavy):
     fps += [fps[-1] ^ 0b111 << 40, fps[-2] ^ 1 << 3 ^ 1 << 50 ^ 1 << 63, fps[-3] ^ 0b111, 0, 1, (1 << 64) - 1]
     rng.shuffle(fps)
     each = spark.createDataFrame([(signed(f),) for f in set(fps)], "fp long")
-    near = simhash.components(simhash.near_links(each))
+    near = simhash.components(simhash.near_links(each.select("fp", F.col("fp").alias("comp"))))
     members = each.join(near, each.fp == near.node, "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
     far = simhash.components(simhash.far_links(members, heavy))
     got = members.join(far, members.comp == far.node, "left").select("fp", F.coalesce(far.comp, members.comp).alias("c")).collect()
@@ -100,6 +100,45 @@ def test_near_duplicate_tables(odd, odd_rows, empty, clashing):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_several_seeds(spark, odd, odd_rows):
+    """Rows are linked if the fingerprints of any seed are; close texts are found, others left alone."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(25):
+        base = prose(1000 + k, 150).split()
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(3):
+            changed = [*base]
+            for i in rng.sample(range(150), 3):
+                changed[i] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(changed)))
+    seeds, texts = (42, 43, 44), spark.createDataFrame(rows, "doc_id long, text string")
+    for table, given in ((texts, rows), (odd, [r[:2] for r in odd_rows])):
+        parent = list(range(len(given)))
+
+        def find(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        fps = [[simhash.fingerprint(t, 1, s, True) & (1 << 64) - 1 for s in seeds] for _, t in given]
+        for i in range(len(given)):
+            for j in range(i):
+                if any((a ^ b).bit_count() <= 3 for a, b in zip(fps[i], fps[j], strict=True)):
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+        least = {}
+        for i, (x, _) in enumerate(given):
+            if x is not None:
+                least[find(i)] = min(x, least.get(find(i), x))
+        want = sorted(str((x, least.get(find(i)))) for i, (x, _) in enumerate(given))
+        for heavy in (simhash.HEAVY, 1):
+            got = simhash.near_duplicates(table, words=1, seeds=seeds, distinct=True, heavy=heavy).collect()
+            assert sorted(str((r.id, r.component_id)) for r in got) == want
+    found = {r.component_id for r in simhash.near_duplicates(texts, words=1, seeds=seeds, distinct=True).collect()}
+    assert 25 <= len(found) <= 50 and len({x // 4 for x in found}) == 25
+
+
 def plain_cut(rows, window):
     first, out = {}, []
     key = lambda r: math.inf if r[0] is None else r[0]
