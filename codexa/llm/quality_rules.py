@@ -113,8 +113,12 @@ def _windows(words: str) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with the columns FEATURES (long), replacing any of these names; the text goes unless kept."""
-    docs = docs.drop(*[c for c in docs.columns if c in (*FEATURES, "_t", "_w", "_h", "_lines", "_s", "_p")])
+    """docs with the columns FEATURES (long), replacing any of these names; the text goes unless kept.
+
+    _row is there so that a filter on what follows from the features isn't pushed below them, where each mention of a
+    feature would be computed anew.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c in (*FEATURES, "_t", "_w", "_h", "_lines", "_s", "_p", "_row")])
     df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_w", F.array_remove(F.split("_t", WHITE), "")).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.trim(F.translate(x, "\t\x0b\x0c\r", "")) != ""))
     df = df.withColumn("_h", _windows("_w"))
@@ -136,6 +140,7 @@ def measured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Dat
         F.regexp_count("_t", F.lit(r"([!#*$%&])\1")).cast("long").alias("n_runs"),
         (F.length("_t") - F.length(F.replace("_t", F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
         _removed(F.col("_t"), ".!?").cast("long").alias("n_stops"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     return df
 
@@ -159,4 +164,4 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     for j, r in enumerate(RULES):
         odds = odds + F.when(F.col(f"vote_{r}") > 0, up[j]).when(F.col(f"vote_{r}") < 0, down[j]).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return table.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP_FROM))
+    return table.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP_FROM) & (F.col("_row") >= 0)).drop("_row")
