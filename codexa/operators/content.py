@@ -78,30 +78,44 @@ def chapters_without_audio(requests: DataFrame, books: DataFrame, verses: DataFr
     return listed.join(gaps, ["translation", "voice", "book"], "left").select("translation", "voice", F.col("book").alias("book_number"), F.coalesce("chapters_without_audio", F.array().cast("array<int>")).alias("chapters_without_audio"))
 
 
+def _missing(number: Column) -> Column:
+    return F.concat(F.lit("Book '"), number.cast("string"), F.lit("' not found."))
+
+
+def with_prev(rows: DataFrame, info: DataFrame, canon: DataFrame) -> DataFrame:
+    """rows (translation, book_number, alias, chapter_number) with prev_excerpt and prev_error."""
+    before = canon.select((F.col("number") + 1).alias("book_number"), F.col("code1").alias("_alias"), F.lit(True).alias("_in_canon"))
+    listed = info.select("translation", (F.col("book_number") + 1).alias("book_number"), F.col("chapters_count").cast("string").alias("_count"), F.lit(True).alias("_listed"))
+    out = rows.join(F.broadcast(before), "book_number", "left").join(listed, ["translation", "book_number"], "left")
+    inside, first, unknown = F.col("chapter_number") > 1, F.col("book_number") == 1, F.col("_in_canon").isNull()
+    text = F.when(inside, F.concat("alias", F.lit(" "), (F.col("chapter_number") - 1).cast("string"))).when(first, "").when(unknown, None).when(F.col("_listed"), F.concat("_alias", F.lit(" "), F.coalesce("_count", F.lit("None")))).otherwise("")
+    error = F.when(~inside & ~first & unknown, _missing(F.col("book_number") - 1))
+    return out.withColumns({"prev_excerpt": text, "prev_error": error}).drop("_alias", "_in_canon", "_count", "_listed")
+
+
+def with_next(rows: DataFrame, canon: DataFrame) -> DataFrame:
+    """rows (book_number, alias, chapters_count, chapter_number) with next_excerpt and next_error."""
+    after = canon.select((F.col("number") - 1).alias("book_number"), F.col("code1").alias("_alias"), F.lit(True).alias("_in_canon"))
+    out = rows.join(F.broadcast(after), "book_number", "left")
+    inside, last, unknown = F.coalesce(F.col("chapter_number") < F.col("chapters_count"), F.lit(False)), F.col("book_number") == LAST_BOOK, F.col("_in_canon").isNull()
+    text = F.when(inside, F.concat("alias", F.lit(" "), (F.col("chapter_number") + 1).cast("string"))).when(last, "").when(F.coalesce("_alias", F.lit("")) == "", F.when(~unknown, "")).otherwise(F.concat("_alias", F.lit(" 1")))
+    error = F.when(~inside & ~last & unknown, _missing(F.col("book_number") + 1))
+    return out.withColumns({"next_excerpt": text, "next_error": error}).drop("_alias", "_in_canon")
+
+
 def prev_excerpt(chapters: DataFrame, info: DataFrame, canon: DataFrame) -> DataFrame:
     """chapters (translation, book_number, chapter_number) with prev_excerpt, '' at the start, and error where the canon lacks the neighbour.
 
     At a first chapter: the previous book's last chapter over all translations, '' where the translation doesn't list it.
     """
-    own = info.select("translation", "book_number", "alias", "chapters_count")
-    before = canon.select((F.col("number") + 1).alias("book_number"), F.col("code1").alias("before_alias"), F.lit(True).alias("in_canon"))
-    listed = own.select("translation", (F.col("book_number") + 1).alias("book_number"), F.col("chapters_count").cast("string").alias("before_count"), F.lit(True).alias("listed"))
-    out = chapters.join(own, ["translation", "book_number"]).join(F.broadcast(before), "book_number", "left").join(listed, ["translation", "book_number"], "left")
-    inside, first = F.col("chapter_number") > 1, F.col("book_number") == 1
-    text = F.when(inside, F.concat("alias", F.lit(" "), (F.col("chapter_number") - 1).cast("string"))).when(first, "").when(F.col("in_canon").isNull(), None).when(F.col("listed"), F.concat("before_alias", F.lit(" "), F.coalesce("before_count", F.lit("None")))).otherwise("")
-    error = F.when(~inside & ~first & F.col("in_canon").isNull(), F.concat(F.lit("Book '"), (F.col("book_number") - 1).cast("string"), F.lit("' not found.")))
-    return out.select("translation", "book_number", "chapter_number", text.alias("prev_excerpt"), error.alias("error"))
+    own = chapters.join(info.select("translation", "book_number", "alias"), ["translation", "book_number"])
+    return with_prev(own, info, canon).select("translation", "book_number", "chapter_number", "prev_excerpt", F.col("prev_error").alias("error"))
 
 
 def next_excerpt(chapters: DataFrame, info: DataFrame, canon: DataFrame) -> DataFrame:
     """The same for next_excerpt: chapter 1 of the next book in the canon, whether the translation lists it or not."""
-    own = info.select("translation", "book_number", "alias", "chapters_count")
-    after = canon.select((F.col("number") - 1).alias("book_number"), F.col("code1").alias("after_alias"), F.lit(True).alias("in_canon"))
-    out = chapters.join(own, ["translation", "book_number"]).join(F.broadcast(after), "book_number", "left")
-    inside, last = F.col("chapter_number") < F.col("chapters_count"), F.col("book_number") == LAST_BOOK
-    text = F.when(inside, F.concat("alias", F.lit(" "), (F.col("chapter_number") + 1).cast("string"))).when(last, "").when(F.coalesce("after_alias", F.lit("")) == "", F.when(F.col("in_canon"), "")).otherwise(F.concat("after_alias", F.lit(" 1")))
-    error = F.when(~F.coalesce(inside, F.lit(False)) & ~last & F.col("in_canon").isNull(), F.concat(F.lit("Book '"), (F.col("book_number") + 1).cast("string"), F.lit("' not found.")))
-    return out.select("translation", "book_number", "chapter_number", text.alias("next_excerpt"), error.alias("error"))
+    own = chapters.join(info.select("translation", "book_number", "alias", "chapters_count"), ["translation", "book_number"])
+    return with_next(own, canon).select("translation", "book_number", "chapter_number", "next_excerpt", F.col("next_error").alias("error"))
 
 
 def translation_lookup(requests: DataFrame, translations: DataFrame) -> DataFrame:
@@ -181,12 +195,9 @@ def excerpts(requests: DataFrame, tables, base_url: str = "") -> tuple[DataFrame
     by_verse = codes.join(n, codes.code == n.translation_verse).select(*key, *n.columns)
     by_title = titles.select(*key, "title_code").join(n, F.col("title_code") == n.translation_title).select(*key, *n.columns)
     notes = by_verse.unionByName(by_title).dropDuplicates([*key, "note_code"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("note_code").alias("code"), F.col("note_number").alias("number"), F.col("note_text").alias("text"), F.col("translation_verse").alias("verse_code"), F.col("translation_title").alias("title_code"), "position_text", "position_html"))).alias("notes"))
-    chapters = found.select("translation", "book_number", "chapter_number").distinct()
-    before = prev_excerpt(chapters, info, tables.bible_books).withColumnRenamed("error", "prev_error")
-    after = next_excerpt(chapters, info, tables.bible_books).withColumnRenamed("error", "next_error")
     files = tables.audio_files.select("translation_alias", "voice_alias", F.col("book").alias("book_number"), F.col("chapter").alias("chapter_number"), F.lit(True).alias("has_file")).distinct()
-    place = ["translation", "book_number", "chapter_number"]
-    whole = found.join(nested, key, "left").join(title_rows, key, "left").join(notes, key, "left").join(before, place, "left").join(after, place, "left")
+    guided = with_next(with_prev(found, info, tables.bible_books), tables.bible_books)
+    whole = guided.join(nested, key, "left").join(title_rows, key, "left").join(notes, key, "left")
     whole = whole.join(t, "translation", "left").join(wanted, ["voice", "translation"], "left").join(files, ["translation_alias", "voice_alias", "book_number", "chapter_number"], "left")
     tr = F.col("translation").cast("string")
     error = (
@@ -199,10 +210,11 @@ def excerpts(requests: DataFrame, tables, base_url: str = "") -> tuple[DataFrame
     )
     link = S.audio_link(base_url, F.col("translation_alias"), F.col("voice_alias"), F.col("book_number"), F.col("chapter_number"), F.col("has_file"))
     whole = whole.withColumns({"part_error": error, "audio_link": link, "titles": F.coalesce("titles", F.array().cast(title_rows.schema["titles"].dataType)), "notes": F.coalesce("notes", F.array().cast(notes.schema["notes"].dataType))})
-    by_request = whole.groupBy("request_id", "excerpt").agg(F.min_by("part_error", F.when(F.col("part_error").isNotNull(), F.coalesce("part_index", F.lit(-1)))).alias("error"), F.count("part_index").alias("n_parts"), F.max(F.col("start_verse").isNotNull()).alias("ranged"), F.min_by(F.concat("book_name", F.lit(" "), F.col("chapter_number").cast("string")), "part_index").alias("one"))
+    first_error = F.min_by("part_error", F.when(F.col("part_error").isNotNull(), F.coalesce("part_index", F.lit(-1))))
+    by_request = whole.groupBy("request_id", "excerpt").agg(first_error.alias("error"), F.count("part_index").alias("n_parts"), F.max(F.col("start_verse").isNotNull()).alias("ranged"), F.min_by(F.concat("book_name", F.lit(" "), F.col("chapter_number").cast("string")), "part_index").alias("one"))
     good = F.col("error").isNull()
     titled = by_request.select("request_id", "n_parts", F.when(good, F.when(F.col("n_parts") == 1, F.col("one")).otherwise(F.concat(F.lit("Excerpt "), F.col("excerpt")))).alias("title"), F.when(good, (F.col("n_parts") == 1) & ~F.col("ranged")).alias("is_single_chapter"), "error")
-    shown = whole.join(titled.where("error IS NULL").select("request_id"), "request_id", "left_semi")
+    shown = whole.withColumn("_error", first_error.over(W.partitionBy("request_id"))).where("_error IS NULL")
     book = F.struct(F.col("book_code").alias("code"), F.col("book_number").alias("number"), F.col("alias"), F.col("book_name").alias("name"), "chapters_count").alias("book")
     return titled, shown.select("request_id", "part_index", book, "prev_excerpt", "next_excerpt", "chapter_number", "audio_link", "verses", "titles", "notes")
 
