@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import threading
 from datetime import date, datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from codexa.operators import content, media, sync, telemetry
+from codexa.operators.cache import TimedCache
 from codexa.sources import media as media_source
-from codexa.sources.payload import Settings, env_int, env_required, read_payload
+from codexa.sources.payload import Settings, env_int, env_required, fetch_payload, json_rows, read_payload
 from codexa.sources.tables import CONTENT, DDL, schema
 
 
@@ -165,6 +168,43 @@ def test_payload(spark, tmp_path):
         read_payload(spark, str(tmp_path / "bad.json"))["translations"].collect()
 
 
+def test_fetching(spark, tmp_path):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            good = self.path == "/api/data?translation=a+b" and self.headers["X-API-Key"] == "k"
+            self.send_response(200 if good else 500)
+            self.end_headers()
+            self.wfile.write(b'{"languages": [{"alias": "en", "name_en": "E", "name_national": "E"}]}' if good else b"x" * 900)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    path = fetch_payload(base, str(tmp_path / "p.json"), "a b", "k")
+    rows = read_payload(spark, path)["languages"]
+    assert [r.json for r in json_rows(rows.withColumn("x", F.lit(None).cast("int"))).collect()] == ['{"alias":"en","name_en":"E","name_national":"E","x":null}']
+    with pytest.raises(RuntimeError, match=r"500: x{500}$"):
+        fetch_payload(base, str(tmp_path / "q.json"))
+    server.shutdown()
+
+
+def test_timed_cache(spark):
+    now, made = [0.0], []
+    cache = TimedCache(10, lambda: now[0])
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    first = cache.get("f", make, a=1, b=2)
+    assert cache.get("f", make, b=2, a=1) is first and first.is_cached and first.count() == 3
+    cache.get("f", make, a=2, b=2)
+    now[0] = 10.0
+    assert cache.get("f", make, a=1, b=2) is not first and len(made) == 3 and cache.clear() == 2 and cache.clear() == 0
+
+
 def test_settings(monkeypatch):
     monkeypatch.setenv("CODEXA_DB_PORT", "x")
     assert Settings.from_env().port == 3306 and env_int("CODEXA_DB_PORT", 5) == 5
