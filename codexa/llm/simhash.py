@@ -96,7 +96,7 @@ def _links(a: str, b: str) -> list[Column]:
 
 def near_links(members: DataFrame) -> DataFrame:
     """Step 1: links (u, v) between components of members (fp, each once; comp) that join all fingerprints up to 2 bits apart."""
-    spread = members.repartition(n_partitions(members.sparkSession), "fp")
+    spread = members.repartition(n_partitions(members.sparkSession), F.xxhash64("fp"))
     balls = spread.select("comp", F.explode(F.expr(_bits(64, 1))).alias("m"), "fp").select("comp", F.expr("fp ^ m").alias("variant"))
     met = balls.groupBy("variant").agg(F.collect_set("comp").alias("comps")).where("size(comps) > 1").withColumn("u", F.array_min("comps"))
     return met.select("u", F.explode("comps").alias("v")).where("u <> v").distinct()
@@ -105,7 +105,7 @@ def near_links(members: DataFrame) -> DataFrame:
 def far_links(members: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Steps 2 and 3: links (u, v) between components of members (fp, comp) that hold fingerprints exactly 3 bits apart."""
     halves = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), _half(h).alias("v")) for h in (0, 1)])).alias("x")
-    members = members.repartition(n_partitions(members.sparkSession), "fp")
+    members = members.repartition(n_partitions(members.sparkSession), F.xxhash64("fp"))
     index = members.select("fp", "comp", halves).select("fp", "comp", "x.h", "x.v").withColumn("key", F.expr("v | shiftleft(cast(h AS long), 32)"))
     counts = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "halves")
     crowded = counts.where(F.col("rows") > heavy).select("key", F.lit(True).alias("crowded"))
