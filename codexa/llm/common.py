@@ -93,14 +93,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(id_text(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull())
 
 
-def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left") -> DataFrame:
+def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left", total: int | None = None) -> DataFrame:
     """left joined with right (one row a key) where single keys may hold a large share of left.
 
-    counts: (key, rows of left), as a table that is cheap to read. Keys over 1/HOT_KEYS of all rows, fewer than
+    counts: (key, rows of left), as a table that is cheap to read; total: the sum of these rows, if known. Keys over 1/HOT_KEYS of all rows, fewer than
     HOT_KEYS by that very share, are looked up by broadcast; the others are shuffled.
     """
     spark = left.sparkSession
-    total = counts.agg(F.sum("rows")).first()[0] or 0
+    total = counts.agg(F.sum("rows")).first()[0] or 0 if total is None else total
     hot = counts.where(F.col("rows") > max(total // HOT_KEYS, 64)).select(key)
     found = hot.collect()  # fewer than HOT_KEYS rows
     if not found:

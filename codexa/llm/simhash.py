@@ -123,28 +123,35 @@ def far_links(members: DataFrame, heavy: int = HEAVY) -> DataFrame:
     return links.distinct()
 
 
+def _signature(links: DataFrame) -> tuple[int, int | None]:
+    """Equal for equal sets of links."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node and comp, the smallest node it can reach, of each node of links (u < v, each once).
 
     Alternates large-star and small-star steps (Kiveris and others, "Connected components in MapReduce and beyond",
     2014) until every node hangs at its smallest; each step's links are written, so the plan stays short.
     """
-    links = written(links, "links")
-    for _ in range(most):
+    links = links if getattr(links, "_scratch", None) else written(links, "links")
+    n, code = _signature(links)
+    for _ in range(most if n else 0):
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("rows")).withColumn("low", F.least("u", "low")), "lows")
-        large = hot_safe_join(both, low.select("u", "low"), "u", low.select("u", "rows")).where("v > u").select(F.col("low").alias("u"), "v").where("u <> v").distinct()
+        large = hot_safe_join(both, low.select("u", "low"), "u", low.select("u", "rows"), total=2 * n).where("v > u").select(F.col("low").alias("u"), "v").where("u <> v").distinct()
         large = written(large, "links")
         down = large.select(F.col("v").alias("n"), F.col("u").alias("m"))  # towards smaller neighbours
         lowest = down.groupBy("n").agg(F.min("m").alias("low"))
         small = written(down.join(lowest, "n").select("low", F.explode(F.array("n", "m")).alias("v")).where("low <> v").select(F.col("low").alias("u"), "v").distinct(), "links")
-        before, links = links, small
-        same = before.count() == small.count() and small.join(before, ["u", "v"], "left_anti").limit(1).count() == 0
-        discard(before, low, large)
-        if same:
+        discard(links, low, large)
+        links, before = small, (n, code)
+        n, code = _signature(links)
+        if (n, code) == before:
             break
     else:
-        raise RuntimeError(f"components have not settled in {most} steps")
+        if n:
+            raise RuntimeError(f"components have not settled in {most} steps")
     found = links.select(F.col("v").alias("node"), F.col("u").alias("comp"))
     found._scratch = links._scratch
     return found
@@ -152,14 +159,13 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 def _moved(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with comp replaced by the component that links join it to."""
-    links = written(links, "links")
-    if links.limit(1).count() == 0:
-        return members
     found = components(links)
+    if found.limit(1).count() == 0:
+        return members
     counts = written(members.groupBy("comp").agg(F.count(F.lit(1)).alias("rows")), "counts")
     out = hot_safe_join(members, found.select(F.col("node").alias("comp"), F.col("comp").alias("_to")), "comp", counts)
     moved = written(out.withColumn("comp", F.coalesce("_to", "comp")).select(members.columns), "members")
-    discard(members, counts, links, found)
+    discard(members, counts, found)
     return moved
 
 
