@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.llm import packing, quality_mil, quality_rules, simhash, substring
+from codexa.llm import overlap, packing, quality_mil, quality_rules, substring
 from codexa.llm.common import fold, written
 from codexa.llm.queries import table, tokenizer_path
 
-#: Seeds of the near-duplicate stage's fingerprints.
+#: Seeds of the near-duplicate stage's random orders.
 NEAR_SEEDS = (42, 43, 44, 45)
 
 
@@ -35,11 +35,11 @@ def passes_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates.
 
-    Near copies whose five-word shingles overlap by 0.8 are about 8 bits apart as sums of word triples, too far for a
-    radius of 3, but about 4 as sums of distinct words; several seeds make up for pairs that one seed puts further apart.
+    Linked are pairs of which 0.8 of the distinct five-word shingles are common, verified exactly. Fingerprints propose too
+    few of them: at 0.8 two 64-bit ones are about 10 bits apart, and only up to 3 can be met in the middle.
     Of rows that repeat that id one stays; rows without an id all stay.
     """
-    groups = simhash.near_duplicates(docs, words=1, seeds=NEAR_SEEDS, distinct=True)
+    groups = overlap.near_duplicates(docs, NEAR_SEEDS)
     kept = groups.where("id = component_id").select("id").distinct()
     found = docs.join(kept, docs.doc_id == kept.id, "left_semi").dropDuplicates(["doc_id"])
     return found.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
