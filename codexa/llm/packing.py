@@ -3,7 +3,7 @@
 Around the largest document left, the search enumerates the fillings of the rest of its sequence that no other filling
 dominates, tries the fullest first, and gives up a branch as soon as the waste so far exceeds what a better solution
 than the incumbent could afford. The incumbent is a best-fit-decreasing packing, and the search ends at the lower bound
-on sequences or after a fixed number of nodes.
+on sequences or after a number of nodes that grows with the sequences.
 
 Packing needs no shuffle: each task packs the pieces of its own rows in chunks of bounded size and carries the pieces of
 badly filled sequences into its next chunk, so a task leaves about one sequence part-filled.
@@ -11,7 +11,7 @@ badly filled sequences into its next chunk, so a task leaves about one sequence
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +26,11 @@ CAPACITY = 4096
 END_ID = 1
 #: Tokens that a task packs at once.
 CHUNK_TOKENS = 3 << 20
-#: Nodes of one search; beyond them the incumbent stands.
-NODES = 1500
-#: Fillings tried at one node.
-FILLINGS = 8
+#: Nodes of one search, and nodes more for each sequence of the incumbent: a dive needs one a sequence. Beyond them the incumbent stands.
+NODES, NODES_A_SEQUENCE = 1500, 4
+#: Fillings tried at one node where over FEW documents fit, and the leaves for each and the branches at each document of their search.
+#: A search that ends with nodes to spare is repeated with WIDER times as many, up to MOST_FILLINGS.
+FILLINGS, FEW, TRIES, BRANCHES, WIDER, MOST_FILLINGS = 8, 10, 6, 3, 4, 2048
 #: A chunk's sequences with more free tokens than this share of a sequence go on to the task's next chunk.
 CARRY_WASTE = 1 / 64
 
@@ -62,18 +63,16 @@ def dominated(small: tuple[int, ...], big: tuple[int, ...]) -> bool:
     return any(small[0] <= b and dominated(small[1:], tuple(sorted((*big[:i], b - small[0], *big[i + 1 :]), reverse=True))) for i, b in enumerate(big))
 
 
-def fillings(sizes: np.ndarray, counts: np.ndarray, gap: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated sets of up to three documents that fit into gap, the fullest first. sizes: ascending, each once."""
-    have = np.flatnonzero(counts[: np.searchsorted(sizes, gap, side="right")] > 0)
-    if not len(have):
-        return [()]
-    s, c = sizes[have], counts[have]
-    found = {(int(s[-1]),)}
+def _best_few(s: np.ndarray, c: np.ndarray, gap: int, most: int) -> list[tuple[int, ...]]:
+    """The fullest pairs, and the largest documents with the best pair below each."""
+    found = [(int(s[-1]),)]
+    at = np.arange(len(s))
     second = np.searchsorted(s, gap - s, side="right") - 1  # the largest partner that fits
-    ok = np.flatnonzero((second >= 0) & ((second < np.arange(len(s))) | (second == np.arange(len(s))) & (c > 1)))
+    second = np.where((second == at) & (c == 1), second - 1, second)
+    ok = np.flatnonzero((second >= 0) & (second <= at))
     for i in ok[np.argsort(-(s[ok] + s[second[ok]]), kind="stable")[:most]].tolist():
-        found.add((int(s[i]), int(s[second[i]])))
-    for i in range(len(s) - 1, max(-1, len(s) - 5), -1):  # a large one with the best pair below
+        found.append((int(s[i]), int(s[second[i]])))
+    for i in range(len(s) - 1, max(-1, len(s) - 1 - most // 2), -1):
         left = gap - s[i]
         low = s[: i + 1]
         low = low[low <= left]
@@ -84,9 +83,44 @@ def fillings(sizes: np.ndarray, counts: np.ndarray, gap: int, most: int = FILLIN
                 best = good[np.argmax(low[good] + low[third[good]])]
                 trio = tuple(sorted((int(s[i]), int(low[best]), int(low[third[best]])), reverse=True))
                 if all(trio.count(x) <= c[np.searchsorted(s, x)] for x in trio):
-                    found.add(trio)
-    ranked = sorted(found, key=lambda f: (-sum(f), len(f), f))
-    return [f for i, f in enumerate(ranked) if not any(g != f and dominated(f, g) for g in ranked[:i])][:most]
+                    found.append(trio)
+    return found
+
+
+def fillings(sizes: np.ndarray, counts: np.ndarray, gap: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
+    """Undominated sets of any number of documents that fit into gap, the fullest first. sizes: ascending, each once.
+
+    All of them where at most FEW documents fit; else `most`, of the best pairs and triples and of those that a depth-first
+    search finds in TRIES leaves for each wanted.
+    """
+    have = np.flatnonzero(counts[: np.searchsorted(sizes, gap, side="right")] > 0)
+    s, c = sizes[have].tolist(), counts[have].tolist()
+    few = sum(c) <= FEW
+    found = [] if few else _best_few(sizes[have], counts[have], gap, most)
+    chosen: list[int] = []
+    tries, branches_each = TRIES * most, BRANCHES * most // FILLINGS
+
+    def extend(at: int, gap: int) -> None:
+        nonlocal tries
+        i, branches = min(at, bisect_right(s, gap) - 1), 0
+        while i >= 0 and (few or branches < branches_each and tries > 0):
+            if c[i]:
+                branches += 1
+                c[i] -= 1
+                chosen.append(s[i])
+                extend(i, gap - s[i])
+                chosen.pop()
+                c[i] += 1
+            i -= 1
+        if not branches:
+            tries -= 1
+            if not any(c[: bisect_right(s, gap)]):  # else it could hold one more
+                found.append(tuple(chosen))
+
+    extend(len(s) - 1, gap)
+    ranked = sorted(set(found), key=lambda f: (-sum(f), len(f), f))
+    out = [f for i, f in enumerate(ranked) if len(f) > 4 or not any(len(g) <= 4 and dominated(f, g) for g in ranked[:i])]
+    return out if few else out[:most]
 
 
 def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
@@ -97,6 +131,18 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     least, total = lower_bound(lengths, capacity), sum(lengths)
     if len(best) == least:
         return best
+    nodes += NODES_A_SEQUENCE * len(best)
+    width = FILLINGS
+    while nodes > 0 and len(best) > least and width <= MOST_FILLINGS:
+        best, nodes = _search(lengths, capacity, best, least, total, nodes, width)
+        if len(lengths) <= FEW:  # no filling was left out
+            break
+        width *= WIDER
+    return best
+
+
+def _search(lengths: list[int], capacity: int, best: list[list[int]], least: int, total: int, nodes: int, width: int) -> tuple[list[list[int]], int]:
+    """The best packing found by branch and bound, and the nodes that it left over."""
     sizes, counts = np.unique(np.array(lengths, np.int64), return_counts=True)
     place = {int(v): i for i, v in enumerate(sizes)}
     taken: list[tuple[int, ...]] = []
@@ -106,7 +152,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
     def open_bin() -> tuple[Iterator[tuple[int, ...]], int]:
         big = int(sizes[np.flatnonzero(counts)[-1]])
         counts[place[big]] -= 1
-        out = fillings(sizes, counts, capacity - big)
+        out = fillings(sizes, counts, capacity - big, width)
         counts[place[big]] += 1
         return iter([(big, *f) for f in out]), len(taken)
 
@@ -137,7 +183,7 @@ def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list
             for i, n in enumerate(lengths):
                 spare.setdefault(n, []).append(i)
             best = [[spare[x].pop() for x in b] for b in taken]
-    return best
+    return best, nodes
 
 
 def _rows(done: list, part: int) -> pa.RecordBatch:
@@ -165,7 +211,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         def pack(last: bool) -> list[tuple]:
             nonlocal wait, sequence
             done, carry = [], []
-            for own in complete_bins([len(w[3]) for w in wait], capacity, NODES if last else NODES // 16):
+            for own in complete_bins([len(w[3]) for w in wait], capacity):
                 if not last and capacity - sum(len(wait[i][3]) for i in own) > capacity * CARRY_WASTE and len(carry) < len(wait) // 2:
                     carry += [wait[i] for i in own]
                     continue
