@@ -21,11 +21,10 @@ from codexa.llm.common import id_text, slices
 UNKNOWN = "und"
 SIZES = (3, 4)
 SLOT_BITS = 21  # three slots from one 64-bit hash
-#: Rows the filters are learned from, about, over all languages; only texts of up to SAMPLE_CHARS are taken.
-SAMPLE_ROWS = 5000
+#: Rows the filters are learned from, about, over all languages, and for each at least. Texts of over SAMPLE_CHARS are taken
+#: for languages that have too few others.
+SAMPLE_ROWS, LEAST_ROWS = 5000, 20
 SAMPLE_CHARS = 20_000
-#: At most so many languages are learned, the most frequent ones.
-MOST_LANGS = 64
 #: An n-gram belongs to a language that has it so often, and at least this share as often as the language that has it most.
 MIN_COUNT = 3
 MIN_SHARE = 0.35
@@ -37,7 +36,7 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 @dataclass(frozen=True)
 class Filters:
     langs: tuple[str, ...]
-    masks: np.ndarray  # of each slot; bit i is for langs[i]
+    masks: np.ndarray  # of each slot; bit i is for langs[i]; over 64 languages: (word, slot), bit i % 64 of word i // 64
     false_rate: np.ndarray
 
 
@@ -77,15 +76,16 @@ def fit(samples: list[tuple[str, str]]) -> Filters:
     for g, n in counts:
         np.maximum.at(most, back[at : at + len(g)], n / n.sum())
         at += len(g)
-    width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= bits)
-    masks, at = np.zeros(1 << SLOT_BITS, width), 0
+    width = next(t for bits, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= bits or bits == 64)
+    words = np.zeros((max(1, -(-len(langs) // 64)), 1 << SLOT_BITS), width)
+    at = 0
     for i, (g, n) in enumerate(counts):
         own = g[(n >= MIN_COUNT) & (n / n.sum() >= MIN_SHARE * most[back[at : at + len(g)]])]
         at += len(g)
         for s in _slots(own):
-            masks[s] |= width(1 << i)
-    filled = np.array([((masks >> width(i)) & width(1)).mean() for i in range(len(langs))])
-    return Filters(langs, masks, filled**3)
+            words[i // 64, s] |= width(1 << i % 64)
+    filled = np.array([((words[i // 64] >> width(i % 64)) & width(1)).mean() for i in range(len(langs))])
+    return Filters(langs, words[0] if len(words) == 1 else words, filled**3)
 
 
 def identify(model: Filters, text: str | None) -> tuple[str, float]:
@@ -94,29 +94,30 @@ def identify(model: Filters, text: str | None) -> tuple[str, float]:
         return UNKNOWN, 0.0
     h = grams(text)
     a, b, c = _slots(h)
-    found = model.masks[a] & model.masks[b] & model.masks[c]
+    found = model.masks[..., a] & model.masks[..., b] & model.masks[..., c]
     if model.masks.dtype == np.uint8:
         per_mask = np.bincount(found, minlength=256)
         hits = np.array([per_mask[(np.arange(256) >> i & 1) == 1].sum() for i in range(len(model.langs))])
     else:
-        hits = np.array([np.count_nonzero(found >> found.dtype.type(i) & found.dtype.type(1)) for i in range(len(model.langs))])
+        words, one = np.atleast_2d(found), found.dtype.type
+        hits = np.array([np.count_nonzero(words[i // 64] >> one(i % 64) & one(1)) for i in range(len(model.langs))])
     right = np.maximum(0.0, (hits / len(h) - model.false_rate) / (1 - model.false_rate))
     best = int(right.argmax())
     return model.langs[best], float(right[best] / right.sum()) if right.sum() else 0.0
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
-    """Filters from about SAMPLE_ROWS of rows, even over languages, chosen by hash of the id (texts of 1 to SAMPLE_CHARS)."""
-    rows = rows.where(F.col(lang).isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGS).collect()}
+    """Filters for all languages, from about SAMPLE_ROWS of rows, even over languages, chosen by hash of the id."""
+    rows = rows.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    short = F.length(text) <= SAMPLE_CHARS
+    counts = rows.groupBy(lang).agg(F.count(F.lit(1)), F.count(F.when(short, 1))).collect()
     if not counts:
         return fit([])
-    each = SAMPLE_ROWS // len(counts)
-    share = F.lit(0.0)
-    for x, n in counts.items():
-        share = F.when(F.col(lang) == x, min(1.0, each / n)).otherwise(share)
+    each = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
+    share = rows.sparkSession.createDataFrame([(x, each / (m if m >= each else n), m < each) for x, n, m in counts], "_of string, _share double, _long boolean")
     place = F.pmod(F.xxhash64(id_text(id_col)), F.lit(1 << 20)) / (1 << 20)
-    return fit([(r[0], r[1]) for r in rows.where(place < share).select(lang, text).collect()])
+    chosen = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_place"), short.alias("_short")).join(F.broadcast(share), F.col("_lang") == F.col("_of"))
+    return fit([(r[0], r[1]) for r in chosen.where("_place < _share AND (_short OR _long)").select("_lang", "_text").collect()])
 
 
 def predict(rows: DataFrame, model: Filters, text: str = "text") -> DataFrame:
