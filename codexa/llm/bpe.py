@@ -19,7 +19,9 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -31,11 +33,17 @@ from codexa.llm.common import int_lists, slices, with_column
 END = "</w>"
 #: Words that a worker remembers; beyond that it starts anew.
 CACHE_WORDS = 600_000
+#: Words of up to so many symbols are merged exactly in tables of that width; longer ones each alone.
+SIDE_BY_SIDE = (6, 9, 13, 20)
+#: Pairs of tokens that a worker remembers.
+PAIRS = 1_000_000
 #: In texts up to U+024F, NFC changes nothing, and letters, numbers and white space are these.
 _OUTSIDE = re.compile("[^\x00-\u024f]").search
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
 #: Marks words that are already in the vocabulary's byte alphabet.
 _CODED = "\0"
+#: A word's end where words are matched; not in the byte alphabet.
+_STOP = "\n"
 _NEVER = np.int64(1 << 40)
 
 
@@ -51,7 +59,11 @@ class SpeculativeBPE:
         self.normalize, self.pretokenize = lib.normalizer.normalize_str, lib.pre_tokenizer.pre_tokenize_str
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
+        special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.split_special = special.split if special else None
+        marked = all("<|" in s for s in self.special)  # then a quick look tells
+        self._has_special = (lambda t: "<|" in t) if marked and special else special.search if special else lambda t: False
+        self._lib_decode = lib.decode if spec.get("decoder") else None
         size = 1 + max([*self.vocab.values(), *self.special.values()])
         self.strings = np.empty(size, object)
         for s, i in [*self.vocab.items(), *self.special.items()]:
@@ -71,16 +83,23 @@ class SpeculativeBPE:
         self._keys, self._ranks = keys[order], np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         #: Only tokens that are the encoding of their own string are proposed.
         self._propose = {s: i for s, i in self.vocab.items() if self.formed[i] < 0 or self.merge(self._symbols(s)) == [i]}
-        self._reach: dict[str, int] = {}  # the length of the longest token by its first two letters
-        for s in self._propose:
-            body = s.removesuffix(END)
-            self._reach[body[:2]] = max(len(body), self._reach.get(body[:2], 1))
+        self._lengths = np.zeros(size, np.int64)  # with one for a word's end
+        self._longest = ahocorasick.Automaton()
+        for s, i in self._propose.items():
+            match = s.removesuffix(END) + (_STOP if s.endswith(END) else "")
+            self._longest.add_word(match, i)
+            self._lengths[i] = len(match)
+        self._longest.make_automaton()
         self._pairs: dict[int, bool] = {}
         self.exact_words = self.words = 0
         self._forget()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        self._letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+        self._letters = {b: chr(256 + i) for i, b in enumerate(others) if chr(b) != _STOP}
+        alphabet = [*map(chr, plain), *(chr(256 + i) for i in range(len(others)))]
+        self._symbol_of, self._last_symbol_of = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for c in alphabet:
+            self._symbol_of[ord(c)], self._last_symbol_of[ord(c)] = self.vocab.get(c, 0), self.vocab.get(c + END, 0)
 
     def _forget(self) -> None:
         self._words: dict[str, int] = {}  # first place in _flat << 32 | tokens
@@ -114,15 +133,39 @@ class SpeculativeBPE:
                     heapq.heappush(todo, (m[0], x, m[1], ids[x], ids[y]))
         return [i for i in ids if i >= 0]
 
-    def merge_many(self, words: list[list[int]], most: int = 20) -> list[list[int]]:
-        """merge() of each word; those of up to `most` symbols step by step side by side."""
-        out = [ids if len(ids) < 2 else self.merge(ids) if len(ids) > most else [] for ids in words]
-        todo = np.array([i for i, ids in enumerate(words) if 2 <= len(ids) <= most], np.int64)
-        if not len(todo):
-            return out
-        table = np.full((len(todo), most + 1), -1, np.int64)
-        for row, i in zip(table, todo.tolist(), strict=True):
-            row[: len(words[i])] = words[i]
+    def merge_many(self, words: list[list[int]]) -> list[list[int]]:
+        """merge() of each word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat, sizes = self._merged(np.array([t for w in words for t in w], np.int64), sizes)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if words else []
+
+    def _merged(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of each word of `sizes` symbols: the tokens of all, and how many each has. Words of about one length go side by side."""
+        first, out_sizes = np.cumsum(sizes) - sizes, sizes.copy()
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        low = 1
+        for most in SIDE_BY_SIDE:
+            own = np.flatnonzero((sizes > low) & (sizes <= most))
+            low = most
+            if len(own):
+                place = np.arange(most + 1)
+                table = np.where(place < sizes[own, None], symbols[np.minimum(first[own, None] + place, len(symbols) - 1)], -1)
+                rows += self._steps(own, table)
+        rows += [(np.array([i]), np.array([self.merge(symbols[first[i] : first[i] + sizes[i]].tolist())])) for i in np.flatnonzero(sizes > low).tolist()]
+        for which, table in rows:
+            out_sizes[which] = (table >= 0).sum(1)
+        at = np.cumsum(out_sizes) - out_sizes
+        out = np.empty(int(out_sizes.sum()), np.int64)
+        alone = np.flatnonzero(sizes == 1)
+        out[at[alone]] = symbols[first[alone]]
+        for which, table in rows:
+            held = table >= 0
+            out[(at[which, None] + np.arange(table.shape[1]))[held]] = table[held]
+        return out, out_sizes
+
+    def _steps(self, todo: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Merging of the words `todo`, a row each (-1 behind the last symbol), one merge a step: (words, rows) as they end."""
+        out, most = [], table.shape[1] - 1
         ranks = self._rank(table[:, :-1], table[:, 1:])
         places = np.arange(most + 1)
         while len(todo):
@@ -131,8 +174,7 @@ class SpeculativeBPE:
             rank = ranks[lines, best]
             done = rank == _NEVER
             if done.any():
-                for i, row in zip(todo[done].tolist(), table[done].tolist(), strict=True):
-                    out[i] = [t for t in row if t >= 0]
+                out.append((todo[done], table[done]))
                 todo, table, ranks, best, rank = (v[~done] for v in (todo, table, ranks, best, rank))
                 lines = np.arange(len(todo))
                 if not len(todo):
@@ -154,20 +196,14 @@ class SpeculativeBPE:
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], _NEVER)
 
-    def _greedy(self, word: str) -> list[int]:
-        get, reach, n, at, out = self._propose.get, self._reach.get, len(word), 0, []
-        while at < n:
-            end = at + reach(word[at : at + 2], 1)
-            if end >= n:
-                if (t := get(word[at:] + END)) is not None:
-                    out.append(t)
-                    break
-                end = n - 1
-            while (t := get(word[at:end])) is None:
-                end -= 1
-            out.append(t)
-            at = end
-        return out
+    def _proposed(self, joined: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest matches: tokens of all words, how many each word has, and the words that they don't cover."""
+        borders = np.cumsum(lengths)
+        found = np.fromiter(chain.from_iterable(self._longest.iter_long(joined)), np.int64).reshape(-1, 2)
+        ends, tokens = found[:, 0], found[:, 1]
+        of = np.searchsorted(borders, ends, side="right")
+        covered = np.bincount(of, self._lengths[tokens], len(lengths)).astype(np.int64)
+        return tokens, np.bincount(of, minlength=len(lengths)), np.flatnonzero(covered != lengths)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves each pair of tokens as it is, for all pairs at once."""
@@ -188,49 +224,64 @@ class SpeculativeBPE:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The tokens of each word (in the byte alphabet of the vocabulary)."""
-        found = [self._greedy(w) for w in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((t for f in found for t in f), np.int64, int(sizes.sum()))
-        if len(flat) > 1:
-            last = np.zeros(len(flat), bool)
-            last[np.cumsum(sizes) - 1] = True
-            inner = np.flatnonzero(~last[:-1])
-            codes, back = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
-            known = [self._pairs.get(c) for c in codes.tolist()]
-            new = np.array([i for i, k in enumerate(known) if k is None], np.int64)
-            if len(new):
-                if len(self._pairs) > 2_000_000:
-                    self._pairs.clear()
-                for i, ok in zip(new.tolist(), self.compatible(codes[new] >> 20, codes[new] & 0xFFFFF).tolist(), strict=True):
-                    known[i] = self._pairs[int(codes[i])] = ok
-            failing = inner[~np.array(known, bool)[back]]
-            wrong = np.unique(np.searchsorted(np.cumsum(sizes), failing, side="right")).tolist()
-            for i, ids in zip(wrong, self.merge_many([self._symbols(words[i] + END) for i in wrong]), strict=True):
-                found[i] = ids
-            self.exact_words += len(wrong)
-        self.words += len(words)
-        return found
-
-    def _coded(self, word: str) -> str:
-        """In the vocabulary's byte alphabet."""
-        if word[0] == _CODED and len(word) > 1:
-            return word[1:]
-        if word.isascii() and word.isprintable():
-            return word
-        return "".join(map(self._letters.__getitem__, word.encode()))
+        flat, sizes = self._encoded(_STOP.join([*words, ""]))
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] if words else []
+
+    def _encoded(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words of a string in which _STOP ends each, and how many each has."""
+        if not joined:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        stops = np.flatnonzero(points == ord(_STOP))
+        lengths = np.diff(stops, prepend=-1)
+        flat, sizes, uncovered = self._proposed(joined, lengths)
+        refused = np.zeros(len(lengths), bool)
+        refused[uncovered] = True
+        of = np.repeat(np.arange(len(lengths)), sizes)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        inner = inner[~refused[of[inner]]]
+        codes, back = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
+        refused[of[inner[~self._apart(codes)[back]]]] = True
+        symbols = self._symbol_of[points]
+        symbols[stops - 1] = self._last_symbol_of[points[stops - 1]]
+        merged, exact_sizes = self._merged(symbols[np.repeat(refused, lengths) & (points != ord(_STOP))], lengths[refused] - 1)
+        self.exact_words += len(exact_sizes)
+        self.words += len(lengths)
+        sizes = sizes.copy()
+        sizes[refused] = exact_sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        exact = np.repeat(refused, sizes)
+        out[~exact] = flat[~refused[of]]
+        out[exact] = merged
+        return out, sizes
+
+    def _apart(self, codes: np.ndarray) -> np.ndarray:
+        """compatible() of pairs of tokens (first << 20 | second), which a worker remembers."""
+        known = [*map(self._pairs.get, codes.tolist())]
+        new = np.array([i for i, k in enumerate(known) if k is None], np.int64)
+        if len(new):
+            if len(self._pairs) > PAIRS:
+                self._pairs.clear()
+            for i, ok in zip(new.tolist(), self.compatible(codes[new] >> 20, codes[new] & 0xFFFFF).tolist(), strict=True):
+                known[i] = self._pairs[int(codes[i])] = ok
+        return np.array(known, bool)
+
+    def _coded(self, words: list[str]) -> str:
+        """All words in the vocabulary's byte alphabet, each ended by _STOP."""
+        marked = [w[0] == _CODED and len(w) > 1 for w in words]
+        if any(marked):
+            return "".join(w[1:] + _STOP if m else self._coded([w]) for w, m in zip(words, marked, strict=True))
+        return _STOP.join([*words, ""]).encode().decode("latin-1").translate(self._letters)
 
     def _learn(self, words: list[str]) -> None:
-        ids = self.encode_words([*map(self._coded, words)])
-        sizes = [*map(len, ids)]
-        more = sum(sizes)
+        ids, sizes = self._encoded(self._coded(words))
+        more = len(ids)
         if self._used + more > len(self._flat):
             self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), more), np.uint32)])
-        self._flat[self._used : self._used + more] = np.fromiter((t for x in ids for t in x), np.uint32, more)
-        at = self._used
-        for word, n in zip(words, sizes, strict=True):
-            self._words[word] = at << 32 | n
-            at += n
-        self._used = at
+        self._flat[self._used : self._used + more] = ids
+        first = self._used + np.cumsum(sizes) - sizes
+        self._words.update(zip(words, (first << 32 | sizes).tolist(), strict=True))
+        self._used += more
 
     def _split(self, text: str) -> list[str]:
         if _OUTSIDE(text) is None and _CODED not in text:
@@ -241,31 +292,40 @@ class SpeculativeBPE:
         """Token ids of each text; null counts as empty."""
         if len(self._words) > CACHE_WORDS:
             self._forget()
-        parts: list[list[list[str] | int]] = []
+        words: list[str] = []
+        parts: list[list[tuple[bool, int]]] = []  # for each text: (True, a special token) and (False, words so far)
         for t in texts:
-            if t and "<|" in t and self.split_special:
-                parts.append([self.special[s] if s in self.special else self._split(s) for s in self.split_special(t)])
-            else:
-                parts.append([self._split(t or "")])
-        have = self._words
-        if new := [w for w in set().union(*[p for x in parts for p in x if not isinstance(p, int)]) if w not in have]:
+            parts.append([])
+            for piece in self.split_special(t) if t and self._has_special(t) else [t or ""]:
+                if piece in self.special:
+                    parts[-1].append((True, self.special[piece]))
+                else:
+                    words += self._split(piece)
+                    parts[-1].append((False, len(words)))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct, have = coded.dictionary.to_pylist(), self._words
+        if new := [w for w in distinct if w not in have]:
             self._learn(new)
-        out = []
+        which = np.fromiter(map(have.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if words else np.empty(0, np.int64)
+        start, n = which >> 32, which & 0xFFFFFFFF
+        cuts = np.concatenate([[0], np.cumsum(n)])
+        flat = self._flat[np.repeat(start - cuts[:-1], n) + np.arange(cuts[-1])]
+        out, at = [], 0
         for x in parts:
-            got = [np.array([p], np.uint32) if isinstance(p, int) else self._gather(p) for p in x]
+            got = []
+            for kind, p in x:
+                if kind:
+                    got.append(np.array([p], np.uint32))
+                else:
+                    got.append(flat[cuts[at] : cuts[p]])
+                    at = p
             out.append(got[0] if len(got) == 1 else np.concatenate(got))
         return out
 
-    def _gather(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.empty(0, np.uint32)
-        which = np.fromiter(map(self._words.__getitem__, words), np.int64, len(words))
-        start, n = which >> 32, which & 0xFFFFFFFF
-        stop = np.cumsum(n)
-        return self._flat[np.repeat(start - stop + n, n) + np.arange(stop[-1])]
-
     def decode(self, ids: np.ndarray) -> str:
-        """As the library decodes when the file names no decoder: the tokens' strings, joined by blanks."""
+        """As the library decodes: where the file names no decoder, the tokens' strings, joined by blanks."""
+        if self._lib_decode:
+            return self._lib_decode([int(i) for i in ids], skip_special_tokens=False)
         return " ".join(self.strings[ids].tolist())
 
 
