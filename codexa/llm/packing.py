@@ -3,10 +3,12 @@
 Around the largest document left, the search enumerates the fillings of the rest of its sequence that no other filling
 dominates, tries the fullest first, and gives up a branch as soon as the waste so far exceeds what a better solution
 than the incumbent could afford. The incumbent is a best-fit-decreasing packing, and the search ends at the lower bound
-on sequences or after a number of nodes that grows with the sequences.
+on sequences or after a number of nodes that grows with the sequences. The worst filled sequences are searched first, more
+of them each time, and all of them last.
 
-Packing needs no shuffle: each task packs the pieces of its own rows in chunks of bounded size and carries the pieces of
-badly filled sequences into its next chunk, so a task leaves about one sequence part-filled.
+Each task packs the pieces of its own rows in chunks of bounded size and carries the pieces of badly filled sequences into
+its next chunk; what is still badly filled at its end, about one sequence a task, is packed in a second round together with
+that of all other tasks. Only these pieces are shuffled.
 """
 
 from __future__ import annotations
@@ -18,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codexa.llm.bpe import encoder
-from codexa.llm.common import slices
+from codexa.llm.common import slices, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,6 +36,10 @@ NODES, NODES_A_SEQUENCE = 1500, 4
 FILLINGS, FEW, TRIES, BRANCHES, WIDER, MOST_FILLINGS = 8, 10, 6, 3, 4, 2048
 #: A chunk's sequences with more free tokens than this share of a sequence go on to the task's next chunk.
 CARRY_WASTE = 1 / 64
+#: The worst filled sequences that are searched first, and how many times as many next.
+WORST, WORST_WIDER = 16, 4
+#: Sequences of the second round are numbered from here.
+SECOND_ROUND = 1 << 62
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
@@ -123,22 +130,43 @@ def fillings(sizes: np.ndarray, counts: np.ndarray, gap: int, most: int = FILLIN
     return out if few else out[:most]
 
 
-def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Indices of the documents of each sequence; no sequence exceeds the capacity, each index occurs once."""
+def complete_bins(lengths: list[int], capacity: int, nodes: int = NODES, whole: bool = True) -> list[list[int]]:
+    """Indices of the documents of each sequence; no sequence exceeds the capacity, each index occurs once.
+
+    Unless whole, the search stays within the sequences that have more than CARRY_WASTE free.
+    """
     if not lengths:
         return []
     best = best_fit(lengths, capacity)
-    least, total = lower_bound(lengths, capacity), sum(lengths)
-    if len(best) == least:
-        return best
+    least, size = lower_bound(lengths, capacity), WORST
+    free = lambda own: capacity - sum(lengths[i] for i in own)
+    while len(best) > least:
+        best.sort(key=free, reverse=True)
+        most = len(best) if whole else sum(free(b) > capacity * CARRY_WASTE for b in best)
+        size = min(size, most)
+        own = [i for b in best[:size] for i in b]
+        found = _completed([lengths[i] for i in own], capacity, best[:size], own, nodes if size == len(best) else nodes // 8)
+        better = len(found) < size
+        best = found + best[size:]
+        if not better:
+            if size == most:
+                break
+            size *= WORST_WIDER
+    return best
+
+
+def _completed(lengths: list[int], capacity: int, bins: list[list[int]], names: list[int], nodes: int) -> list[list[int]]:
+    """bins, or fewer, of the documents with these lengths and names."""
+    least, total, width = lower_bound(lengths, capacity), sum(lengths), FILLINGS
+    place = {n: i for i, n in enumerate(names)}
+    best = [[place[i] for i in b] for b in bins]
     nodes += NODES_A_SEQUENCE * len(best)
-    width = FILLINGS
     while nodes > 0 and len(best) > least and width <= MOST_FILLINGS:
         best, nodes = _search(lengths, capacity, best, least, total, nodes, width)
         if len(lengths) <= FEW:  # no filling was left out
             break
         width *= WIDER
-    return best
+    return [[names[i] for i in b] for b in best]
 
 
 def _search(lengths: list[int], capacity: int, best: list[list[int]], least: int, total: int, nodes: int, width: int) -> tuple[list[list[int]], int]:
@@ -186,15 +214,44 @@ def _search(lengths: list[int], capacity: int, best: list[list[int]], least: int
     return best, nodes
 
 
-def _rows(done: list, part: int) -> pa.RecordBatch:
-    """done: (sequence, offset, doc_id, piece, start, ids)."""
+def _rows(done: list, part: int | None) -> pa.RecordBatch:
+    """done: (sequence, offset, doc_id, piece, start, ids). Without a part the pieces have no sequence yet."""
     return pa.RecordBatch.from_arrays([
         pa.array([d[2] for d in done], pa.int64()), pa.array([d[3] for d in done], pa.int32()), pa.array([d[4] for d in done], pa.int64()),
         pa.array([len(d[5]) for d in done], pa.int64()), pa.array([d[5].astype("<u4").tobytes() for d in done], pa.binary()),
-        pa.array([part << 33 | d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
+        pa.array([None if part is None else part << 33 | d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
     ], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
 
+class _Packer:
+    """Packs a task's pieces (doc_id, piece, start, ids) chunk by chunk; `wait` holds those that have no sequence yet."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.part = capacity, TaskContext.get().partitionId()
+        self.wait: list[tuple] = []
+        self.sequence = self.held = 0
+
+    def add(self, piece: tuple) -> None:
+        self.wait.append(piece)
+        self.held += len(piece[3])
+
+    def pack(self, last: bool, most: int | None = None) -> list[tuple]:
+        """Rows of filled sequences; of all, if last. About `most` pieces wait on, or half, so that no task holds ever more."""
+        done, carry, most = [], [], len(self.wait) // 2 if most is None else most
+        for own in complete_bins([len(w[3]) for w in self.wait], self.capacity, whole=last):
+            if not last and self.capacity - sum(len(self.wait[i][3]) for i in own) > self.capacity * CARRY_WASTE and len(carry) < most:
+                carry += [self.wait[i] for i in own]
+                continue
+            at = 0
+            for i in own:
+                done.append((self.sequence, at, *self.wait[i]))
+                at += len(self.wait[i][3])
+            self.sequence += 1
+        self.wait = carry
+        self.held = sum(len(w[3]) for w in carry)
+        return done
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents with their tokens and their place in a sequence.
 
@@ -204,43 +261,38 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     end_id alone; rows with equal or null doc_id are packed each; other columns are ignored; no rows give no rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, sequence = encoder(path), TaskContext.get().partitionId(), 0
-        wait: list[tuple] = []
-
-        def pack(last: bool) -> list[tuple]:
-            nonlocal wait, sequence
-            done, carry = [], []
-            for own in complete_bins([len(w[3]) for w in wait], capacity):
-                if not last and capacity - sum(len(wait[i][3]) for i in own) > capacity * CARRY_WASTE and len(carry) < len(wait) // 2:
-                    carry += [wait[i] for i in own]
-                    continue
-                at = 0
-                for i in own:
-                    done.append((sequence, at, *wait[i]))
-                    at += len(wait[i][3])
-                sequence += 1
-            wait = carry
-            return done
-
-        held = 0
-        for b in slices(batches):
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, packer, most = encoder(path), _Packer(capacity), CHUNK_TOKENS
+        for b in slices(batches, "text", 4 << 20):
             whole: list[tuple] = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), bpe.encode_batch(b.column("text").to_pylist()), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = doc_id, k, at, ids[at : at + capacity]
                     if len(piece[3]) == capacity:
-                        whole.append((sequence, 0, *piece))
-                        sequence += 1
+                        whole.append((packer.sequence, 0, *piece))
+                        packer.sequence += 1
                     else:
-                        wait.append(piece)
-                        held += len(piece[3])
+                        packer.add(piece)
             if whole:
-                yield _rows(whole, part)
-            if held >= CHUNK_TOKENS:
-                yield _rows(pack(False), part)
-                held = sum(len(w[3]) for w in wait)
-        yield _rows(pack(True), part)
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                yield _rows(whole, packer.part)
+            if packer.held >= most:
+                yield _rows(packer.pack(False), packer.part)
+                most = CHUNK_TOKENS + packer.held  # what is carried doesn't count
+        yield _rows(packer.pack(False, len(packer.wait)), packer.part)
+        yield _rows([(0, 0, *w) for w in packer.wait], None)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = _Packer(capacity)
+        for b in batches:
+            for doc_id, piece, start, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "piece", "start", "ids")), strict=True):
+                packer.add((doc_id, piece, start, np.frombuffer(ids, "<u4")))
+        yield _rows(packer.pack(True), SECOND_ROUND >> 33 | packer.part)
+
+    packed = written(docs.select("doc_id", "text").mapInArrow(first, SCHEMA), "packed")
+    left = packed.where("sequence_id IS NULL")
+    tokens = left.agg(F.sum("length")).first()[0]
+    if not tokens:
+        return packed
+    again = left.repartition(-(-tokens // CHUNK_TOKENS)).mapInArrow(second, SCHEMA)
+    return packed.where("sequence_id IS NOT NULL").unionByName(again)

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+import corpus_pipeline as C
 from codexa.llm import packing
+from tests.llm.conftest import prose
 from tests.llm.test_bpe_packing import check_bins
 
 
@@ -43,3 +45,11 @@ def test_chunk_sized_inputs_are_searched(least, most):
     bins = packing.complete_bins(lengths, 4096)
     check_bins(lengths, bins, 4096)
     assert len(packing.best_fit(lengths, 4096)) > len(bins) == 800
+
+
+@pytest.mark.parametrize("parts", [1, 16, 64])
+def test_sequences_do_not_follow_the_partitions(spark, parts):
+    docs = spark.createDataFrame([(i, prose(i, 40 + 17 * i % 900)) for i in range(128)], "doc_id long, text string").repartition(parts)
+    rows = packing.pack_documents(docs, C.tokenizer_path()).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) and {r.doc_id for r in rows} == set(range(128))
+    assert len({r.sequence_id for r in rows}) <= packing.lower_bound([r.length for r in rows], packing.CAPACITY) + 1
