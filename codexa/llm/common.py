@@ -93,6 +93,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(id_text(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull())
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, or name with underscores before it that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left", total: int | None = None) -> DataFrame:
     """left joined with right (one row a key) where single keys may hold a large share of left.
 
