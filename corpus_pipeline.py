@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.llm import overlap, packing, quality_mil, quality_rules, substring
-from codexa.llm.common import fold, written
+from codexa.llm.common import fold, free_name, row_key, written
 from codexa.llm.queries import table, tokenizer_path
 
 #: Seeds of the near-duplicate stage's random orders.
@@ -35,14 +35,14 @@ def passes_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates.
 
-    Linked are pairs of which 0.8 of the distinct five-word shingles are common, verified exactly. Fingerprints propose too
-    few of them: at 0.8 two 64-bit ones are about 10 bits apart, and only up to 3 can be met in the middle.
-    Of rows that repeat that id one stays; rows without an id all stay.
+    Linked are pairs of which 0.8 of the distinct five-word shingles are common, verified exactly; the SimHash operator
+    proposes the first of them, bands of minima and prefixes the rest. A null id comes after all others. Null and wordless
+    texts are one group. Of rows with equal ids and equal texts one stays; rows that only share an id are told apart by
+    their texts. Any other columns of docs stay as they are. No rows give no rows.
     """
-    groups = overlap.near_duplicates(docs, NEAR_SEEDS)
-    kept = groups.where("id = component_id").select("id").distinct()
-    found = docs.join(kept, docs.doc_id == kept.id, "left_semi").dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    row = free_name(docs, "_row")
+    kept = overlap.near_duplicates(docs, NEAR_SEEDS).where("kept").select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, row_key()).join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
