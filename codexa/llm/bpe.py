@@ -28,15 +28,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codexa.llm.common import int_lists, slices, with_column
+from codexa.llm.common import int_lists, slices, trim, with_column
 
 END = "</w>"
 #: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Words of up to so many symbols are merged exactly in tables of that width; longer ones each alone.
 SIDE_BY_SIDE = (6, 9, 13, 20)
 #: Pairs of tokens that a worker remembers.
-PAIRS = 1_000_000
+PAIRS = 300_000
 #: In texts up to U+024F, NFC changes nothing, and letters, numbers and white space are these.
 _OUTSIDE = re.compile("[^\x00-\u024f]").search
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
@@ -101,9 +101,15 @@ class SpeculativeBPE:
         for c in alphabet:
             self._symbol_of[ord(c)], self._last_symbol_of[ord(c)] = self.vocab.get(c, 0), self.vocab.get(c + END, 0)
 
+    def release(self) -> None:
+        """Gives the memory of remembered words and pairs back: a worker lives on after its task."""
+        self._forget()
+        self._pairs = {}
+        trim()
+
     def _forget(self) -> None:
         self._words: dict[str, int] = {}  # first place in _flat << 32 | tokens
-        self._flat = np.empty(1 << 20, np.uint32)
+        self._flat = np.empty(0, np.uint32)
         self._used = 0
 
     def _symbols(self, token: str) -> list[int]:
@@ -352,6 +358,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             got = bpe.encode_batch(b.column(text).to_pylist())
             out = with_column(b, ids, int_lists(got), coded)
             yield with_column(out, decoded, pa.array(map(bpe.decode, got), pa.string()), schema) if decoded else out
+        bpe.release()
 
     return keep.mapInArrow(run, schema)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,19 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all columns but `used` under names that no operator has, and what gives them their names and order back.
+
+    The latter takes a table that kept these columns, and names of columns to add behind them.
+    """
+    names = {c: c if c in used else f"codexa aside {i}" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(f"`{n}`").alias(c) for c, n in names.items() if n in df.columns], *more)
+
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), back
+
+
 def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left", total: int | None = None) -> DataFrame:
     """left joined with right (one row a key) where single keys may hold a large share of left.
 
@@ -122,6 +136,14 @@ def hot_safe_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame
     return a.unionByName(b)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker lives on after its task, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `most` bytes of text (one row at least)."""
     for batch in batches:
@@ -134,6 +156,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             held += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    trim()
 
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array, schema) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import id_text, slices
+from codexa.llm.common import row_key, slices
 
 UNKNOWN = "und"
 SIZES = (3, 4)
@@ -107,7 +107,10 @@ def identify(model: Filters, text: str | None) -> tuple[str, float]:
 
 
 def learn(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Filters:
-    """Filters for all languages, from about SAMPLE_ROWS of rows, even over languages, chosen by hash of the id."""
+    """Filters for all languages, from about SAMPLE_ROWS of rows, even over languages, drawn by a hash of id and text.
+
+    Rows with equal id and text count once; a null language or text is not learned from.
+    """
     rows = rows.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     short = F.length(text) <= SAMPLE_CHARS
     counts = rows.groupBy(lang).agg(F.count(F.lit(1)), F.count(F.when(short, 1))).collect()
@@ -115,9 +118,10 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
         return fit([])
     each = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
     share = rows.sparkSession.createDataFrame([(x, each / (m if m >= each else n), m < each) for x, n, m in counts], "_of string, _share double, _long boolean")
-    place = F.pmod(F.xxhash64(id_text(id_col)), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_place"), short.alias("_short")).join(F.broadcast(share), F.col("_lang") == F.col("_of"))
-    return fit([(r[0], r[1]) for r in chosen.where("_place < _share AND (_short OR _long)").select("_lang", "_text").collect()])
+    place = F.pmod(F.xxhash64("_row", F.lit("lang")), F.lit(1 << 20)) / (1 << 20)
+    named = rows.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), row_key(id_col, text).alias("_row"), short.alias("_short"))
+    chosen = named.withColumn("_place", place).join(F.broadcast(share), F.col("_lang") == F.col("_of")).where("_place < _share AND (_short OR _long)")  # a row a language
+    return fit([(r[0], r[1]) for r in chosen.dropDuplicates(["_row", "_lang"]).select("_lang", "_text").collect()])
 
 
 def predict(rows: DataFrame, model: Filters, text: str = "text") -> DataFrame:

@@ -279,6 +279,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
             if packer.held >= most:
                 yield _rows(packer.pack(False), packer.part)
                 most = CHUNK_TOKENS + packer.held  # what is carried doesn't count
+        bpe.release()
         yield _rows(packer.pack(False, len(packer.wait)), packer.part)
         yield _rows([(0, 0, *w) for w in packer.wait], None)
 

@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexa.llm.common import id_text, slices, with_column
+from codexa.llm.common import row_key, slices, with_column
 
 PASSAGE_WORDS = 80
-#: Labelled rows learned from, about, chosen by hash of the id; only texts of up to SAMPLE_CHARS are taken.
+#: Labelled rows learned from, about, drawn by a hash of id and text.
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 50_000
 ACCEPT_FROM = 0.3
 CODED, GATE, EPOCHS, BATCH, RATE, SEED = 32, 16, 14, 128, 0.004, 7
 #: Few labels are gone through more often, until there have been so many steps.
@@ -133,23 +132,24 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> Attention | None:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Attention | None:
-    """A model from about SAMPLE_ROWS rows of docs that labels has a non-null label for.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", most: int = SAMPLE_ROWS) -> Attention | None:
+    """A model from the rows of docs that labels has a non-null label for: all of them, or about `most`, drawn by a hash.
 
-    Of several labels for an id the smallest counts; null ids have none; without labelled rows there is no model.
+    Texts of any length take part. Of several labels for an id the smallest counts; null ids have none; rows with equal id
+    and text count once; without labelled rows there is no model.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("_label"))
-    share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
-    place = F.pmod(F.xxhash64(id_text(id_col), F.lit("quality")), F.lit(1 << 20)) / (1 << 20)
-    sample = F.broadcast(known.where(place < share))  # about SAMPLE_ROWS ids and labels
-    rows = docs.where(F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS).select(id_col, text).join(sample, id_col)
+    there = docs.select(id_col).join(known, id_col, "left_semi").count()
+    place = F.pmod(F.xxhash64("_row", F.lit("quality")), F.lit(1 << 20)) / (1 << 20)
+    drawn = docs.select(id_col, text, row_key(id_col, text).alias("_row")).where(place < most / max(most, there))
+    rows = drawn.join(known, id_col).dropDuplicates(["_row"]).select(id_col, text, "_label")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             coded = [passages(t).tobytes() for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(id_col).cast(pa.int64()), b.column("_label"), pa.array(coded, pa.binary())], names=["id", "label", "coded"])
 
-    got = sorted((r.id, bytes(r.coded), r.label) for r in rows.mapInArrow(encoded, "id long, label int, coded binary").collect())
+    got = sorted((r.id, bytes(r.coded), r.label) for r in rows.mapInArrow(encoded, "id long, label int, coded binary").collect())  # about `most` rows
     return train([np.frombuffer(c, np.float32).reshape(-1, WIDTH) for _, c, _ in got], np.array([x for _, _, x in got]))
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexa.llm.common import written
+from codexa.llm.common import set_aside, written
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -150,11 +150,12 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
 
     Words are runs of characters outside U+0020 and U+0009 to U+000D. A null text has no words; then, as for any text of
     under MIN_WORDS words, the base rules fail. Repeated rows are judged each, alike. Columns of docs with the names
-    of the results are replaced. No rows give no rows. The model is fitted over all rows. Without the text, their
+    of the results are replaced, all others stay. No rows give no rows. The model is fitted over all rows. Without the text, their
     features are written to the shared folder once; with it, they are measured again, as that moves no text.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("quality", "base_failed", "kept") or c.startswith("vote_")])
     rules = _rules()
+    results = (*FEATURES, *[f"vote_{r}" for r in RULES], "quality", "base_failed", "kept")
+    docs, back = set_aside(docs.drop(*[c for c in docs.columns if c in results and c != text]), text)
     voted = measured(docs, text, keep_text).withColumns({f"vote_{r}": rules[r] for r in RULES})
     table = voted if keep_text else written(voted, "rules")
     counts = table.groupBy(*[f"vote_{r}" for r in RULES]).count().collect()  # at most 3 ** len(RULES) rows
@@ -164,4 +165,5 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     for j, r in enumerate(RULES):
         odds = odds + F.when(F.col(f"vote_{r}") > 0, up[j]).when(F.col(f"vote_{r}") < 0, down[j]).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return table.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP_FROM) & (F.col("_row") >= 0)).drop("_row")
+    judged = table.withColumn("quality", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
+    return back(judged.withColumn("kept", ~failed & (F.col("quality") >= KEEP_FROM) & (F.col("_row") >= 0)), *results)

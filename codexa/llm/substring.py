@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexa.llm.common import n_partitions, row_key
+from codexa.llm.common import n_partitions, row_key, set_aside
 
 WINDOW = 13
 #: Multiplier of the rolling polynomial, odd (64-bit golden ratio).
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: A missing id comes after all others.
 LAST_ID = np.iinfo(np.int64).max
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 BLOCKS = "p int, bucket int, ids binary, counts binary, hashes binary"
 FLAGS = "bucket int, p int, bits binary"
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T.StructField("stop", T.LongType(), False)]), False)
@@ -100,7 +100,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     with the names of the results are replaced, other columns stay. No rows give no rows.
     """
     parts = 2 * n_partitions(docs.sparkSession)
-    keep = docs.drop(*[c for c in docs.columns if c in (*RESULTS.names, "_key", "_id", "_bucket")])
+    keep, back = set_aside(docs.drop(*[c for c in docs.columns if c in RESULTS.names]), text, id_col)
     dealt = keep.withColumn("_key", row_key(id_col, text)).withColumn("_id", F.col(id_col).cast("long"))
     dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int")).repartition(parts, "_bucket")
 
@@ -143,7 +143,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
 
     # Both passes take all columns, so that the second reads the first's shuffle again.
     flags = dealt.groupBy("_bucket").applyInArrow(ask, BLOCKS).repartition(parts, "p").groupBy("p").applyInArrow(answer, FLAGS)
-    return dealt.groupBy("_bucket").cogroup(flags.groupBy("bucket")).applyInArrow(cut, schema)
+    return back(dealt.groupBy("_bucket").cogroup(flags.groupBy("bucket")).applyInArrow(cut, schema), *RESULTS.names)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
