@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexa.llm import overlap, packing, quality_mil, quality_rules, substring
-from codexa.llm.common import fold, free_name, row_key, written
+from codexa.llm.common import fold, free_name, row_key, set_aside, written
 from codexa.llm.queries import table, tokenizer_path
 
 #: Seeds of the near-duplicate stage's random orders.
@@ -18,18 +18,26 @@ NEAR_SEEDS = (42, 43, 44, 45)
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality rules keep."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    """Documents that the weakly supervised quality rules keep.
+
+    Null, empty and very short texts fail the base rules and go; repeated rows are judged each, alike, and equal texts
+    share their fate. All columns stay as they are, whatever they are called. No rows give no rows.
+    """
+    inner, back = set_aside(docs, "text")
+    return back(quality_rules.judge(inner).where("kept"))
 
 
 def passes_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts.
 
     It is learned from the labelled rows of the whole table of documents: few bad ones are left among those kept so far.
+    Null and empty texts have the score of a text without passages; repeated rows are scored each, alike; a score equal to
+    the bound is accepted. All columns stay as they are, whatever they are called. No rows give no rows.
     """
     known = table(spark, sf_dir, "documents").where(fold("doc_id", 5) != 0)
     model = quality_mil.learn(known, table(spark, sf_dir, "labels"))
-    return quality_mil.score(docs, model, column="_quality").where(F.col("_quality") >= quality_mil.ACCEPT_FROM).select(docs.columns)
+    inner, back = set_aside(docs, "text")
+    return back(quality_mil.score(inner, model, column="_quality").where(F.col("_quality") >= quality_mil.ACCEPT_FROM))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +54,25 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that an earlier document has; texts that lose none stay as they are."""
-    cut = substring.dedup_substrings(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(docs.columns)
+    """All documents, without the words of passages that an earlier document has; texts that lose none stay as they are.
+
+    A null text stays null, an empty one empty; a null id counts as larger than all others; rows with equal ids do not
+    cut each other. n_chars follows a text that was cut; all other columns stay, whatever they are called. No rows give no
+    rows.
+    """
+    chars = free_name(docs, "_chars")
+    inner, back = set_aside(docs.withColumnRenamed("n_chars", chars), "doc_id", "text", chars)
+    cut = F.col("n_removed") > 0
+    found = substring.dedup_substrings(inner).withColumn(chars, F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col(chars)))
+    return back(found.withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("text")))).withColumnRenamed(chars, "n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their tokens and places in the training sequences."""
+    """The pieces of all documents with their tokens and places in the training sequences.
+
+    Null and empty texts are packed as their end alone; rows with equal or null ids are packed each; other columns are
+    ignored. No rows give no rows.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
