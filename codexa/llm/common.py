@@ -38,10 +38,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a table in the shared folder, in folders by the columns `by`: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table
@@ -62,7 +62,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now; it waits for collected references otherwise."""
+    """Lets Spark drop the shuffle files of finished steps now; it waits for collected references otherwise.
+
+    The session holds on to its last query, so a small one comes between.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

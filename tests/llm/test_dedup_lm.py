@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import xxhash
 from pyspark.sql import functions as F
 
 from codexa.llm import common, lm_mix, simhash, substring
@@ -195,22 +196,88 @@ def test_language_model_tables(odd, odd_rows, empty, clashing):
     assert lm_mix.score(empty, F.lit(True)).count() == 0
 
 
+def plain_scores(rows, train):
+    """Scores by loops over all tokens: counts in dictionaries, gates moved and asked token by token within each step."""
+    texts = [lm_mix.tokens(r[1]) for r in rows]
+    count, pair = Counter(), Counter()
+    for text, ok in zip(texts, train, strict=True):
+        if ok:
+            count.update(text)
+            pair.update(zip([None, *text], text, strict=False))
+    n = sum(count.values())
+    words = sorted(count)
+    slot_bits = min(lm_mix.MOST_SLOT_BITS, max(lm_mix.LEAST_SLOT_BITS, (4 * len(words)).bit_length()))
+    spelling = lm_mix.Mixer.fresh(lm_mix.count_bits(words, slot_bits))
+    spelling.learn(words)
+    log = lambda x: math.log2(x) if x > 0 else -math.inf
+    slot = lambda a: (int(lm_mix.START if a is None else xxhash.xxh64_intdigest(a)) * int(lm_mix._MIX[4]) % (1 << 64)) >> (64 - 10)
+
+    def steps(text, own):
+        out, wins = [], []
+        for a, w in zip([None, *text], text, strict=False):
+            former = count[b"" if a is None else a] - own
+            c, both = count[w] - own, pair[a, w] - own
+            bits = spelling.cost([w], own=bool(own and not c))[0] if own and not c else float(np.float32(spelling.cost([w])[0]))
+            experts = [-bits, log(c / max(n - own, 1)), log(both / max(former, 1))]
+            level = min(lm_mix.LEVELS - 1, int(math.log2(former + 1)))
+            out.append((experts, level * lm_mix.HISTORY + sum(wins[-(lm_mix.HISTORY - 1) :]), slot(a)))
+            wins.append(experts[2] > experts[1])
+        return out
+
+    gates = lm_mix.Gates.fresh()
+    key = lambda i: (rows[i][2], rows[i][1] or "")
+    seen = [x for i in sorted(range(len(rows)), key=key) if train[i] for x in steps(texts[i], 1)]
+    if n > 1 and seen:
+        gates.learn(np.array([x[0] for x in seen]), np.array([x[1] for x in seen]), np.array([x[2] for x in seen]))
+    out = []
+    for (i, *_), text in zip(rows, texts, strict=True):
+        total = 0.0
+        for experts, gate, former in steps(text, 0):
+            odds = np.exp(gates.by_level[gate] + gates.by_former[former])
+            total += math.log10(sum(o * 2.0**e for o, e in zip(odds / odds.sum(), experts, strict=True)))
+        out.append((i, round(total, 3)))
+    return out
+
+
+def test_language_model_scores(spark):
+    rng, rows = random.Random(5), []
+    for k in range(60):
+        words = prose(k % 25, 40).split()
+        if k >= 25:
+            words[rng.randrange(40)] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(60, None), (61, ""), (62, "One"), (62, "One"), (63, " ".join(rng.sample(prose(3, 40).split(), 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keyed = [(r.doc_id, r.text, r.k) for r in docs.withColumn("k", common.row_key()).collect()]
+    train = [r[0] % 5 != 0 for r in keyed]
+    want = sorted(plain_scores(keyed, train))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = {r.doc_id: r.score for r in lm_mix.score(docs, F.col("doc_id") % 5 != 0).collect()}
+            assert got == pytest.approx(dict(want), abs=2e-3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert dict(want)[3] > dict(want)[63] + 10  # the order of words counts
+
+
 def test_language_model_learns():
     texts = [prose(k, 200) for k in range(60)]
     counts = Counter(w for t in texts[:50] for w in lm_mix.tokens(t))
-    words, n = [*counts], np.array([*counts.values()])
-    model = lm_mix.Mixer.fresh(lm_mix.count_bits(words, n))
+    words = [*counts]
+    model = lm_mix.Mixer.fresh(lm_mix.count_bits(words, 16))
     held = Counter(w for t in texts[50:] for w in lm_mix.tokens(t))
     bits = lambda: sum(c * held[w] for w, c in zip(held, model.cost([*held]), strict=True))
     before = bits()
-    model.learn(words, n)
+    model.learn(words)
     assert bits() < before and bits() < 3 * sum((len(w) + 1) * c for w, c in held.items())
 
 
 def test_word_probabilities_do_not_exceed_one():
     words = [bytes([a, b]) for a in range(97, 123) for b in range(97, 123)] + [bytes([a]) for a in range(97, 123)] + [b""]
-    model = lm_mix.Mixer.fresh(lm_mix.count_bits(words, np.ones(len(words), np.int64)))
-    model.learn(words, np.ones(len(words), np.int64))
+    model = lm_mix.Mixer.fresh(lm_mix.count_bits(words, 16))
+    model.learn(words)
     assert 0.3 < (2.0 ** -model.cost(words)).sum() <= 1 + 1e-6
 
 
