@@ -7,21 +7,26 @@ from typing import Any
 
 
 def collapse_nullable(node: Any) -> Any:
-    """A schema document in which each `anyOf` of one type and null is replaced by that type (and loses its `items`)."""
+    """A schema document in which each member whose `anyOf` names one type and null has that type instead.
+
+    Alternatives of one type count once; what is no object among them has no type. Only members of objects are collapsed,
+    not the root and not members of lists, and a collapsed one is not looked into any further; its other keys stay.
+    """
     if isinstance(node, list):
         return [collapse_nullable(x) for x in node]
-    if not isinstance(node, dict):
-        return node
-    out = dict(node)
-    options = out.get("anyOf")
+    if isinstance(node, dict):
+        return {k: _member(v) for k, v in node.items()}
+    return node
+
+
+def _member(value: Any) -> Any:
+    options = value.get("anyOf") if isinstance(value, dict) else None
     if isinstance(options, list):
-        types = [x.get("type") for x in options]
-        real = [t for t in types if t != "null"]
-        if "null" in types and len(real) == 1:
-            del out["anyOf"]
-            out.pop("items", None)
-            out["type"] = real[0]
-    return {k: collapse_nullable(v) for k, v in out.items()}
+        types = list(dict.fromkeys(x.get("type") for x in options if isinstance(x, dict)))
+        if len(types) == 2 and "null" in types:
+            types.remove("null")
+            return {k: v for k, v in value.items() if k != "anyOf"} | {"type": types[0]}
+    return collapse_nullable(value)
 
 
 def dump(document: Any, path: str) -> None:

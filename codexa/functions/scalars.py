@@ -17,16 +17,17 @@ LONG_BOOK = 19
 
 
 def parse_references(excerpt: Column) -> Column:
-    """All parts of a reference string, in order: array of (book, chapter, start_verse, end_verse). What doesn't match is skipped."""
+    """All parts of a reference string, in order. What doesn't match is skipped; a chapter beyond all integers is null, with its text beside it."""
     found = F.regexp_extract_all(excerpt, F.lit(REFERENCE), 0)
     group = lambda x, i: F.nullif(F.regexp_extract(x, f"^{REFERENCE}$", i), F.lit(""))
-    return F.transform(found, lambda x: F.struct(group(x, 1).alias("book"), group(x, 2).cast("int").alias("chapter"), group(x, 4).alias("start_text"), group(x, 5).alias("end_text")))
+    return F.transform(found, lambda x: F.struct(group(x, 1).alias("book"), group(x, 2).try_cast("int").alias("chapter"), group(x, 4).alias("start_text"), group(x, 5).alias("end_text"), F.regexp_replace(group(x, 2), "^0+(?=.)", "").alias("chapter_text")))
 
 
 def verse_bounds(start_text: Column, end_text: Column) -> tuple[Column, Column]:
-    """First and last verse; the end defaults to the start, and an end of 0 counts as missing."""
-    start = start_text.cast("int")
-    return start, F.coalesce(F.nullif(end_text.cast("int"), F.lit(0)), start)
+    """First and last verse; the end defaults to the start, an end of 0 counts as missing, and what is beyond all integers is the last of them."""
+    number = lambda text: F.when(text.isNotNull(), F.coalesce(text.try_cast("int"), F.lit(2**31 - 1)))
+    start = number(start_text)
+    return start, F.coalesce(F.nullif(number(end_text), F.lit(0)), start)
 
 
 def range_label(start_text: Column, end_text: Column) -> Column:
@@ -90,7 +91,7 @@ def content_range(span: Column, size: Column) -> Column:
 
 def version(text: Column) -> Column:
     """Numbers between dots, as an array that orders as versions do; an error where one is no number."""
-    return F.transform(F.split(text, "[.]"), lambda x: x.cast("int"))
+    return F.transform(F.split(text, "[.]"), lambda x: x.cast("decimal(38,0)"))
 
 
 def update_type(app: Column, least: Column, latest: Column) -> Column:

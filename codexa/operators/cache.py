@@ -2,40 +2,44 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 import time
-from collections.abc import Callable
+from collections import OrderedDict
+from collections.abc import Callable, Hashable
 from typing import Any
 
 from pyspark.sql import DataFrame
 
 
 class TimedCache:
-    """Keeps what make() returns for `seconds`; an older entry is made anew on access. clear() drops all and tells how many there were."""
+    """Keeps what make() returns for `seconds`; an older entry is made anew on access.
 
-    def __init__(self, seconds: float = 3600, clock: Callable[[], float] = time.monotonic) -> None:
-        self.seconds, self.clock = seconds, clock
-        self._kept: dict[str, tuple[float, DataFrame]] = {}
+    With a capacity, the entry that was asked for least recently goes when there are more. clear() drops all and tells how
+    many there were.
+    """
 
-    @staticmethod
-    def key(name: str, **arguments: Any) -> str:
-        return f"{name}:{hashlib.md5(json.dumps(arguments, sort_keys=True, default=str).encode()).hexdigest()}"  # noqa: S324  no secret
+    def __init__(self, seconds: float = 3600, clock: Callable[[], float] = time.monotonic, capacity: int | None = None) -> None:
+        self.seconds, self.clock, self.capacity = seconds, clock, capacity
+        self._kept: OrderedDict[tuple[Hashable, ...], tuple[float, DataFrame]] = OrderedDict()
 
     def get(self, name: str, make: Callable[[], DataFrame], **arguments: Any) -> DataFrame:
-        key, now = self.key(name, **arguments), self.clock()
+        key, now = (name, *sorted(arguments.items())), self.clock()
         if key in self._kept:
             since, df = self._kept[key]
             if now - since < self.seconds:
+                self._kept.move_to_end(key)
                 return df
-            df.unpersist()
+            self._drop(key)
         df = make().persist()
         self._kept[key] = now, df
+        if self.capacity is not None and len(self._kept) > self.capacity:
+            self._drop(next(iter(self._kept)))
         return df
 
+    def _drop(self, key: tuple[Hashable, ...]) -> None:
+        self._kept.pop(key)[1].unpersist()
+
     def clear(self) -> int:
         n = len(self._kept)
-        for _, df in self._kept.values():
-            df.unpersist()
-        self._kept.clear()
+        for key in [*self._kept]:
+            self._drop(key)
         return n

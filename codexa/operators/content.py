@@ -70,7 +70,7 @@ def chapters_without_audio(requests: DataFrame, books: DataFrame, verses: DataFr
     """
     t = translations.where("active = 1").select(F.col("code").alias("translation"), F.col("alias").alias("translation_alias"))
     v = voices.select(F.col("code").alias("voice"), F.col("alias").alias("voice_alias"))
-    asked = requests.where("voice <> 0").join(F.broadcast(t), "translation").join(v, "voice")
+    asked = requests.where("voice <> 0").join(t, "translation").join(v, "voice")
     have = chapters_by_book(verses, books).withColumnsRenamed({"book_number": "book", "chapter_number": "chapter"})
     gaps = asked.join(have, "translation").join(files, ["translation_alias", "voice_alias", "book", "chapter"], "left_anti")
     gaps = gaps.groupBy("translation", "voice", "book").agg(F.array_sort(F.collect_set("chapter")).alias("chapters_without_audio"))
@@ -128,7 +128,7 @@ def voice_info(requests: DataFrame, voices: DataFrame, translations: DataFrame)
     """requests (voice, translation) with aliases and template of the voice, or error unless both are active and belong together."""
     v = voices.where("active = 1").select(F.col("code").alias("voice"), "translation", F.col("alias").alias("voice_alias"), "link_template")
     t = translations.where("active = 1").select(F.col("code").alias("translation"), F.col("alias").alias("translation_alias"))
-    out = requests.join(v.join(F.broadcast(t), "translation"), ["voice", "translation"], "left")
+    out = requests.join(v.join(t, "translation"), ["voice", "translation"], "left")
     return out.withColumn("error", F.when(F.col("voice_alias").isNull(), F.concat(F.lit("Voice "), F.col("voice").cast("string"), F.lit(" not found for translation "), F.col("translation").cast("string"), F.lit("."))))
 
 
@@ -168,7 +168,7 @@ def excerpt_parts(requests: DataFrame) -> DataFrame:
     """requests (request_id, translation, voice, excerpt) as one row a part of the reference; a request without parts has one row with part_index null."""
     parsed = requests.select("*", F.posexplode_outer(S.parse_references(F.col("excerpt"))).alias("part_index", "part"))
     start, end = S.verse_bounds(F.col("part.start_text"), F.col("part.end_text"))
-    label = F.concat("part.book", F.lit(" "), F.col("part.chapter").cast("string"), F.coalesce(F.concat(F.lit(":"), S.range_label(F.col("part.start_text"), F.col("part.end_text"))), F.lit("")))
+    label = F.concat("part.book", F.lit(" "), F.col("part.chapter_text"), F.coalesce(F.concat(F.lit(":"), S.range_label(F.col("part.start_text"), F.col("part.end_text"))), F.lit("")))
     return parsed.select("request_id", "translation", "voice", "excerpt", "part_index", F.col("part.book").alias("book"), F.col("part.chapter").alias("chapter_number"), start.alias("start_verse"), end.alias("end_verse"), label.alias("label"))
 
 
@@ -217,8 +217,3 @@ def excerpts(requests: DataFrame, tables, base_url: str = "") -> tuple[DataFrame
     shown = whole.withColumn("_error", first_error.over(W.partitionBy("request_id"))).where("_error IS NULL")
     book = F.struct(F.col("book_code").alias("code"), F.col("book_number").alias("number"), F.col("alias"), F.col("book_name").alias("name"), "chapters_count").alias("book")
     return titled, shown.select("request_id", "part_index", book, "prev_excerpt", "next_excerpt", "chapter_number", "audio_link", "verses", "titles", "notes")
-
-
-def first_in_order(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key: what a lookup that takes one of several rows means here."""
-    return rows.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_place = 1").drop("_place")

@@ -12,7 +12,7 @@ def voice_link_templates(requests: DataFrame, voices: DataFrame, translations: D
     """requests (translation_alias, voice_alias) with link_template; '' where no active pair has one."""
     v = voices.where("active = 1").select(F.col("alias").alias("voice_alias"), F.col("translation").alias("code"), "link_template")
     t = translations.where("active = 1").select(F.col("alias").alias("translation_alias"), "code")
-    found = v.join(F.broadcast(t), "code").groupBy("translation_alias", "voice_alias").agg(F.min("link_template").alias("link_template"))
+    found = v.join(t, "code").groupBy("translation_alias", "voice_alias").agg(F.min("link_template").alias("link_template"))
     return requests.join(found, ["translation_alias", "voice_alias"], "left").withColumn("link_template", F.coalesce("link_template", F.lit("")))
 
 

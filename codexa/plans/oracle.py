@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexa.plans.queries import AS_OF, BASE_URL, IMPORTED, LANGUAGE, LATEST, LEAST, MESSAGES, NOW, PRIOR_BEFORE
+from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, IMPORTED, LANGUAGE, LATEST, LEAST, MESSAGES, NOW, PRIOR_BEFORE
 from codexa.sources.tables import CONTENT, SQL
 
 _CHAPTERS = "SELECT DISTINCT v.translation, v.book_number, v.chapter_number FROM translation_verses v WHERE EXISTS (SELECT 1 FROM translation_books b WHERE b.translation = v.translation AND b.book_number = v.book_number)"
@@ -19,7 +19,7 @@ def _stats(source: str) -> str:
 
 _REQUESTS = """SELECT code AS request_id, translation, CASE WHEN code % 3 = 0 THEN code % 100 END AS voice,
     CASE code % 5 WHEN 0 THEN p WHEN 1 THEN 'X' || p || ':1-3; bk2 1' WHEN 2 THEN p || ':' || verse_number WHEN 3 THEN p || ':2-0' ELSE CASE WHEN code % 2 = 0 THEN 'no part' ELSE 'zz9 1, ' || p END END AS excerpt
-    FROM (SELECT *, 'b' || book_number || ' ' || chapter_number AS p FROM translation_verses WHERE code % 97 = 0)"""
+    FROM (SELECT *, 'b' || book_number || ' ' || chapter_number AS p FROM translation_verses)"""
 _R = "([0-9a-z]+) ([0-9]+)(:([0-9]+)(?:-([0-9]+))?)?"
 _PARTS = f"""SELECT request_id, translation, voice, excerpt, i - 1 AS part_index, regexp_extract(m, '{_R}', 1) AS book, CAST(regexp_extract(m, '{_R}', 2) AS INT) AS chapter_number, nullif(regexp_extract(m, '{_R}', 4), '') AS s, nullif(regexp_extract(m, '{_R}', 5), '') AS e
     FROM (SELECT *, unnest(regexp_extract_all(excerpt, '{_R}')) AS m, generate_subscripts(regexp_extract_all(excerpt, '{_R}'), 1) AS i FROM requests)"""
@@ -97,11 +97,13 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT code AS voice, translation FROM voices UNION ALL SELECT code, translation + 1 FROM voices) a LEFT JOIN (SELECT s.*, t.alias AS translation_alias FROM voices s JOIN translations t ON t.code = s.translation WHERE s.active = 1 AND t.active = 1) v ON v.code = a.voice AND v.translation = a.translation""",
         "book_lookup": "SELECT 'b' || r AS alias, CAST(c.number AS VARCHAR) AS number, CASE WHEN c.number IS NULL THEN 'Book ''b' || r || ''' not found.' END AS error FROM range(0, 70) x(r) LEFT JOIN bible_books c ON c.code1 = 'b' || r",
         "voice_link_template": "SELECT t.alias AS translation_alias, s.alias AS voice_alias, CASE WHEN s.active = 1 AND t.active = 1 THEN coalesce(s.link_template, '') ELSE '' END AS link_template FROM voices s JOIN translations t ON t.code = s.translation",
-        "audio_url": f"SELECT s.code, b.book, n.chapter, CASE WHEN c.number IS NULL OR {_expand('b.book', 'n.chapter')} LIKE '%{{%' THEN '' ELSE {_expand('b.book', 'n.chapter')} END AS url FROM voices s CROSS JOIN (SELECT unnest([1, 18, 19, 66, 70]) AS book) b CROSS JOIN (SELECT unnest([5, 119]) AS chapter) n LEFT JOIN bible_books c ON c.number = b.book WHERE s.link_template IS NOT NULL",
+        "localized_document": "SELECT * FROM (VALUES " + ", ".join(f"('{part}', '{lang}', '{text}')" for part, texts in ABOUT.items() for lang, text in texts.items()) + ") AS d(part, language, text)",
+        "cache_roundtrip": "SELECT a.step, a.translation, c.books, c.chapters, 4 AS made, 2 AS dropped FROM (VALUES (0, 1), (1, 1), (2, 2), (3, 3), (4, 2), (5, 1)) AS a(step, translation) JOIN (SELECT translation, count(*) AS books, CAST(sum(n) AS BIGINT) AS chapters FROM (SELECT translation, book_number, max(chapter_number) AS n FROM translation_verses GROUP BY 1, 2) GROUP BY 1) c ON c.translation = a.translation",
+        "audio_url": f"SELECT s.code, b.book, n.chapter, CASE WHEN c.number IS NULL OR {_expand('b.book', 'n.chapter')} LIKE '%{{%' THEN '' ELSE {_expand('b.book', 'n.chapter')} END AS url FROM voices s CROSS JOIN (SELECT unnest(range(1, 71)) AS book) b CROSS JOIN (SELECT unnest([5, 50, 119]) AS chapter) n LEFT JOIN bible_books c ON c.number = b.book WHERE s.link_template IS NOT NULL",
         "excerpt_refs": "SELECT request_id, part_index, book, chapter_number, start_verse, end_verse, label FROM parts",
-        "chapter_verses": ", w AS (SELECT DISTINCT v.translation, v.book_number, v.chapter_number, s.code AS voice, CASE WHEN v.chapter_number = 2 THEN 2 END AS start_verse, CASE WHEN v.chapter_number = 2 THEN 4 END AS end_verse FROM translation_verses v LEFT JOIN voices s ON s.translation = v.translation WHERE v.chapter_number <= 2) " + f'SELECT translation, voice, book_number, chapter_number, verse_number, code, text, b0 AS "begin", e0 AS "end", start_paragraph FROM ({_VERSES.format("w")})',
-        "chapter_titles": "SELECT code, text, before_translation_verse, reference, subtitle FROM translation_titles WHERE before_translation_verse IN (SELECT code FROM translation_verses WHERE chapter_number = 1)",
-        "chapter_notes": "SELECT code, note_number, text, translation_verse, translation_title FROM translation_notes WHERE translation_verse IN (SELECT code FROM translation_verses WHERE chapter_number = 1) OR translation_title IN (SELECT t.code FROM translation_titles t JOIN translation_verses v ON v.code = t.before_translation_verse WHERE v.chapter_number = 1)",
+        "chapter_verses": ", w AS (SELECT DISTINCT v.translation, v.book_number, v.chapter_number, s.code AS voice, CASE WHEN v.chapter_number % 2 = 0 THEN 2 END AS start_verse, CASE WHEN v.chapter_number % 2 = 0 THEN 4 END AS end_verse FROM translation_verses v LEFT JOIN voices s ON s.translation = v.translation) " + f'SELECT translation, voice, book_number, chapter_number, verse_number, code, text, b0 AS "begin", e0 AS "end", start_paragraph FROM ({_VERSES.format("w")})',
+        "chapter_titles": "SELECT code, text, before_translation_verse, reference, subtitle FROM translation_titles WHERE before_translation_verse IN (SELECT code FROM translation_verses)",
+        "chapter_notes": "SELECT code, note_number, text, translation_verse, translation_title FROM translation_notes WHERE translation_verse IN (SELECT code FROM translation_verses) OR translation_title IN (SELECT t.code FROM translation_titles t JOIN translation_verses v ON v.code = t.before_translation_verse)",
         "excerpt_requests": "SELECT request_id, n_parts, CASE WHEN error IS NULL THEN CASE WHEN n_parts = 1 THEN one ELSE 'Excerpt ' || excerpt END END AS title, CASE WHEN error IS NULL THEN n_parts = 1 AND ranged = 0 END AS is_single_chapter, error FROM titled",
         "excerpt_parts": f"""SELECT j.request_id, j.part_index, j.book_code, j.alias, j.chapter_number, j.prev_excerpt, j.next_excerpt,
             CASE WHEN f.book IS NOT NULL THEN '{BASE_URL}/audio/' || j.translation_alias || '/' || j.voice_alias || '/' || lpad(CAST(j.book_number AS VARCHAR), 2, '0') || '/' || CASE WHEN j.chapter_number < 10 THEN '0' ELSE '' END || j.chapter_number || '.mp3' ELSE '' END AS audio_link,

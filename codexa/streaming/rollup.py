@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from codexa.operators import telemetry
@@ -17,22 +20,21 @@ def roll_up(spark: SparkSession, log_schema, log: str, stats: str, checkpoint: s
     """Back-fills the missing closed days after each micro-batch of the log.
 
     A batch may hold only part of a day, so days are computed from the stored log. Days that have a total stay as they
-    are: rows that come late are not counted. Each batch writes its days to a folder of its own, so that a repeated batch
-    replaces itself.
+    are: rows that come late are not counted. Each batch writes its days to a folder of its own and leaves that folder out
+    of the days that are done, so a batch that is repeated after a lost commit writes the same days again.
     """
+    days_schema = telemetry.daily_stats(spark.createDataFrame([], log_schema)).schema
 
     def each(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        have = session.read.parquet(log)
-        known = session.read.option("recursiveFileLookup", "true").schema(telemetry.daily_stats(have).schema)
+        have = session.read.schema(log_schema).parquet(log)
         try:
-            done = known.parquet(stats)
-            done.take(1)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            done = session.read.schema(T.StructType([*days_schema.fields, T.StructField("batch", T.LongType())])).parquet(stats)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            done = session.createDataFrame([], telemetry.daily_stats(have).schema)
-        days = telemetry.missing_days(have, done, as_of)
+            done = session.createDataFrame([], days_schema).withColumn("batch", F.lit(None).cast("long"))
+        days = telemetry.missing_days(have, done.where(F.col("batch") != number).drop("batch"), as_of)
         due = have.join(days, have.created_at.cast("date") == days.d, "left_semi")
         telemetry.daily_stats(due).write.mode("overwrite").parquet(f"{stats}/batch={number}")
 
