@@ -31,7 +31,7 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = arc_convert.convert(table(spark, sf_dir, "pages"), "page_id", "url", "html", payloads=False)
-    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_number").alias("refers_to"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "media")
-    return jpeg.load(stored, tensors=False).select(
+    return jpeg.load(stored).select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import numpy as np
@@ -191,8 +192,8 @@ def test_archive_files(version):
     rows = [(1, "http://a b/ü", "é<p>\n\n".encode()), (None, None, b""), (3, "x", b"y" * 500), (-4, "", b"\r\n\r\nz")]
     data = A.write_arc("n.arc", rows, version)
     got = [*A.read_arc(data)]
-    assert [f["URL"] for f, _ in got] == ["http://a%20b/ü", "-", "x", "-"] and [A._http(b)[1] for _, b in got] == [r[2] for r in rows]
-    assert all(len(f) == len(A.FIELDS[version]) for f, _ in got)
+    assert [f["URL"] for f, *_ in got] == ["http://a%20b/ü", "-", "x", "-"] and [A._http(b)[1] for _, b, *_ in got] == [r[2] for r in rows]
+    assert all(len(f) == len(A.FIELDS[version]) for f, *_ in got) and len({place for *_, place in got}) == 4
     for bad in (data[:-20], data.replace(b"text/html", b"text/html x", 1), b"http://x 0.0.0.0 2024 text/html 1\nx\n"):
         with pytest.raises(ValueError):
             [*A.read_arc(bad)]
@@ -200,12 +201,49 @@ def test_archive_files(version):
 
 def test_warc_records():
     http = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n"
-    data = A.warc_record("response", 1, "u", "2024-01-01T00:00:00Z", http, b"abc", "d", None) + A.warc_record("revisit", 2, "u", "2024-01-01T00:00:00Z", http, b"abc", "d", 1)
+    one = {"record_id": "urn:uuid:1", "number": 1, "url": "u", "warc_date": "2024-01-01T00:00:00Z", "mime": "text/html", "http_headers": http, "payload": b"abc", "payload_digest": "d"}
+    data = A.warc_record("response", one) + A.warc_record("revisit", one | {"record_id": "urn:uuid:2", "number": None}, one)
     (f, block), (g, again) = A.read_warc(data)
-    assert block == http + b"abc" and again == http and f["WARC-Type"] == "response" and g["WARC-Refers-To"] == "<urn:x-record:1>"
+    assert block == http + b"abc" and again == http and f["WARC-Type"] == "response" and g["WARC-Refers-To"] == "<urn:uuid:1>" and g["WARC-Refers-To-Target-URI"] == "u"
     assert f["WARC-Block-Digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
-    with pytest.raises((ValueError, KeyError)):
-        [*A.read_warc(data[:-3])]
+    assert [*A.read_warc(gzip.compress(data))] == [(f, block), (g, again)]
+    for bad in (data[:-3], data.replace(b"Content-Length: ", b"Content-Size: "), b"WARC/1.1\r\n", b"x"):
+        with pytest.raises(ValueError):
+            [*A.read_warc(bad)]
+
+
+BODY = b"<p>the same text in two places, long enough for a second record to refer to the first of them and not to keep it</p>\n"
+
+
+def by_hand(version, url, dates=("19961104142103", "199611041422")):
+    """An archive as other software writes it: heads without lengths, bare line feeds, a name lookup."""
+    head = b"HTTP/1.0 200 Document follows\r\nserver: NCSA/1.4\r\n\r\n"
+    line = "URL IP-address Archive-date Content-type Archive-length" if version == 1 else "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+    block = f"{version} 0 Archive\n{line}\n".encode()
+    middle = "" if version == 1 else "200 - - 0 h.arc "
+    rows = [("http://a/1", dates[0], "text/html", head + BODY), ("dns:a", dates[0], "text/dns", b"19961104\na. 3600 IN A 1.2.3.4\n"), (url, dates[1], "text/html", head.replace(b"\r", b"") + BODY), ("http://a/1", dates[0], "text/html", head + b"short")]
+    parts = [f"filedesc://hand{version}.arc 0.0.0.0 19960923142103 text/plain {'' if version == 1 else '200 - - 0 h.arc '}{len(block)}\n".encode() + block]
+    return b"\n".join([*parts, *(f"{u} 1.2.3.4 {d} {kind} {middle}{len(x)}\n".encode() + x for u, d, kind, x in rows)]) + b"\n"
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_of_others(spark, version):
+    data = by_hand(version, "http://b/2")
+    archives = spark.createDataFrame([(data,), (None,), (b"",)], "arc binary")
+    warc = A.to_warc(archives).collect()
+    got = {(r.url, r.record_type): r for r in A.warc_records(spark.createDataFrame([(bytes(r.warc),) for r in warc] + [(None,)], "warc binary")).collect()}
+    first, again, name = got["http://a/1", "response"], got["http://b/2", "revisit"], got["dns:a", "resource"]
+    assert len(got) == 3 and sum(len([*A.read_warc(bytes(r.warc))]) for r in warc) == 4
+    fields = {f["WARC-Record-ID"]: f for r in warc for f, _ in A.read_warc(bytes(r.warc))}
+    assert len(fields) == 4 and all(k.startswith("<urn:uuid:") for k in fields)
+    assert again.refers_to in {r.strip("<>") for r, f in fields.items() if f["WARC-Target-URI"] == "http://a/1"} and again.payload_bytes == len(BODY)
+    assert fields[f"<{again.record_id}>"]["WARC-Date"] == "1996-11-04T14:22:00Z" and again.payload_digest == hashlib.sha256(BODY).hexdigest()
+    assert fields[f"<{name.record_id}>"]["Content-Type"] == "text/dns" and bytes(name.payload).endswith(b"1.2.3.4\n") and first.number is None
+    packed = A.arc_records(spark.createDataFrame([(gzip.compress(data),)], "arc binary")).collect()
+    assert [r.record_id for r in packed] == [r.record_id for r in A.arc_records(archives).collect()]
+    for bad in (data.replace(b"19961104142103", b"unknown-------", 1), data[:200]):
+        with pytest.raises(ValueError):
+            [*A.read_arc(bad)]
 
 
 def test_conversion_tables(spark):
@@ -219,8 +257,9 @@ def test_conversion_tables(spark):
         ids = [j for j, _, s in rows if j is not None and (s or "").encode() == data]
         again = len(data) >= 100 and i != min(ids)
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", min(ids) if again else None))
-    assert sorted(map(str, ((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(str, want))
-    assert all(bytes(r.payload) == b"b" * 150 for r in got if r.record_type == "response" and r.record_id == 3)
+    assert sorted(map(str, ((r.number, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to_number) for r in got))) == sorted(map(str, want))
+    assert all(bytes(r.payload) == b"b" * 150 for r in got if r.record_type == "response" and r.number == 3)
+    assert len({r.record_id for r in got}) == len(rows) and {r.refers_to for r in got if r.refers_to} <= {r.record_id for r in got if r.record_type == "response"}
     assert A.convert(pages.limit(0), "page_id", "url", "html").count() == 0
     wide = pages.selectExpr("*", "'x' AS record_id", "'y' AS payload", "'z' AS warc")
     assert A.convert(wide, "page_id", "url", "html").count() == len(rows)
