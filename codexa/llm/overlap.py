@@ -17,7 +17,8 @@ no other, however large its group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,13 +70,13 @@ def bands(hashes: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     return out.view(np.int64)
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the sets overlap by LEAST of their union."""
+def alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
+    """Whether the sets overlap by the fraction `least` of their union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * LEAST[1] >= LEAST[0] * (len(a) + len(b) - both)
+    return both * least[1] >= least[0] * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Of pairs (u, v) those whose sets are alike."""
     pairs = written(pairs.distinct(), "pairs")
     for own, name in (("u", "left"), ("v", "right")):
@@ -86,7 +87,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = zip(b.column("left"), b.column("right"), strict=True)
-            yield b.select(["u", "v"]).filter(pa.array([alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in each], pa.bool_()))
+            yield b.select(["u", "v"]).filter(pa.array([alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in each], pa.bool_()))
 
     links = written(joined.select("u", "v", "left", "right").mapInArrow(run, "u long, v long"), "verified")
     discard(pairs)
@@ -143,19 +144,23 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix(hashes: np.ndarray, frequencies: np.ndarray) -> np.ndarray:
+def prefix(hashes: np.ndarray, frequencies: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """The shingles of which two sets that are alike have one in common: rarer ones first, ties by hash."""
     ordered = hashes[np.argsort(frequencies[_counter(hashes)], kind="stable")]
-    return ordered[: len(hashes) - -(-LEAST[0] * len(hashes) // LEAST[1]) + 1]
+    return ordered[: len(hashes) - -(-least[0] * len(hashes) // least[1]) + 1]
 
 
-def _by_prefixes(apart: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets (key, n, comp, shingles) in different components that can be alike: no pair that is alike is left out."""
+def _by_prefixes(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of sets (key, n, comp, shingles) in different components that can be alike: no pair that is alike is left out.
+
+    Sets meet on a shingle and a class of sizes, each `least` of the next: those that can be alike are in one class or in
+    two that follow each other.
+    """
     frequencies = apart.sparkSession.sparkContext.broadcast(_frequencies(apart))  # 8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequencies.value) for x in b.column("shingles")]
+            own = [prefix(np.frombuffer(x.as_buffer(), np.uint64), frequencies.value, least) for x in b.column("shingles")]
             of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
             place = np.concatenate([np.arange(len(x)) for x in own]) if own else np.empty(0, np.int64)
             shingle = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
@@ -165,14 +170,46 @@ def _by_prefixes(apart: DataFrame) -> DataFrame:
     each = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("rows"))
     several = written(each.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.max_by("comp", "rows").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "shared")
     held = written(hot_safe_join(first, several.select("shingle", "top"), "shingle", several.select("shingle", "rows"), "inner"), "held")
-    other = held.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("place", "key", "n", "comp")])
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(least[1] / least[0]) * (1 - 1e-9)).cast("int")
+    other = held.select("shingle", size.alias("size"), *[F.col(c).alias(f"{c}2") for c in ("place", "key", "n", "comp")])
+    one = held.where("comp <> top").withColumn("size", F.explode(F.sequence(size - 1, size + 1)))
     # One of a pair is outside the shingle's largest component, and the shingles behind the common one must suffice.
-    can = F.expr(f"comp <> comp2 AND {sum(LEAST)} * least(n - place, n2 - place2) >= {LEAST[0]} * (n + n2)")
-    pairs = written(held.where("comp <> top").join(other, "shingle").where(can).select(*_links("key", "key2")).distinct(), "pairs")
+    can = F.expr(f"comp <> comp2 AND {sum(least)} * least(n - place, n2 - place2) >= {least[0]} * (n + n2)")
+    pairs = written(one.join(other, ["shingle", "size"]).where(can).select(*_links("key", "key2")).distinct(), "pairs")
     discard(first, several, held)
     return pairs
 
 
+def link_bands(index: DataFrame, sets: DataFrame, least: tuple[int, int] = LEAST, first: DataFrame | None = None, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Verified links (u, v) that join all sets of an index (key, n, weight, band, comp) that are alike and share a band.
+
+    sets: (key, shingles); first: pairs to verify beside those of the first round; likely: leaves out pairs that aren't
+    worth a verification.
+    """
+    apart = F.expr(f"comp <> comp2 AND {least[1]} * least(n, n2) >= {least[0]} * greatest(n, n2)")
+    links = None
+    for k in range(ROUNDS + 1):
+        who, by = F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(k))
+        one = (F.min_by(who, by) if k else F.max_by(who, F.struct("weight", by))).alias("one")
+        several = written(index.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), one, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"), "several")
+        counts = several.select("band", "rows")
+        if k < ROUNDS:
+            central = several.select("band", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("one.comp").alias("comp2"))
+            pairs = hot_safe_join(index, central, "band", counts, "inner").where(apart).select(*_links("key", "key2"))
+            pairs = pairs.unionByName(first) if k == 0 and first is not None else pairs
+        else:
+            left = hot_safe_join(index, several.select("band"), "band", counts, "inner").select("key", "n", "comp").distinct()
+            left = written(left.join(sets, "key"), "apart")
+            pairs = _by_prefixes(left, least)
+        found = _verified(likely(pairs) if likely else pairs, sets, least)
+        links = found if links is None else written(links.unionByName(found).distinct(), "links")
+        if k < ROUNDS:
+            index = _joined(index.drop("comp"), links.select("u", "v"))
+        discard(several)
+        release(index.sparkSession)
+    return links.select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, row (its identity by id and text), component_id (the smallest id reachable by links, itself included) and kept.
 
@@ -208,28 +245,8 @@ def near_duplicates(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_
     asked = each.join(asked, "key", "left_semi").select(F.col("least.row").alias("row"), "key")
     sets = written(texts.join(asked, "row").select("key", "text").mapInArrow(full, "key long, shingles binary").dropDuplicates(["key"]), "sets")
 
-    apart = F.expr(f"comp <> comp2 AND {LEAST[1]} * least(n, n2) >= {LEAST[0]} * greatest(n, n2)")
-    links = None
-    for k in range(ROUNDS + 1):
-        who, by = F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(k))
-        one = (F.min_by(who, by) if k else F.max_by(who, F.struct("weight", by))).alias("one")
-        several = written(index.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), one, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high"), "several")
-        counts = several.select("band", "rows")
-        if k < ROUNDS:
-            first = several.select("band", F.col("one.key").alias("key2"), F.col("one.n").alias("n2"), F.col("one.comp").alias("comp2"))
-            pairs = hot_safe_join(index, first, "band", counts, "inner").where(apart).select(*_links("key", "key2"))
-            pairs = pairs.unionByName(balls) if k == 0 else pairs
-        else:
-            left = hot_safe_join(index, several.select("band"), "band", counts, "inner").select("key", "n", "comp").distinct()
-            left = written(left.join(sets, "key"), "apart")
-            pairs = _by_prefixes(left)
-        found = _verified(pairs, sets)
-        links = found if links is None else written(links.unionByName(found).distinct(), "links")
-        if k < ROUNDS:
-            index = _joined(index.drop("comp"), links.select("u", "v"))
-        discard(several)
-        release(docs.sparkSession)
-    found = simhash.components(links.select("u", "v"))
+    links = link_bands(index, sets, first=balls)
+    found = simhash.components(links)
     joined = written(each.select("key", "rows", "least").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")), "joined")
     firsts = written(joined.groupBy("comp").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("rows")), "firsts")
     named = hot_safe_join(joined.select("key", "comp"), firsts.select("comp", "least"), "comp", firsts.select("comp", "rows")).select("key", "least")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexa.llm import arc_convert, bpe, jpeg, langid, lm_mix, packing, quality_mil, quality_rules, simhash, substring
+from codexa.llm import arc_convert, bpe, hard_negatives, jpeg, langid, lm_mix, odd_sketch, packing, quality_mil, quality_rules, simhash, substring
 from codexa.llm.common import fold
 
 
@@ -84,8 +84,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 256)
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    mined = hard_negatives.mine(rows.withColumn("label", label), F.col("id") % 50 == 0)
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op12_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = odd_sketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_jpeg": op5_jpeg, "op6_langid": op6_langid, "op7_lm_mix": op7_lm_mix, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing}
+    return {"op1_quality_mil": op1_quality_mil, "op2_warc": op2_warc, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_jpeg": op5_jpeg, "op6_langid": op6_langid, "op7_lm_mix": op7_lm_mix, "op8_quality_rules": op8_quality_rules, "op9_substring": op9_substring, "op10_packing": op10_packing, "op11_hard_negatives": op11_hard_negatives, "op12_odd_sketch": op12_odd_sketch}
 
 
 OP2_SQL = """
@@ -99,5 +111,17 @@ FROM d LEFT JOIN f ON d.digest = f.digest AND d.n >= 100
 """
 
 
+OP11_SQL = """
+WITH known AS (SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS anchor_id, a.label = r.label AS same, r.id, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+       FROM known a JOIN known r ON a.id % 50 = 0 AND a.id <> r.id),
+     p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op11_hard_negatives": OP11_SQL}
