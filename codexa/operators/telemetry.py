@@ -20,9 +20,13 @@ def clean_requests(raw: DataFrame) -> DataFrame:
     )
 
 
-def missing_days(log: DataFrame, stats: DataFrame, as_of: Column) -> DataFrame:
-    """Closed days of the log without a total in stats. A total with a null date suppresses all, as NOT IN does."""
-    days = log.where(F.to_date("created_at") < as_of).select(F.to_date("created_at").alias("d")).distinct()
+def missing_days(log: DataFrame, stats: DataFrame, as_of: Column, day: Column | None = None) -> DataFrame:
+    """Closed days of the log without a total in stats. A total with a null date suppresses all, as NOT IN does.
+
+    day: the log's day, where a column (of its folders) has it already.
+    """
+    day = F.to_date("created_at") if day is None else day
+    days = log.where(day < as_of).select(day.alias("d")).distinct()
     done = stats.where(F.col("endpoint") == TOTAL).select("date").distinct()
     spark = log.sparkSession
     return spark.sql("SELECT d FROM {days} WHERE d NOT IN (SELECT date FROM {done})", days=days, done=done)
@@ -54,6 +58,6 @@ def backfill(log: DataFrame, stats: DataFrame, as_of: Column) -> DataFrame:
     return upsert(stats, daily_stats(due), ["date", "endpoint"])
 
 
-def retained(log: DataFrame, now: Column) -> DataFrame:
-    """The log without rows older than KEEP_DAYS; rows without a time stay."""
-    return log.where((F.col("created_at") >= now - F.expr(f"INTERVAL {KEEP_DAYS} DAYS")) | F.col("created_at").isNull())
+def retained(log: DataFrame, now: Column, keep_days: int = KEEP_DAYS) -> DataFrame:
+    """The log without rows older than keep_days; rows without a time stay."""
+    return log.where((F.col("created_at") >= now - F.make_interval(days=F.lit(keep_days))) | F.col("created_at").isNull())

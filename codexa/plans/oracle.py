@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, IMPORTED, LANGUAGE, LATEST, LEAST, MESSAGES, NOW, PRIOR_BEFORE
+from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, FIRST_CLOSE, IMPORTED, LANGUAGE, LATE, LATEST, LEAST, MESSAGES, NOW, PRIOR_BEFORE
 from codexa.sources.tables import CONTENT, SQL
 
 _CHAPTERS = "SELECT DISTINCT v.translation, v.book_number, v.chapter_number FROM translation_verses v WHERE EXISTS (SELECT 1 FROM translation_books b WHERE b.translation = v.translation AND b.book_number = v.book_number)"
@@ -60,7 +60,7 @@ _EXTRA = {
 }
 
 
-def _with(query: str) -> str:
+def with_tables(query: str) -> str:
     return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in {**SQL, **_EXTRA}.items()) + f" {query}"
 
 
@@ -73,6 +73,15 @@ def _expand(book: str, chapter: str) -> str:
     return out
 
 
+def overview(counted: str = "log", as_of: str = AS_OF, now: str = NOW) -> str:
+    """Stats of closed days by the rows that counted, and how many rows of the log are young enough to be there."""
+    young = f"FROM log WHERE created_at >= TIMESTAMP '{now}' - INTERVAL 14 DAY GROUP BY ALL"
+    return f""", s AS (SELECT * FROM ({_stats(counted)}) WHERE date < DATE '{as_of}'),
+            k AS (SELECT CAST(created_at AS DATE) AS date, endpoint, count(*) AS requests_kept {young} UNION ALL SELECT CAST(created_at AS DATE), '_total_', count(*) {young})
+            SELECT coalesce(s.date, k.date) AS date, coalesce(s.endpoint, k.endpoint) AS endpoint, request_count, unique_ips, avg_response_time_ms, error_count, coalesce(requests_kept, 0) AS requests_kept
+            FROM s FULL JOIN k ON s.date = k.date AND s.endpoint = k.endpoint"""
+
+
 def oracle_sql() -> dict[str, str]:
     array = lambda x: f"string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {x})"
     least, latest = ([int(x) for x in v.split(".")] for v in (LEAST, LATEST))
@@ -130,6 +139,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, unsafe, CASE WHEN unsafe IS NULL THEN t || '/' || v || '/mp3/' || b || '/' || c || '.mp3' END AS path FROM u""",
         "version_check": f""", v AS (SELECT DISTINCT l_linenumber || '.' || (l_partkey % 10) || CASE WHEN l_orderkey % 3 = 0 THEN '.' || (l_suppkey % 12) ELSE '' END AS app_version FROM lineitem)
             SELECT app_version, {kind} AS update_type, '{LATEST}' AS latest_version, CASE {kind} WHEN 'soft' THEN '{MESSAGES['soft']}' WHEN 'hard' THEN '{MESSAGES['hard']}' END AS message FROM v""",
-        "request_stream_daily": f", s AS ({_stats('log')}) SELECT * FROM s WHERE date < DATE '{AS_OF}'",
+        "request_stream_daily": overview(f"(SELECT * FROM log WHERE created_at >= TIMESTAMP '{FIRST_CLOSE}' OR NOT ({LATE.replace('peer', 'client_ip')}))"),
     }
-    return {k: _with(q) for k, q in queries.items()}
+    return {k: with_tables(q) for k, q in queries.items()}

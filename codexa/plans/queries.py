@@ -16,6 +16,8 @@ from codexa.streaming import rollup
 
 #: Parameters that the oracle shares.
 AS_OF, PRIOR_BEFORE, NOW = "2024-01-25", "2024-01-10", "2024-01-25 12:00:00"
+#: When the stream's first drop is rolled up, and what comes after that.
+FIRST_CLOSE, LATE = "2024-01-15", "peer LIKE '%7'"
 LANGUAGE, IMPORTED, LEAST, LATEST, BASE_URL = "asia", 3, "3.4", "5", "https://api.example"
 ABOUT = {"project": {"en": "A reader for versioned texts", "ru": "Чтение текстов по изданиям", "uk": "Читання текстів за виданнями"}, "contact": {"en": "Write to us", "ru": "Напишите нам", "uk": "Напишіть нам"}}
 MESSAGES = {"soft": "An update is available.", "hard": "This version is no longer supported."}
@@ -296,12 +298,13 @@ def cache_roundtrip(t: Tables) -> DataFrame:
 
 @_query
 def request_stream_daily(t: Tables) -> DataFrame:
-    """The whole job: raw requests stream into the log, closed days are back-filled by micro-batches."""
-    base = scratch(t.spark, "stream")
-    t.raw_requests.write.parquet(f"{base}/raw")
-    raw = t.spark.readStream.schema(t.raw_requests.schema).parquet(f"{base}/raw")
-    rollup.append_log(raw, f"{base}/log", f"{base}/c1").awaitTermination()
-    log = t.spark.read.parquet(f"{base}/log")
-    rollup.roll_up(t.spark, log.schema, f"{base}/log", f"{base}/stats", f"{base}/c2", F.lit(AS_OF).cast("date")).awaitTermination()
-    stats = t.spark.read.schema(telemetry.daily_stats(log).schema).option("recursiveFileLookup", "true").parquet(f"{base}/stats")
-    return stats
+    """The whole job over two drops of requests: the first closes its days, the second brings the rest, late rows of closed days too."""
+    base, now = scratch(t.spark, "stream"), F.lit(NOW).cast("timestamp_ntz")
+    first = F.coalesce((F.col("created_at") < F.lit(FIRST_CLOSE).cast("timestamp_ntz")) & ~F.expr(LATE), F.lit(False))
+    for drop, as_of in ((first, FIRST_CLOSE), (~first, AS_OF)):
+        t.raw_requests.where(drop).write.mode("append").parquet(f"{base}/raw")
+        raw = t.spark.readStream.schema(t.raw_requests.schema).parquet(f"{base}/raw")
+        rollup.append_log(raw, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+        rollup.roll_up(t.spark, f"{base}/log", f"{base}/stats", F.lit(as_of).cast("date"))
+        rollup.purge(t.spark, f"{base}/log", now)
+    return rollup.overview(t.spark, f"{base}/log", f"{base}/stats", now)

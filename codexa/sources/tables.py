@@ -86,6 +86,11 @@ SQL = {
 }
 
 
+def raw_requests(events: DataFrame) -> DataFrame:
+    """Events as raw requests; batch or stream."""
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr(*EXPR["raw_requests"])
+
+
 class Tables:
     """The tables of one directory of driver tables, each built on first use."""
 
@@ -148,4 +153,4 @@ class Tables:
 
     @cached_property
     def raw_requests(self) -> DataFrame:
-        return self.raw("events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr(*EXPR["raw_requests"])
+        return raw_requests(self.raw("events"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from codexa.operators import content, media, sync, telemetry
 from codexa.operators.cache import TimedCache
-from codexa.streaming import rollup
 from codexa.sources import media as media_source
 from codexa.sources.payload import Settings, env_int, env_required, fetch_payload, json_rows, read_payload
 from codexa.sources.tables import CONTENT, DDL, schema
@@ -217,24 +216,6 @@ def test_cache_with_a_capacity(spark):
     assert made == [1, 2, 3, 2] and not first.is_cached and cache.clear() == 2
 
 
-def test_repeated_batches_and_late_rows(spark, tmp_path):
-    """A batch whose commit was lost writes its days again; rows that come late for a day that has a total are not counted."""
-    base, day = f"file://{tmp_path}", lambda d: datetime(2024, 1, d)
-    stats = lambda: sorted((r.date, r.endpoint, r.request_count) for r in spark.read.parquet(f"{base}/stats").collect())
-    log(spark, [("/a", 200, 1, "x", day(1)), ("/a", 200, 1, "x", day(2))]).write.parquet(f"{base}/log")
-    run = lambda: rollup.roll_up(spark, spark.read.parquet(f"{base}/log").schema, f"{base}/log", f"{base}/stats", f"{base}/c", F.lit("2024-01-09").cast("date")).awaitTermination()
-    run()
-    once = stats()
-    assert len(once) == 4
-    for f in (tmp_path / "c/commits").iterdir():
-        f.unlink()
-    run()
-    assert stats() == once
-    log(spark, [("/a", 200, 1, "y", day(1)), ("/b", 200, 1, "y", day(3))]).write.mode("append").parquet(f"{base}/log")
-    run()
-    assert stats() == sorted([*once, (date(2024, 1, 3), "/b", 1), (date(2024, 1, 3), "_total_", 1)])
-
-
 def test_a_failed_import_leaves_the_current_snapshot(spark, small, tmp_path):
     folder, current = f"file://{tmp_path}", content_of(small)
     sync.publish(current, folder)
