@@ -148,7 +148,3 @@ def etag(modified: Column, length: Column) -> Column:
 
 def http_date(moment: Column) -> Column:
     return F.concat(F.date_format(moment, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-
-
-def body_excerpt(body: Column, most: int = 500) -> Column:
-    return F.substring(body, 1, most)

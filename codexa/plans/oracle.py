@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, FIRST_CLOSE, IMPORTED, LANGUAGE, LATE, LATEST, LEAST, MESSAGES, NOW, PRIOR_BEFORE
-from codexa.sources.tables import CONTENT, SQL
+from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, FIRST_CLOSE, IMPORTED, LANGUAGE, LATE, LATEST, LEAST, MESSAGES, NOW, PAGES_A_FILE, PRIOR_BEFORE
+from codexa.sources.tables import CONTENT, DDL, SQL
 
 _CHAPTERS = "SELECT DISTINCT v.translation, v.book_number, v.chapter_number FROM translation_verses v WHERE EXISTS (SELECT 1 FROM translation_books b WHERE b.translation = v.translation AND b.book_number = v.book_number)"
 _INFO = "SELECT tb.translation, tb.code, tb.book_number, tb.name, bb.code1 AS alias, bb.code2, bb.code3, bb.code4, bb.code5, bb.short_name_en, bb.short_name_ru, (SELECT max(chapter_number) FROM translation_verses x WHERE x.book_number = tb.book_number) AS chapters_count FROM translation_books tb LEFT JOIN bible_books bb ON bb.number = tb.book_number"
@@ -82,6 +82,17 @@ def overview(counted: str = "log", as_of: str = AS_OF, now: str = NOW) -> str:
             FROM s FULL JOIN k ON s.date = k.date AND s.endpoint = k.endpoint"""
 
 
+def _imported() -> str:
+    """All rows of the content tables, as text, after import_end_to_end."""
+    new = {
+        "languages": {"name_en": "name_en || ' (last)'", "name_national": "upper(alias)"},
+        "bible_books": {"code9": "CASE WHEN number >= 10 THEN code9 WHEN number % 2 = 0 THEN 'last' ELSE 'first' END"},
+        "translation_verses": {"text": f"text || CASE WHEN translation = {IMPORTED} THEN ' (new)' ELSE '' END", "verse_number_join": f"CASE WHEN translation <> {IMPORTED} THEN verse_number_join END"},
+    }
+    row = lambda t: " || '|' || ".join(f"coalesce(CAST({new.get(t, {}).get(c.split()[0], chr(34) + c.split()[0] + chr(34))} AS VARCHAR), '-')" for c in DDL[t].split(", "))
+    return " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {row(t)} AS row FROM {t}" for t in CONTENT)
+
+
 def oracle_sql() -> dict[str, str]:
     array = lambda x: f"string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {x})"
     least, latest = ([int(x) for x in v.split(".")] for v in (LEAST, LATEST))
@@ -125,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_stats_upsert": f", s AS ({_stats('log')}) SELECT s.date, s.endpoint, s.request_count + CASE WHEN s.date >= DATE '2024-01-03' AND s.date < DATE '{PRIOR_BEFORE}' THEN 1 ELSE 0 END AS request_count, s.unique_ips, s.avg_response_time_ms, s.error_count FROM s WHERE s.date < DATE '{AS_OF}'",
         "purge_retention": f"SELECT endpoint, status_code, client_ip, created_at FROM log WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 14 DAY OR created_at IS NULL",
         "import_full_report": "SELECT * FROM counts",
+        "import_end_to_end": _imported(),
         "import_partial_report": "SELECT c.\"table\", CASE c.\"table\" WHEN 'languages' THEN c.rows WHEN 'bible_books' THEN (SELECT count(*) FROM bible_books WHERE number < 10) ELSE c.rows - s.rows END AS rows FROM counts c JOIN survivors s ON s.\"table\" = c.\"table\"",
         "cascade_survivors": "SELECT * FROM survivors",
         "import_partial_tables": "SELECT * FROM counts",
@@ -134,6 +146,12 @@ def oracle_sql() -> dict[str, str]:
             h AS (SELECT *, k % 8 < 5 AND s <= e AS good FROM g)
             SELECT event_id, header, size, CASE WHEN header IS NULL THEN 200 WHEN good THEN 206 ELSE 416 END AS status, CASE WHEN good THEN CAST(s AS BIGINT) END AS first_byte, CASE WHEN good THEN e END AS last_byte,
             CASE WHEN header IS NULL THEN NULL WHEN good THEN 'bytes ' || s || '-' || e || '/' || size ELSE 'bytes */' || size END AS content_range, CASE WHEN header IS NULL THEN size WHEN good THEN e - s + 1 END AS content_length FROM h""",
+        "ranges_of_files": f""", p AS (SELECT page_id, page_id // {PAGES_A_FILE} AS file, coalesce(html, '') AS html FROM pages),
+            f AS (SELECT *, octet_length(encode(html)) AS n, sum(octet_length(encode(html))) OVER (PARTITION BY file ORDER BY page_id) AS through, 1 + sum(octet_length(encode(html))) OVER (PARTITION BY file) AS size,
+                string_agg(html, '') OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) || chr(10) AS rest FROM p),
+            g AS (SELECT page_id, size, through - n AS first, CASE WHEN page_id % 4 = 1 THEN size ELSE through END - 1 AS last, CASE WHEN page_id % 4 = 1 THEN rest ELSE html END AS body, page_id % 4 = 1 OR page_id % 4 <> 3 AND n > 0 AS good FROM f)
+            SELECT page_id, CASE WHEN good THEN 206 ELSE 416 END AS status, CASE WHEN good THEN 'bytes ' || first || '-' || last || '/' || size ELSE 'bytes */' || size END AS content_range,
+            CAST(CASE WHEN good THEN last - first + 1 END AS BIGINT) AS content_length, CASE WHEN good THEN sha256(body) END AS body_sha256, good AS tagged FROM g""",
         "path_validation": """, a AS (SELECT page_id, split_part(url, '/', 3) AS t, CASE WHEN page_id % 3 = 0 THEN url ELSE split_part(url, '/', 4) END AS v, CASE WHEN page_id % 5 = 0 THEN '..' ELSE '01' END AS b, CASE WHEN page_id % 7 = 0 THEN 'a\\b' ELSE '02' END AS c FROM pages),
             u AS (SELECT *, CASE WHEN regexp_matches(t, '[.][.]|[/\\\\]') THEN 'translation' WHEN regexp_matches(v, '[.][.]|[/\\\\]') THEN 'voice' WHEN b = '..' THEN 'book' WHEN c LIKE '%\\%' THEN 'chapter' END AS unsafe FROM a)
             SELECT page_id, unsafe, CASE WHEN unsafe IS NULL THEN t || '/' || v || '/mp3/' || b || '/' || c || '.mp3' END AS path FROM u""",

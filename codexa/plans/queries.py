@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexa.functions import scalars as S
 from codexa.operators import content, media, sync, telemetry
 from codexa.operators.cache import TimedCache
+from codexa.sources import media as media_source
+from codexa.sources import payload as payload_module
 from codexa.sources.scratch import scratch
 from codexa.sources.tables import CONTENT, Tables
 from codexa.streaming import rollup
@@ -18,6 +22,7 @@ from codexa.streaming import rollup
 AS_OF, PRIOR_BEFORE, NOW = "2024-01-25", "2024-01-10", "2024-01-25 12:00:00"
 #: When the stream's first drop is rolled up, and what comes after that.
 FIRST_CLOSE, LATE = "2024-01-15", "peer LIKE '%7'"
+PAGES_A_FILE = 16
 LANGUAGE, IMPORTED, LEAST, LATEST, BASE_URL = "asia", 3, "3.4", "5", "https://api.example"
 ABOUT = {"project": {"en": "A reader for versioned texts", "ru": "Чтение текстов по изданиям", "uk": "Читання текстів за виданнями"}, "contact": {"en": "Write to us", "ru": "Напишите нам", "uk": "Напишіть нам"}}
 MESSAGES = {"soft": "An update is available.", "hard": "This version is no longer supported."}
@@ -210,17 +215,53 @@ def purge_retention(t: Tables) -> DataFrame:
     return telemetry.retained(telemetry.clean_requests(t.raw_requests), F.lit(NOW).cast("timestamp_ntz")).select("endpoint", "status_code", "client_ip", "created_at")
 
 
+def _content(t: Tables) -> dict[str, DataFrame]:
+    return {n: getattr(t, n) for n in CONTENT}
+
+
 def _payload(t: Tables) -> dict[str, DataFrame]:
     """The tables of one translation, and all languages, as an import brings them."""
-    tables = {n: getattr(t, n) for n in CONTENT}
-    rest = sync.survivors(tables, IMPORTED)
-    own = {n: tables[n].exceptAll(rest[n]) for n in CONTENT if n not in ("languages", "bible_books")}
-    return own | {"languages": tables["languages"].withColumn("name_national", F.upper("alias")), "bible_books": tables["bible_books"].where("number < 10")}
+    return sync.victims(_content(t), IMPORTED) | {"languages": t.languages.withColumn("name_national", F.upper("alias")), "bible_books": t.bible_books.where("number < 10")}
+
+
+@_query
+def import_end_to_end(t: Tables) -> DataFrame:
+    """All rows of all tables after a full import, one of a translation, and one that fails half way.
+
+    The second payload repeats keys of the reference tables, the last counting, has keys that its first rows lack, and leaves
+    out a column of the verses; the third lacks a value in some rows.
+    """
+    base = scratch(t.spark, "import")
+    new, upper = _payload(t), F.concat(F.col("name_en"), F.lit(" (last)"))
+    books = new["bible_books"]
+    parts = {n: [df] for n, df in new.items()} | {
+        "translation_verses": [new["translation_verses"].withColumn("text", F.concat("text", F.lit(" (new)"))).drop("verse_number_join")],
+        "languages": [new["languages"], new["languages"].withColumn("name_en", upper).withColumn("extra", F.lit(1))],
+        "bible_books": [books.withColumn("code9", F.lit("first")), books.where("number % 2 = 0").withColumn("code9", F.lit("last"))],
+    }
+    broken = parts | {"translation_verses": [new["translation_verses"], new["translation_verses"].drop("text")]}
+    payload_module.write_pages({n: [df] for n, df in _content(t).items()}, f"{base}/full")
+    payload_module.write_pages(parts, f"{base}/one")
+    payload_module.write_pages(broken, f"{base}/broken")
+    sync.run_import(t.spark, payload_module.read_pages(t.spark, f"{base}/full"), f"{base}/store")
+    sync.run_import(t.spark, payload_module.read_pages(t.spark, f"{base}/one"), f"{base}/store", partial=True)
+    try:
+        sync.run_import(t.spark, payload_module.read_pages(t.spark, f"{base}/broken"), f"{base}/store", partial=True)
+    except PySparkException as e:
+        if "lacks text" not in str(e):
+            raise
+    else:
+        raise RuntimeError("the broken payload was imported")
+    out = None
+    for n, df in sync.published(t.spark, f"{base}/store").items():
+        rows = df.select(F.lit(n).alias("table"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in df.columns]).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @_query
 def import_full_report(t: Tables) -> DataFrame:
-    return sync.import_report({n: getattr(t, n) for n in CONTENT}, t.spark)
+    return sync.import_report(_content(t), t.spark)
 
 
 @_query
@@ -230,13 +271,12 @@ def import_partial_report(t: Tables) -> DataFrame:
 
 @_query
 def cascade_survivors(t: Tables) -> DataFrame:
-    return sync.import_report(sync.survivors({n: getattr(t, n) for n in CONTENT}, IMPORTED), t.spark)
+    return sync.import_report(sync.survivors(_content(t), IMPORTED), t.spark)
 
 
 @_query
 def import_partial_tables(t: Tables) -> DataFrame:
-    tables = {n: getattr(t, n) for n in CONTENT}
-    return sync.import_report(sync.partial_import(_payload(t), tables), t.spark)
+    return sync.import_report(sync.partial_import(_payload(t), _content(t)), t.spark)
 
 
 @_query
@@ -257,6 +297,24 @@ def byte_ranges(t: Tables) -> DataFrame:
     return media.serve(files, F.col("header"), F.col("size"))
 
 
+@_query
+def ranges_of_files(t: Tables) -> DataFrame:
+    """Pages written to files, PAGES_A_FILE one behind the other, and read back at their positions: whole, to the end, first of a list, or not at all."""
+    base = scratch(t.spark, "files")
+    pages = t.raw("pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.floor(F.col("page_id") / PAGES_A_FILE).alias("file"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "html"))), lambda x: x["html"]), "")  # PAGES_A_FILE pages
+    pages.groupBy("file").agg(joined.alias("value")).write.partitionBy("file").text(base)
+    files = media_source.file_stats(t.spark, base).withColumn("file", F.regexp_extract("path", "/file=([0-9]+)/", 1).cast("long"))
+    before = F.sum(F.octet_length("html")).over(W.partitionBy("file").orderBy("page_id"))
+    asked = pages.select("page_id", "file", F.octet_length("html").alias("n"), (before - F.octet_length("html")).alias("at"))
+    first, last, kind = F.col("at").cast("string"), (F.col("at") + F.col("n") - 1).cast("string"), F.col("page_id") % 4
+    header = F.when(kind == 0, F.concat(F.lit("bytes="), first, F.lit("-"), last)).when(kind == 1, F.concat(F.lit("bytes="), first, F.lit("-"))).when(kind == 2, F.concat(F.lit("bytes="), first, F.lit("-"), last, F.lit(",0-9")))
+    header = F.when(kind == 3, F.concat(F.lit("bytes="), (F.col("at") + (1 << 40)).cast("string"), F.lit("-"))).otherwise(header)
+    served = media.serve(asked.select("page_id", "file", header.alias("header")).join(files, "file"), F.col("header"), F.col("length"), F.col("modificationTime"))
+    read = media.read_ranges(served)
+    return read.select("page_id", "status", "content_range", "content_length", F.sha2("body", 256).alias("body_sha256"), (F.col("etag").isNotNull() & F.col("last_modified").endswith(" GMT")).alias("tagged"))
+
+
 @_query
 def path_validation(t: Tables) -> DataFrame:
     p = t.raw("pages")

@@ -27,6 +27,6 @@ def audio_listing(spark: SparkSession, base: str) -> DataFrame:
     return out.where("book IS NOT NULL AND chapter IS NOT NULL").groupBy("translation_alias", "voice_alias", "book", "chapter").agg(F.max("length").alias("length"))
 
 
-def contents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """path, modificationTime, length and content of whole files."""
-    return spark.read.format("binaryFile").load(paths)
+def file_stats(spark: SparkSession, base: str) -> DataFrame:
+    """path, modificationTime and length of the files below a folder, whatever its depth, but for empty ones, which Spark's readers skip; contents aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "modificationTime", "length")

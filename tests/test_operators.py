@@ -1,8 +1,6 @@
 from __future__ import annotations
 
-import threading
 from datetime import date, datetime
-from http.server import BaseHTTPRequestHandler, HTTPServer
 from types import SimpleNamespace
 
 import pytest
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from codexa.operators import content, media, sync, telemetry
 from codexa.operators.cache import TimedCache
 from codexa.sources import media as media_source
-from codexa.sources.payload import Settings, env_int, env_required, fetch_payload, json_rows, read_payload
+from codexa.sources.payload import Settings, env_int, env_required, jdbc_table
 from codexa.sources.tables import CONTENT, DDL, schema
 
 
@@ -159,37 +157,6 @@ def test_imports(spark, small, tmp_path):
     assert sync.orphans(current["translation_notes"], current["translation_titles"], "translation_title").count() == 0
 
 
-def test_payload(spark, tmp_path):
-    (tmp_path / "p.json").write_text('{"languages": [{"alias": "en", "name_en": "E", "name_national": "E"}], "voices": []}')
-    got = read_payload(spark, str(tmp_path / "p.json"))
-    assert set(got) == {"languages", "voices"} and got["languages"].count() == 1 and got["voices"].count() == 0
-    (tmp_path / "bad.json").write_text('{"translations": [{"code": "x"}]}')
-    with pytest.raises(Exception, match="MALFORMED|FAILFAST|parse"):
-        read_payload(spark, str(tmp_path / "bad.json"))["translations"].collect()
-
-
-def test_fetching(spark, tmp_path):
-    class Handler(BaseHTTPRequestHandler):
-        def do_GET(self):
-            good = self.path == "/api/data?translation=a+b" and self.headers["X-API-Key"] == "k"
-            self.send_response(200 if good else 500)
-            self.end_headers()
-            self.wfile.write(b'{"languages": [{"alias": "en", "name_en": "E", "name_national": "E"}]}' if good else b"x" * 900)
-
-        def log_message(self, *_):
-            pass
-
-    server = HTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
-    path = fetch_payload(base, str(tmp_path / "p.json"), "a b", "k")
-    rows = read_payload(spark, path)["languages"]
-    assert [r.json for r in json_rows(rows.withColumn("x", F.lit(None).cast("int"))).collect()] == ['{"alias":"en","name_en":"E","name_national":"E","x":null}']
-    with pytest.raises(RuntimeError, match=r"500: x{500}$"):
-        fetch_payload(base, str(tmp_path / "q.json"))
-    server.shutdown()
-
-
 def test_timed_cache(spark):
     now, made = [0.0], []
     cache = TimedCache(10, lambda: now[0])
@@ -241,11 +208,9 @@ def test_audio_files(spark, tmp_path):
     got = media_source.audio_listing(spark, str(tmp_path))
     assert sorted((r.book, r.chapter) for r in got.collect()) == [(1, 1), (2, 4)]
     assert media_source.audio_listing(spark, str(tmp_path / "none")).count() == 0
-    files = media_source.contents(spark, str(tmp_path / "one/va/mp3/2/4.mp3"))
+    files = media_source.file_stats(spark, str(tmp_path / "one/va/mp3/2/4.mp3"))
     asked = files.crossJoin(spark.createDataFrame([("bytes=5-9",), (None,), ("bytes=9-5",)], "header string"))
-    served = media.serve(asked, F.col("header"), F.col("length"))
-    served = served.select("status", "content_range", media.body(F.col("content"), F.col("status"), F.col("first_byte"), F.col("content_length")).alias("body"))
-    got = {r.status: r for r in served.collect()}
+    got = {r.status: r for r in media.read_ranges(media.serve(asked, F.col("header"), F.col("length"))).collect()}
     assert bytes(got[206].body) == bytes(range(5, 10)) and got[206].content_range == "bytes 5-9/100"
     assert len(got[200].body) == 100 and got[416].body is None and got[416].content_range == "bytes */100"
 
