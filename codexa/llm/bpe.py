@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codexa.llm.common import int_lists, slices, trim, with_column
+from codexa.llm.common import int_lists, set_aside, slices, trim, with_column
 
 END = "</w>"
 #: Words that a worker remembers; beyond that it starts anew.
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     `decoded`, the ids are decoded again into a column of that name in the same pass. Rows keep their other columns,
     whatever these are called; repeated rows stay repeated, an empty table stays empty.
     """
-    keep = docs.drop(*[c for c in (ids, decoded) if c in docs.columns])
+    keep, back = set_aside(docs.drop(*[c for c in (ids, decoded) if c in docs.columns]), text)
     coded = T.StructType([*keep.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
     schema = T.StructType([*coded.fields, T.StructField(decoded, T.StringType(), False)]) if decoded else coded
 
@@ -360,12 +360,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             yield with_column(out, decoded, pa.array(map(bpe.decode, got), pa.string()), schema) if decoded else out
         bpe.release()
 
-    return keep.mapInArrow(run, schema)
+    return back(keep.mapInArrow(run, schema), ids, *([decoded] if decoded else []))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the text that the ids stand for; null ids give an empty text."""
-    keep = df.drop(decoded) if decoded in df.columns else df
+    keep, back = set_aside(df.drop(decoded) if decoded in df.columns else df, ids)
     schema = T.StructType([*keep.schema.fields, T.StructField(decoded, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,4 +376,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
                 texts = [bpe.decode(np.array(x or [], np.int64)) for x in part.column(ids).to_pylist()]
                 yield with_column(part, decoded, pa.array(texts, pa.string()), schema)
 
-    return keep.mapInArrow(run, schema)
+    return back(keep.mapInArrow(run, schema), decoded)

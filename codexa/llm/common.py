@@ -24,9 +24,11 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one, which is then set."""
+    """The folder in spark.checkpoint.dir; where that is unset on a single machine (tests), a temporary one, which is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='codexa-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from codexa.llm.common import slices, with_column
+from codexa.llm.common import set_aside, slices, with_column
 
 UNIT = 64
 #: The largest side of an image in units of 16 pixels.
@@ -453,14 +453,14 @@ def store(rows: DataFrame, text: str = "text", media: str = "media") -> DataFram
 
     A null text counts as empty. Other columns stay; equal texts have equal media; no rows give no rows.
     """
-    keep = rows.drop(media)
+    keep, back = set_aside(rows.drop(media), text)
     schema = T.StructType([*keep.schema.fields, T.StructField(media, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 2 << 20):
             yield with_column(b, media, pa.array([encode_payload(*padded(t)) for t in b.column(text).to_pylist()], pa.binary()), schema)
 
-    return keep.mapInArrow(run, schema)
+    return back(keep.mapInArrow(run, schema), media)
 
 
 LOADED = "payload binary, n_bytes long, height int, width int, feature string, rgb binary"
@@ -473,7 +473,7 @@ def load(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFra
     gives nulls. Columns of the result's names are replaced, others stay.
     """
     names = [x.split()[0] for x in LOADED.split(", ")]
-    keep = rows.drop(*[c for c in names if c in rows.columns])
+    keep, back = set_aside(rows.drop(*[c for c in names if c in rows.columns]), media)
     added = T._parse_datatype_string(LOADED)
     schema = T.StructType([*keep.schema.fields, *added.fields])
 
@@ -485,7 +485,7 @@ def load(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFra
                 b = with_column(b, name, pa.array([g[i] for g in got], _ARROW[i]), upto)
             yield b
 
-    return keep.mapInArrow(run, schema)
+    return back(keep.mapInArrow(run, schema), *names)
 
 
 _ARROW = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())

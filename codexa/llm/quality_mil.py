@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codexa.llm.common import row_key, slices, with_column
+from codexa.llm.common import row_key, set_aside, slices, with_column
 
 PASSAGE_WORDS = 80
 #: Labelled rows learned from, about, drawn by a hash of id and text.
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Attention | None, text: str = "text", column:
     A null or wordless text is scored as one empty passage. Without a model all scores are 0.5. Other columns stay; equal
     texts have equal scores; no rows give no rows.
     """
-    keep = docs.drop(column)
+    keep, back = set_aside(docs.drop(column), text)
     schema = T.StructType([*keep.schema.fields, T.StructField(column, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,4 +167,4 @@ def score(docs: DataFrame, model: Attention | None, text: str = "text", column:
             got = [0.5 if model is None else model.score(t) for t in b.column(text).to_pylist()]
             yield with_column(b, column, pa.array(got, pa.float64()), schema)
 
-    return keep.mapInArrow(run, schema)
+    return back(keep.mapInArrow(run, schema), column)

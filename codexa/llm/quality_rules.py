@@ -127,7 +127,7 @@ def measured(docs: DataFrame, text: str = "text", keep_text: bool = True) -> Dat
     df = df.withColumn("_p", F.expr("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND _s[k - 1].h = x.h) OR (k < size(_s) - 1 AND _s[k + 1].h = x.h)), x -> x.i))"))
     joined = F.array_join("_w", "")
     df = df.select(
-        *[c for c in docs.columns if keep_text or c != text],
+        *[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text],
         F.size("_w").cast("long").alias("n_words"),
         F.length(joined).cast("long").alias("word_chars"),
         _removed(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),

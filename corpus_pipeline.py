@@ -50,7 +50,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     row = free_name(docs, "_row")
     kept = overlap.near_duplicates(docs, NEAR_SEEDS).where("kept").select(F.col("row").alias(row)).distinct()
-    return docs.withColumn(row, row_key()).join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+    return docs.withColumn(row, row_key()).join(kept, row, "left_semi").dropDuplicates([row]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

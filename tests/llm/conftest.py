@@ -6,7 +6,7 @@ import pytest
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that operators use for their own columns.
-CLASHES = ("score", "ids", "decoded", "kept", "_key", "_id", "_bucket", "_train", "_label", "id", "fp", "comp", "media", "payload", "lang_pred", "n_words", "rows", "_t", "_w", "quality", "p", "words", "removed", "_hot", "kept_text", "rgb")
+CLASHES = ("score", "ids", "decoded", "kept", "_key", "_id", "_bucket", "_train", "_label", "id", "fp", "comp", "media", "payload", "lang_pred", "n_words", "rows", "_t", "_w", "quality", "p", "words", "removed", "_hot", "kept_text", "rgb", "a.b", "text.x")
 
 
 def prose(seed: int, n: int) -> str:
