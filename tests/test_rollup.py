@@ -79,6 +79,16 @@ def test_a_repeated_micro_batch_replaces_its_rows(job, tmp_path):
     assert job.log() == before and len(before) == 3
 
 
+def test_files_without_rows_and_without_logged_requests(job):
+    job.drop()
+    job.drop(("/docs", "x", day(1)))
+    job.take()
+    assert sum(job.taken) == 1 and job.log() == [] and job.roll_up("2024-01-09") == []
+    job.drop(("/api/a", "x", day(1)))
+    job.take()
+    assert sum(job.taken) == 2 and job.roll_up("2024-01-09") == [date(2024, 1, 1)]
+
+
 def test_purge_drops_folders_and_keeps_the_session(spark, job, tmp_path):
     job.drop(*[("/api/a", "x", day(d, 8)) for d in range(1, 21)], ("/api/n", "x", None))
     job.take()
