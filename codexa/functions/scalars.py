@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codexa.functions.templates import format_fields
+
 #: The reference notation, the endpoints that are merged, what is never logged.
 REFERENCE = r"([0-9a-z]+) (\d+)(:(\d+)(?:-(\d+))?)?"
 ENDPOINT_RULES = ((r"^/api/audio/.+", "/api/audio/*"), (r"^/api/translations/\d+/books", "/api/translations/*/books"))
@@ -53,23 +55,21 @@ def audio_link(base: str, translation: Column, voice: Column, book: Column, chap
 
 
 def expand_template(template: Column, number: Column, chapter: Column, code1: Column, code2: Column, code3: Column) -> Column:
-    """The template with its ten placeholders filled; '' for an empty template, an unknown book or placeholder, or a stray brace."""
+    """The template with its ten fields filled, as `templates.format_fields` does; '' for an empty template, an unknown book and every error."""
     fill = {
         "book_zerofill": zero_fill(number, 2),
         "chapter_zerofill": zero_fill(chapter, 2),
         "chapter_zerofill3": zero_fill(chapter, 3),
         "chapter_zerofill_ps3": F.when(number == LONG_BOOK, zero_fill(chapter, 3)).otherwise(zero_fill(chapter, 2)),
-        "book": number.cast("string"),
-        "chapter": chapter.cast("string"),
+        "book": number,
+        "chapter": chapter,
         "book_alias": code1,
         "book_alias_upper": F.upper(code1),
         "book_code2": F.coalesce(code2, F.lit("")),
         "book_code3": F.coalesce(code3, F.lit("")),
     }
-    out = template
-    for name, value in fill.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return F.when(out.isNull() | number.isNull() | out.rlike("[{}]"), "").otherwise(out)
+    known = number.isNotNull() & chapter.isNotNull() & code1.isNotNull()
+    return F.coalesce(F.when(known, format_fields(template, fill, ("book", "chapter"))), F.lit(""))
 
 
 def byte_range(header: Column, size: Column) -> Column:
