@@ -45,12 +45,25 @@ def books_info(books: DataFrame, canon: DataFrame, verses: DataFrame) -> DataFra
     return books.join(c, "book_number", "left").join(chapter_counts(verses), "book_number", "left")
 
 
-def match_alias(alias: Column) -> Column:
-    """Whether an alias names a row of books_info; codes 6 to 9 are not looked at."""
-    out = F.col("alias") == alias
-    for c in ALIASES[1:]:
-        out = out | (F.col(c) == alias)
-    return F.coalesce(out, F.lit(False))
+def match_alias(alias: Column, collation: str | None = None) -> Column:
+    """Whether an alias names a row of books_info, under a collation if one is given; codes 6 to 9 are not looked at."""
+    asked = F.collate(alias, collation) if collation else alias
+    out = F.lit(False)
+    for c in ("alias", *ALIASES[1:]):
+        out = out | F.coalesce(F.col(c) == asked, F.lit(False))
+    return out
+
+
+def books_by_alias(aliases: DataFrame, info: DataFrame, collation: str | None = None) -> DataFrame:
+    """aliases (translation, asked) with code, book_number and alias of the books of books_info that they name, null where none does.
+
+    A book with an alias in several columns is found once, two books with equal aliases both. collation: how aliases compare,
+    as UTF8_LCASE does without regard to case; by their bytes otherwise. One join by equality on the listed aliases.
+    """
+    key = lambda x: F.collate(x, collation) if collation else x
+    listed = info.select("translation", "code", "book_number", "alias", F.explode(F.array_distinct(F.array_compact(F.array("alias", *ALIASES[1:])))).alias("_name"))
+    listed = listed.select("translation", "code", "book_number", "alias", key(F.col("_name")).alias("_key")).dropDuplicates(["translation", "code", "book_number", "_key"])
+    return aliases.withColumn("_key", key(F.col("asked"))).join(listed, ["translation", "_key"], "left").drop("_key")
 
 
 def books_overview(books: DataFrame, canon: DataFrame, verses: DataFrame, translations: DataFrame) -> DataFrame:
@@ -132,10 +145,12 @@ def voice_info(requests: DataFrame, voices: DataFrame, translations: DataFrame)
     return out.withColumn("error", F.when(F.col("voice_alias").isNull(), F.concat(F.lit("Voice "), F.col("voice").cast("string"), F.lit(" not found for translation "), F.col("translation").cast("string"), F.lit("."))))
 
 
-def book_numbers(aliases: DataFrame, canon: DataFrame) -> DataFrame:
-    """aliases (alias) with the canon's number, as text, or error."""
-    c = canon.select(F.col("code1").alias("alias"), F.col("number").cast("string").alias("number"))
-    return aliases.join(F.broadcast(c), "alias", "left").withColumn("error", F.when(F.col("number").isNull(), F.concat(F.lit("Book '"), F.col("alias"), F.lit("' not found."))))
+def book_numbers(aliases: DataFrame, canon: DataFrame, collation: str | None = None) -> DataFrame:
+    """aliases (alias) with the canon's number, as text, or error; aliases compare under a collation if one is given."""
+    key = lambda x: F.collate(x, collation) if collation else x
+    c = canon.select(key(F.col("code1")).alias("_key"), F.col("number").cast("string").alias("number"))
+    found = aliases.withColumn("_key", key(F.col("alias"))).join(F.broadcast(c), "_key", "left").drop("_key")
+    return found.withColumn("error", F.when(F.col("number").isNull(), F.concat(F.lit("Book '"), F.col("alias"), F.lit("' not found."))))
 
 
 def chapter_verses(requests: DataFrame, verses: DataFrame, alignments: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, FIRST_CLOSE, IMPORTED, LANGUAGE, LATE, LATEST, LEAST, MESSAGES, NOW, PAGES_A_FILE, PRIOR_BEFORE
+from codexa.operators.sync import RELATIONS
+from codexa.plans.queries import ABOUT, AS_OF, BASE_URL, FIRST_CLOSE, FORMATS, IMPORTED, LANGUAGE, LATE, LATEST, LEAST, LEFT, MESSAGES, NOW, PAGES_A_FILE, PRIOR_BEFORE
 from codexa.sources.tables import CONTENT, DDL, SQL
 
 _CHAPTERS = "SELECT DISTINCT v.translation, v.book_number, v.chapter_number FROM translation_verses v WHERE EXISTS (SELECT 1 FROM translation_books b WHERE b.translation = v.translation AND b.book_number = v.book_number)"
@@ -82,6 +83,29 @@ def overview(counted: str = "log", as_of: str = AS_OF, now: str = NOW) -> str:
             FROM s FULL JOIN k ON s.date = k.date AND s.endpoint = k.endpoint"""
 
 
+#: What each of FORMATS gives, by DuckDB's own formatting; null stands for an error.
+_FORMATTED = (
+    "'{' || format('{:03d}', b.book) || '}/' || lpad(CAST(n.chapter AS VARCHAR), 5, ' ')", "format('{:*^9}', c.code1) || '|' || left(upper(c.code1), 2)",
+    "format('{:#06x}', n.chapter) || format('-{:+d}', n.chapter) || '-' || rpad(CAST(b.book AS VARCHAR), 4, ' ') || '|'", "NULL", "NULL", "rpad(coalesce(c.code2, ''), 6, '_') || '{}' || left(c.code1, 1)",
+    "lpad(format('{:02d}', b.book), n.chapter, ' ')", "NULL",
+)
+
+
+def _formats() -> str:
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_FORMATTED))
+    return f"""SELECT s.code, b.book, n.chapter, CASE WHEN c.number IS NULL THEN '' ELSE coalesce(CASE s.code % {len(FORMATS)} {cases} END, '') END AS url
+        FROM voices s CROSS JOIN (SELECT unnest(range(1, 71)) AS book) b CROSS JOIN (SELECT unnest([5, 119])::INT AS chapter) n LEFT JOIN bible_books c ON c.number = b.book"""
+
+
+def _audited() -> str:
+    tables = ", ".join(f"left_{t} AS (SELECT * FROM {t} WHERE {LEFT.get(t, 'true')})" for t in CONTENT)
+    missing = [(child, c, *parent.split(".")) for child, columns in RELATIONS.items() for c, parent in columns.items()]
+    return f", {tables} " + " UNION ALL ".join(
+        f"SELECT '{child}.{c}' AS relation, '{parent}.{key}' AS parent, count(DISTINCT x.{c}) AS missing_keys, count(*) AS orphan_rows FROM left_{child} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM left_{parent} p WHERE p.{key} = x.{c}) HAVING count(*) > 0"
+        for child, c, parent, key in missing
+    )
+
+
 def _imported() -> str:
     """All rows of the content tables, as text, after import_end_to_end."""
     new = {
@@ -120,6 +144,13 @@ def oracle_sql() -> dict[str, str]:
         "localized_document": "SELECT * FROM (VALUES " + ", ".join(f"('{part}', '{lang}', '{text}')" for part, texts in ABOUT.items() for lang, text in texts.items()) + ") AS d(part, language, text)",
         "cache_roundtrip": "SELECT a.step, a.translation, c.books, c.chapters, 4 AS made, 2 AS dropped FROM (VALUES (0, 1), (1, 1), (2, 2), (3, 3), (4, 2), (5, 1)) AS a(step, translation) JOIN (SELECT translation, count(*) AS books, CAST(sum(n) AS BIGINT) AS chapters FROM (SELECT translation, book_number, max(chapter_number) AS n FROM translation_verses GROUP BY 1, 2) GROUP BY 1) c ON c.translation = a.translation",
         "audio_url": f"SELECT s.code, b.book, n.chapter, CASE WHEN c.number IS NULL OR {_expand('b.book', 'n.chapter')} LIKE '%{{%' THEN '' ELSE {_expand('b.book', 'n.chapter')} END AS url FROM voices s CROSS JOIN (SELECT unnest(range(1, 71)) AS book) b CROSS JOIN (SELECT unnest([5, 50, 119]) AS chapter) n LEFT JOIN bible_books c ON c.number = b.book WHERE s.link_template IS NOT NULL",
+        "audio_url_formats": _formats(),
+        "book_lookup_nocase": "SELECT a.alias, CAST(c.number AS VARCHAR) AS number, CASE WHEN c.number IS NULL THEN 'Book ''' || a.alias || ''' not found.' END AS error FROM (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'B' ELSE 'b' END || (p_partkey % 80) AS alias FROM part) a LEFT JOIN bible_books c ON c.code1 = a.alias COLLATE NOCASE",
+        "books_by_alias_nocase": """SELECT a.translation, a.asked, i.code, i.book_number, i.alias FROM (SELECT translation, ['BK', 'bX', 'B', 'zz'][code % 4 + 1] || book_number AS asked FROM translation_books) a
+            LEFT JOIN info i ON i.translation = a.translation AND lower(a.asked) IN (lower(i.alias), lower(i.code2), lower(i.code3), lower(i.code4), lower(i.code5), lower(i.short_name_en), lower(i.short_name_ru))""",
+        "daily_stats_merged": _stats("log"),
+        "monthly_stats_merged": "SELECT strftime(created_at, '%Y-%m') AS month, endpoint, count(*) AS request_count, count(DISTINCT client_ip) AS unique_ips, round(avg(response_time_ms)) AS avg_response_time_ms, CAST(sum(CASE WHEN status_code >= 400 THEN 1 ELSE 0 END) AS BIGINT) AS error_count FROM log GROUP BY 1, 2",
+        "referential_audit": _audited(),
         "excerpt_refs": "SELECT request_id, part_index, book, chapter_number, start_verse, end_verse, label FROM parts",
         "chapter_verses": ", w AS (SELECT DISTINCT v.translation, v.book_number, v.chapter_number, s.code AS voice, CASE WHEN v.chapter_number % 2 = 0 THEN 2 END AS start_verse, CASE WHEN v.chapter_number % 2 = 0 THEN 4 END AS end_verse FROM translation_verses v LEFT JOIN voices s ON s.translation = v.translation) " + f'SELECT translation, voice, book_number, chapter_number, verse_number, code, text, b0 AS "begin", e0 AS "end", start_paragraph FROM ({_VERSES.format("w")})',
         "chapter_titles": "SELECT code, text, before_translation_verse, reference, subtitle FROM translation_titles WHERE before_translation_verse IN (SELECT code FROM translation_verses)",

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codexa.functions import scalars as S
-from codexa.operators import content, media, sync, telemetry
+from codexa.operators import content, distinct, media, sync, telemetry
 from codexa.operators.cache import TimedCache
 from codexa.sources import media as media_source
 from codexa.sources import payload as payload_module
@@ -23,6 +23,10 @@ AS_OF, PRIOR_BEFORE, NOW = "2024-01-25", "2024-01-10", "2024-01-25 12:00:00"
 #: When the stream's first drop is rolled up, and what comes after that.
 FIRST_CLOSE, LATE = "2024-01-15", "peer LIKE '%7'"
 PAGES_A_FILE = 16
+NOCASE = "UTF8_LCASE"
+#: Templates with specs, and what is left of each table for an audit to find pointers without their row.
+FORMATS = ("{{{book:03d}}}/{chapter:>5}", "{book_alias:*^9}|{book_alias_upper:.2}", "{chapter:#06x}-{chapter:+d}-{book:<4}|", "{book", "{book_alias:d}", "{book_code2:_<6}{{}}{book_alias[0]}", "{book_zerofill!s:>{chapter}}", "{chapter:,}{unknown}")
+LEFT = {"languages": "alias <> 'asia'", "bible_books": "number % 10 <> 3", "translations": "code % 9 <> 4", "translation_verses": "code % 13 <> 5", "translation_titles": "code % 7 <> 2", "voices": "code % 10 <> 6"}
 LANGUAGE, IMPORTED, LEAST, LATEST, BASE_URL = "asia", 3, "3.4", "5", "https://api.example"
 ABOUT = {"project": {"en": "A reader for versioned texts", "ru": "Чтение текстов по изданиям", "uk": "Читання текстів за виданнями"}, "contact": {"en": "Write to us", "ru": "Напишите нам", "uk": "Напишіть нам"}}
 MESSAGES = {"soft": "An update is available.", "hard": "This version is no longer supported."}
@@ -129,6 +133,27 @@ def audio_url(t: Tables) -> DataFrame:
     return media.audio_urls(asked, t.bible_books).select("code", "book", "chapter", "url")
 
 
+@_query
+def audio_url_formats(t: Tables) -> DataFrame:
+    templates = F.array(*map(F.lit, FORMATS))
+    asked = t.voices.select("code", F.element_at(templates, (F.col("code") % len(FORMATS) + 1).cast("int")).alias("link_template"), F.explode(F.sequence(F.lit(1), F.lit(70))).alias("book"))
+    return media.audio_urls(asked.withColumn("chapter", F.explode(F.array(F.lit(5), F.lit(119)))), t.bible_books).select("code", "book", "chapter", "url")
+
+
+@_query
+def book_lookup_nocase(t: Tables) -> DataFrame:
+    letter = F.when(F.col("p_partkey") % 2 == 0, "B").otherwise("b")
+    asked = t.raw("part").select(F.concat(letter, (F.col("p_partkey") % 80).cast("string")).alias("alias")).distinct()
+    return content.book_numbers(asked, t.bible_books, NOCASE)
+
+
+@_query
+def books_by_alias_nocase(t: Tables) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("BK", "bX", "B", "zz"))), (F.col("code") % 4 + 1).cast("int"))
+    asked = t.translation_books.select("translation", F.concat(kind, F.col("book_number").cast("string")).alias("asked"))
+    return content.books_by_alias(asked, content.books_info(t.translation_books, t.bible_books, t.translation_verses), NOCASE).select("translation", "asked", "code", "book_number", "alias")
+
+
 def _requests(t: Tables) -> DataFrame:
     """Reference strings of all kinds, one from each verse."""
     v = t.translation_verses
@@ -210,6 +235,34 @@ def daily_stats_upsert(t: Tables) -> DataFrame:
     return telemetry.upsert(telemetry.backfill(log, prior, F.lit(AS_OF).cast("date")), telemetry.daily_stats(log.where("created_at < TIMESTAMP_NTZ '2024-01-03'")), ["date", "endpoint"])
 
 
+def _states(t: Tables) -> DataFrame:
+    """States of two parts of the log, late rows in the second, as they were written one after the other."""
+    base, log = scratch(t.spark, "distinct"), telemetry.clean_requests(t.raw_requests)
+    first = F.coalesce((F.col("created_at") < F.lit(FIRST_CLOSE).cast("timestamp_ntz")) & ~F.expr(LATE.replace("peer", "client_ip")), F.lit(False))
+    numbers = None
+    for i, part in enumerate((log.where(first), log.where(~first))):
+        distinct.number_values(part, "client_ip", numbers).write.parquet(f"{base}/numbers-{i}")
+        numbers = t.spark.read.parquet(f"{base}/numbers-{i}")
+        distinct.state_of(part, numbers).write.mode("append").parquet(f"{base}/state")
+    return t.spark.read.parquet(f"{base}/state")
+
+
+@_query
+def daily_stats_merged(t: Tables) -> DataFrame:
+    return distinct.daily_stats(_states(t))
+
+
+@_query
+def monthly_stats_merged(t: Tables) -> DataFrame:
+    return distinct.counted(_states(t).withColumn("month", F.date_format("date", "yyyy-MM")), "month", "endpoint")
+
+
+@_query
+def referential_audit(t: Tables) -> DataFrame:
+    """Pointers that miss their row after rows were taken out of six tables."""
+    return sync.audit({n: df.where(LEFT.get(n, "true")) for n, df in _content(t).items()})
+
+
 @_query
 def purge_retention(t: Tables) -> DataFrame:
     return telemetry.retained(telemetry.clean_requests(t.raw_requests), F.lit(NOW).cast("timestamp_ntz")).select("endpoint", "status_code", "client_ip", "created_at")
