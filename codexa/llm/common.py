@@ -40,10 +40,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, name: str, by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """df as a table in the shared folder, in folders by the columns `by`: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    out = df.write.option("compression", codec) if codec else df.write
+    out.partitionBy(*by).parquet(path) if by else out.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch = path
     return table

@@ -20,6 +20,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codexa.llm.common import set_aside, slices, with_column
@@ -488,6 +489,40 @@ def load(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFra
     return back(keep.mapInArrow(run, schema), *names)
 
 
+BANDS = "band int, top int, height int, width int, rgb binary"
+
+
+def tensors(rows: DataFrame, media: str = "media") -> DataFrame:
+    """The RGB tensor of each medium in bands of bounded size, a row a band: rows' other columns, band (from 0), top (its first line), height, width and rgb (height * width * 3 bytes).
+
+    A null medium has no band. Columns of the result's names are replaced, the medium itself is left out.
+    """
+    names = [x.split()[0] for x in BANDS.split(", ")]
+    keep, back = set_aside(rows.drop(*[c for c in names if c in rows.columns]), media)
+    others = [f for f in keep.schema.fields if f.name != media]
+    schema = T.StructType([*others, *T._parse_datatype_string(BANDS).fields])
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, media, 2 << 20):
+            for i, m in enumerate(b.column(media).to_pylist()):
+                top = 0
+                for n, band in enumerate(() if m is None else rgb_bands(decode(m))):
+                    row = [b.column(f.name).slice(i, 1) for f in others]
+                    row += [pa.array([v], t) for v, t in zip((n, top, *band.shape[:2], band.tobytes()), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(row, names=schema.names)
+                    top += len(band)
+
+    return back(keep.mapInArrow(run, schema), *names)
+
+
+def digest_of_bands(bands: DataFrame, key: str) -> DataFrame:
+    """(key, rgb_sha256): the SHA-256 of the hexadecimal SHA-256 of all bands of a tensor, joined in their order."""
+    each = bands.select(key, "band", F.sha2("rgb", 256).alias("sha"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("band", "sha"))), lambda b: b["sha"])  # 64 characters a band
+    return each.groupBy(key).agg(F.sha2(F.array_join(ordered, ""), 256).alias("rgb_sha256"))
+
+
 _ARROW = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codexa.llm import arc_convert as A
 from codexa.llm import jpeg as J
@@ -187,6 +188,66 @@ def test_media_tables(odd, odd_rows, empty, clashing):
     assert {r.words for r in rows} == {"mine"}
 
 
+def slow_feature(rgb):
+    """The feature of a whole tensor, a sample at a time."""
+    height, width, _ = rgb.shape
+    means = [int(sum(int(v) for v in rgb[..., c].ravel())) * 100 // (height * width) for c in range(3)]
+    cells = [[[] for _ in range(8)] for _ in range(8)]
+    for y in range(height):
+        for x in range(width):
+            cells[y * 8 // height][x * 8 // width].append(sum(int(v) for v in rgb[y, x]))
+    level = [sum(c) / max(len(c), 1) for row in cells for c in row]
+    bits = "".join("1" if v > sum(level) / 64 else "0" for v in level)
+    return f"{height}x{width} " + " ".join(f"{m // 100}.{m % 100:02d}" for m in means) + f" {int(bits, 2):016x}"
+
+
+def slow_rgb(image):
+    """The tensor by the transform's own sum, a block and a sample at a time."""
+    planes = []
+    for p in image.parts:
+        plane = np.zeros((8 * p.high, 8 * p.wide))
+        for i, block in enumerate(p.blocks):
+            square = np.zeros(64)
+            square[J.ZIGZAG] = block * image.quant[p.table]
+            for y in range(8):
+                for x in range(8):
+                    total = sum((0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) * square[8 * v + u] * np.cos((2 * x + 1) * u * np.pi / 16) * np.cos((2 * y + 1) * v * np.pi / 16) for u in range(8) for v in range(8))
+                    plane[8 * (i // p.wide) + y, 8 * (i % p.wide) + x] = total / 4 + 128
+        planes.append(np.clip(np.rint(plane), 0, 255))
+    out = np.zeros((image.height, image.width, 3))
+    for y in range(image.height):
+        for x in range(image.width):
+            at = [planes[k][y * p.down // image.parts[0].down, x * p.across // image.parts[0].across] for k, p in enumerate(image.parts)]
+            luma, blue, red = at if len(at) == 3 else (at[0], 128, 128)
+            out[y, x] = luma + 1.402 * (red - 128), luma - 0.344136 * (blue - 128) - 0.714136 * (red - 128), luma + 1.772 * (blue - 128)
+    return np.clip(np.rint(out), 0, 255)
+
+
+def test_tensor_and_feature_against_a_slow_decoder():
+    for text in ("", "the quick brown fox " * 30, "é" * 1000):
+        media = J.encode_payload(*J.padded(text))
+        *_, height, width, feature, rgb = J._loaded(media, True)
+        got = np.frombuffer(rgb, np.uint8).reshape(height, width, 3)
+        assert np.abs(got - slow_rgb(J.decode(media))).max() <= 2  # a sample's rounding, carried through the colours
+        assert feature == slow_feature(got)
+
+
+def test_stored_tensors_are_those_of_the_media(spark, empty, clashing):
+    long = clashing.where("doc_id = 9").withColumn("text", F.repeat(F.lit("seven letters "), 120_000))
+    media = J.store(clashing.unionByName(long)).select("*", F.monotonically_increasing_id().alias("row")).cache()
+    whole = {r.row: (r.height, r.width, bytes(r.rgb)) for r in J.load(media).collect()}
+    bands = J.tensors(media)
+    parts = {}
+    for r in sorted(bands.collect(), key=lambda r: (r.row, r.band)):
+        before = parts.setdefault(r.row, [0, r.width, b"", []])
+        assert r.top == before[0] and len(r.rgb) == r.height * r.width * 3 and r.words == "mine"
+        parts[r.row] = [before[0] + r.height, r.width, before[2] + bytes(r.rgb), [*before[3], hashlib.sha256(r.rgb).hexdigest()]]
+    assert {k: tuple(v[:3]) for k, v in parts.items()} == whole and max(len(v[3]) for v in parts.values()) > 1
+    assert {r.row: r.rgb_sha256 for r in J.digest_of_bands(bands, "row").collect()} == {k: hashlib.sha256("".join(v[3]).encode()).hexdigest() for k, v in parts.items()}
+    media.unpersist()
+    assert J.tensors(J.store(empty)).count() == 0 and J.tensors(spark.createDataFrame([(1, None)], "row int, media binary")).count() == 0
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archive_files(version):
     rows = [(1, "http://a b/ü", "é<p>\n\n".encode()), (None, None, b""), (3, "x", b"y" * 500), (-4, "", b"\r\n\r\nz")]
