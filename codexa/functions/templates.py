@@ -27,17 +27,24 @@ def format_fields(template: Column, values: dict[str, Column], numbers: tuple[st
     offered, are attributes, `!r` and `!a` of strings, integers laid out as characters or floats, and widths over 9999.
     """
     texts = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("string"))])
-    tokens = F.transform(F.regexp_extract_all(template, F.lit(TOKEN), F.lit(0)), lambda t: _read(t, texts, values, numbers))
-    pieces = F.transform(F.transform(F.transform(tokens, _specified), _laid_out), _padded)
+    tokens = F.regexp_extract_all(template, F.lit(TOKEN), F.lit(0))
+    for step in (_split, lambda t: _read(t, texts, values, numbers), _parts, _specified, _laid_out, _padded):  # each names what the next uses more than once
+        tokens = F.transform(tokens, step)
+    pieces = tokens
     return F.when(~F.exists(pieces, lambda p: p.isNull()), F.array_join(pieces, ""))
 
 
-def _read(token: Column, texts: Column, values: dict[str, Column], numbers: tuple[str, ...]) -> Column:
-    """A token as its literal text, or as a field's value and spec; both are null in an error."""
+def _split(token: Column) -> Column:
+    """A token with the parts of its field, if it is one."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
-    part = lambda i: F.regexp_extract(inner, FIELD, i)
     field = token.startswith("{") & (F.length(token) > 1) & (token != "{{")
-    name, index, conversion, spec = part(1), part(2), part(3), part(4)
+    parts = [F.when(field, F.regexp_extract(inner, FIELD, i)).otherwise("").alias(n) for i, n in enumerate(("name", "index", "conversion", "spec"), 1)]
+    return F.struct(token.alias("token"), field.alias("field"), *parts)
+
+
+def _read(t: Column, texts: Column, values: dict[str, Column], numbers: tuple[str, ...]) -> Column:
+    """A token as its literal text, or as a field's value and spec; both are null in an error."""
+    token, field, name, index, conversion, spec = (t[n] for n in ("token", "field", "name", "index", "conversion", "spec"))
     whole = F.try_element_at(texts, name)
     number = name.isin(*numbers) if numbers else F.lit(False)
     at = index.try_cast("int")
@@ -55,10 +62,17 @@ def _read(token: Column, texts: Column, values: dict[str, Column], numbers: tupl
     )
 
 
+def _parts(t: Column) -> Column:
+    """The token with the parts of its spec, and whether the spec has the form of one."""
+    names = ("fill", "align", "sign", "alternate", "zero", "width", "group", "precision", "kind")
+    plain = F.coalesce(t["spec"] == "", F.lit(True))
+    parts = [F.when(plain, "").otherwise(F.regexp_extract(t["spec"], SPEC, i)).alias(n) for i, n in enumerate(names, 1)]
+    return F.struct(t["literal"].alias("literal"), t["value"].alias("value"), t["number"].alias("number"), (plain | t["spec"].rlike(SPEC)).alias("formed"), *parts)
+
+
 def _specified(t: Column) -> Column:
     """The parts of a field's spec; ok where it has a value, and a spec that fits this."""
-    part = lambda i: F.coalesce(F.regexp_extract(t["spec"], SPEC, i), F.lit(""))
-    fill, align, sign, alternate, zero, width, group, precision, kind = (part(i) for i in range(1, 10))
+    fill, align, sign, alternate, zero, width, group, precision, kind = (t[n] for n in ("fill", "align", "sign", "alternate", "zero", "width", "group", "precision", "kind"))
     fits = F.when(t["number"], (precision == "") & (kind != "s") & ~((group == ",") & ~kind.isin("", "d")) & ~((group == "_") & (kind == "n")))
     fits = fits.otherwise(kind.isin("", "s") & (sign == "") & (alternate == "") & (group == "") & (align != "="))
     right, left = F.when(zero == "0", "=").otherwise(">"), F.lit("<")
@@ -68,7 +82,7 @@ def _specified(t: Column) -> Column:
         F.when(align != "", align).when(t["number"], right).otherwise(left).alias("align"),
         sign.alias("sign"), (alternate == "#").alias("alternate"), F.coalesce(width.try_cast("int"), F.lit(0)).alias("width"), group.alias("group"),
         F.coalesce(precision.try_cast("int"), F.lit(2**31 - 1)).alias("precision"), kind.alias("kind"),
-        (t["value"].isNotNull() & t["spec"].rlike(SPEC) & fits).alias("ok"),
+        (t["value"].isNotNull() & t["formed"] & fits).alias("ok"),
     )
 
 
