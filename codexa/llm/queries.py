@@ -70,7 +70,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm_mix.score(docs, fold("doc_id", 10) != 0)
-    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-import xxhash
 from pyspark.sql import functions as F
 
 from codexa.llm import common, lm_mix, simhash, substring
@@ -196,8 +195,20 @@ def test_language_model_tables(odd, odd_rows, empty, clashing):
     assert lm_mix.score(empty, F.lit(True)).count() == 0
 
 
-def plain_scores(rows, train):
-    """Scores by loops over all tokens: counts in dictionaries, gates moved and asked token by token within each step."""
+def averaged(arrays, evidence):
+    """Place by place, over shards, weighed by evidence and one more."""
+    out = np.zeros(arrays[0].shape)
+    for place in np.ndindex(out.shape):
+        w = [e[place] + 1.0 for e in evidence]
+        out[place] = sum(x * a[place] for x, a in zip(w, arrays, strict=True)) / sum(w)
+    return out
+
+
+def plain_scores(rows, train, share):
+    """Scores by loops over all tokens: counts in dictionaries, gates moved and asked token by token within each step.
+
+    rows: id, text, key, shard.
+    """
     texts = [lm_mix.tokens(r[1]) for r in rows]
     count, pair = Counter(), Counter()
     for text, ok in zip(texts, train, strict=True):
@@ -208,7 +219,15 @@ def plain_scores(rows, train):
     words = sorted(count)
     slot_bits = min(lm_mix.MOST_SLOT_BITS, max(lm_mix.LEAST_SLOT_BITS, (4 * len(words)).bit_length()))
     spelling = lm_mix.Mixer.fresh(lm_mix.count_bits(words, slot_bits))
-    spelling.learn(words)
+    shards = max(1, -(-int(len(words) * share) // lm_mix.SHARD_WORDS))
+    parts = {}
+    for w in words:
+        if (h := xxhash.xxh64_intdigest(w, 1)) < int((1 << 64) * share):
+            parts.setdefault(h % shards, []).append(w)
+    learned = [(m := lm_mix.Mixer.fresh(spelling.counts), m.learn(part)) for part in parts.values()]
+    if learned:
+        spelling.weights = averaged([m.weights for m, _ in learned], [np.tile(met[:, None], (1, len(lm_mix.ORDERS))) for _, (met, _) in learned])
+        spelling.cells = averaged([m.cells for m, _ in learned], [cells.reshape(lm_mix.GATES, -1) for _, (_, cells) in learned])
     log = lambda x: math.log2(x) if x > 0 else -math.inf
     slot = lambda a: (int(lm_mix.START if a is None else xxhash.xxh64_intdigest(a)) * int(lm_mix._MIX[4]) % (1 << 64)) >> (64 - 10)
 
@@ -224,11 +243,15 @@ def plain_scores(rows, train):
             wins.append(experts[2] > experts[1])
         return out
 
-    gates = lm_mix.Gates.fresh()
-    key = lambda i: (rows[i][2], rows[i][1] or "")
-    seen = [x for i in sorted(range(len(rows)), key=key) if train[i] for x in steps(texts[i], 1)]
-    if n > 1 and seen:
-        gates.learn(np.array([x[0] for x in seen]), np.array([x[1] for x in seen]), np.array([x[2] for x in seen]))
+    fits = []
+    for shard in {r[3] for r in rows}:
+        own = lm_mix.Gates.fresh()
+        seen = [x for i in sorted(range(len(rows)), key=lambda i: rows[i][2]) if train[i] and rows[i][3] == shard for x in steps(texts[i], 1)]
+        if n > 1 and seen:
+            own.learn(np.array([x[0] for x in seen]), np.array([x[1] for x in seen]), np.array([x[2] for x in seen]))
+        met = Counter(x[1] for x in seen), Counter(x[2] for x in seen)
+        fits.append((own, [np.array([[m[i]] * 3 for i in range(len(table))]) for m, table in zip(met, (own.by_level, own.by_former), strict=True)]))
+    gates = lm_mix.Gates(averaged([g.by_level for g, _ in fits], [m[0] for _, m in fits]), averaged([g.by_former for g, _ in fits], [m[1] for _, m in fits]))
     out = []
     for (i, *_), text in zip(rows, texts, strict=True):
         total = 0.0
@@ -239,7 +262,10 @@ def plain_scores(rows, train):
     return out
 
 
-def test_language_model_scores(spark):
+@pytest.mark.parametrize(("share", "words", "size"), [(1.0, 1 << 16, 8 << 20), (0.5, 40, 1500)])
+def test_language_model_scores(spark, monkeypatch, share, words, size):
+    monkeypatch.setattr(lm_mix, "SHARD_WORDS", words)
+    monkeypatch.setattr(lm_mix, "SHARD_BYTES", size)
     rng, rows = random.Random(5), []
     for k in range(60):
         words = prose(k % 25, 40).split()
@@ -248,20 +274,38 @@ def test_language_model_scores(spark):
         rows.append((k, " ".join(words)))
     rows += [(60, None), (61, ""), (62, "One"), (62, "One"), (63, " ".join(rng.sample(prose(3, 40).split(), 40)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    keyed = [(r.doc_id, r.text, r.k) for r in docs.withColumn("k", common.row_key()).collect()]
+    shards = max(1, -(-sum(len(t or "") for _, t in rows) // size))
+    shard = F.pmod(F.xxhash64("k", F.lit("shard")), F.lit(shards)).alias("s")
+    keyed = [tuple(r) for r in docs.withColumn("k", common.row_key()).select("*", shard).collect()]
+    assert len({r[3] for r in keyed}) == shards and (shards > 1) == (size < 1 << 20)
     train = [r[0] % 5 != 0 for r in keyed]
-    want = sorted(plain_scores(keyed, train))
+    want = sorted(plain_scores(keyed, train, share))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         for partitions in ("3", "8"):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            got = {r.doc_id: r.score for r in lm_mix.score(docs, F.col("doc_id") % 5 != 0).collect()}
-            assert got == pytest.approx(dict(want), abs=2e-3)
+            found = lm_mix.score(docs, F.col("doc_id") % 5 != 0, spelling_share=share).collect()
+            assert {r.doc_id: r.score for r in found} == pytest.approx(dict(want), abs=2e-3)
+            for r in found:
+                assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / sum(len(w) + 1 for w in lm_mix.tokens(r.text)))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert dict(want)[3] > dict(want)[63] + 10  # the order of words counts
 
 
+def test_language_model_with_rows_repeated_often(spark):
+    """Rows that are the same are dealt to many buckets; each counts, and all have one score."""
+    text = prose(9, 30)
+    docs = spark.range(0, 900).select(F.when(F.col("id") < 400, None).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 400, text).otherwise(F.concat(F.lit("one "), F.col("id") % 50)).alias("text"))
+    salted, size = lm_mix._salted(docs.withColumn("_key", common.row_key()), "text")
+    per = {r.n: r["count"] for r in salted.groupBy(F.col("_salt").isNull().alias("n")).count().collect()}
+    assert per == {False: 400, True: 500} and salted.where("_salt is not null").agg(F.countDistinct("_salt")).first()[0] == 400
+    assert size == docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    got = lm_mix.score(docs, F.lit(True)).where("doc_id is null").collect()
+    assert len(got) == 400 and len({round(r.score, 9) for r in got}) == 1
+    assert got[0].train_tokens == 400 * 31 + 500 * 3 and got[0].n_known == got[0].n_tokens == 31
+
+
 def test_language_model_learns():
     texts = [prose(k, 200) for k in range(60)]
     counts = Counter(w for t in texts[:50] for w in lm_mix.tokens(t))
