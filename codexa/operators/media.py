@@ -27,11 +27,15 @@ def voice_link_templates(requests: DataFrame, voices: DataFrame, translations: D
 
 
 def audio_urls(requests: DataFrame, canon: DataFrame) -> DataFrame:
-    """requests (link_template, book, chapter) with url, the template filled from the canon's row of the book."""
+    """requests (link_template, book, chapter) with url, the template filled from the canon's row of the book.
+
+    Filling is dear, so each template is filled once for a book and chapter, however many requests ask for it.
+    """
+    key = ["link_template", "book", "chapter"]
     c = canon.select(F.col("number").alias("book"), F.col("number").alias("known"), "code1", "code2", "code3")
-    out = requests.join(F.broadcast(c), "book", "left")
     url = F.when(F.col("link_template") == "", "").otherwise(S.expand_template(F.col("link_template"), F.col("known"), F.col("chapter"), F.col("code1"), F.col("code2"), F.col("code3")))
-    return out.withColumn("url", url).drop("known", "code1", "code2", "code3")
+    filled = requests.select(key).distinct().join(F.broadcast(c), "book", "left").select(*key, url.alias("url"))
+    return requests.join(filled, key, "left").select(requests["*"], F.coalesce("url", F.lit("")).alias("url"))  # a null in the key gives ''
 
 
 def check_paths(requests: DataFrame) -> DataFrame:

@@ -219,3 +219,15 @@ def test_plans_have_no_nested_loop(small):
     verses = small.translation_verses.where("translation = 1")
     plan = content.notes_of(verses, content.titles_of(verses, small.translation_titles), small.translation_notes)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_templates_are_filled_once_for_a_book_and_chapter(spark, small):
+    templates = spark.range(2000).select("id", F.element_at(F.array(F.lit("{book:02d}/{chapter}"), F.lit("{"), F.lit(""), F.lit(None)), (F.col("id") % 4 + 1).cast("int")).alias("link_template"))
+    asked = templates.withColumn("book", F.when(F.col("id") < 1000, 1).when(F.col("id") < 1900, 3)).withColumn("chapter", F.lit(7))
+    out = media.audio_urls(asked, small.bible_books)
+    got = out.collect()
+    assert out.columns == ["id", "link_template", "book", "chapter", "url"] and len(got) == 2000
+    assert all(r.url == ("01/7" if r.id % 4 == 0 and r.id < 1000 else "") for r in got)  # no such book, no book, an error, no template
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    filling = plan[: plan.index("regexp_extract_all")].splitlines()[-1]
+    assert "Aggregate [link_template" in plan[plan.index("regexp_extract_all") :], filling  # below the filling: distinct keys
