@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from codexa.functions import scalars as S
 
 LAST_BOOK = 66
+#: Chapters of a book that are looked at together for gaps.
+BLOCK = 4096
 ALIASES = ("code1", "code2", "code3", "code4", "code5", "short_name_en", "short_name_ru")
 
 
@@ -69,9 +71,14 @@ def books_by_alias(aliases: DataFrame, info: DataFrame, collation: str | None =
 def books_overview(books: DataFrame, canon: DataFrame, verses: DataFrame, translations: DataFrame) -> DataFrame:
     """Listed books of active translations with the chapters that lack text (of 1 to the last over all translations)."""
     info = books_info(books, canon, verses).join(translations.where("active = 1").select(F.col("code").alias("translation")), "translation", "left_semi")
-    have = chapters_by_book(verses, books)
-    cells = info.select("translation", "book_number", F.explode(S.numbers_to(F.col("chapters_count"))).alias("chapter_number")).distinct()
-    missing = cells.join(have, ["translation", "book_number", "chapter_number"], "left_anti").groupBy("translation", "book_number").agg(F.array_sort(F.collect_set("chapter_number")).alias("chapters_without_text"))
+    key = ["translation", "book_number"]
+    block = lambda n: F.floor((n - 1) / BLOCK).cast("int")
+    have = chapters_by_book(verses, books).groupBy(*key, block(F.col("chapter_number")).alias("block")).agg(F.collect_set("chapter_number").alias("have"))  # BLOCK chapters at most
+    cells = info.where("chapters_count > 0").select(*key, "chapters_count").distinct()
+    cells = cells.select(*key, "chapters_count", F.explode(F.sequence(F.lit(0), block(F.col("chapters_count")))).alias("block"))
+    all_of = F.sequence(F.col("block") * BLOCK + 1, F.least(F.col("chapters_count"), (F.col("block") + 1) * BLOCK))
+    gaps = cells.join(have, [*key, "block"], "left").select(*key, F.struct("block", F.array_except(all_of, F.coalesce("have", F.array().cast("array<int>"))).alias("gaps")).alias("x"))
+    missing = gaps.groupBy(*key).agg(F.flatten(F.array_sort(F.collect_list("x"))["gaps"]).alias("chapters_without_text"))
     out = info.join(missing, ["translation", "book_number"], "left")
     return out.select("translation", "code", "book_number", "name", "alias", "chapters_count", F.coalesce("chapters_without_text", F.array().cast("array<int>")).alias("chapters_without_text"))
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+import re
 from datetime import date, datetime
 from types import SimpleNamespace
 
@@ -8,10 +10,13 @@ from pyspark.sql import functions as F
 
 from codexa.operators import content, media, sync, telemetry
 from codexa.operators.cache import TimedCache
+from codexa.plans.queries import queries
 from codexa.sources import media as media_source
 from codexa.sources.payload import Settings, env_int, env_required, jdbc_table
 from codexa.sources.tables import CONTENT, DDL, schema
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def small(spark):
@@ -231,3 +236,10 @@ def test_templates_are_filled_once_for_a_book_and_chapter(spark, small):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     filling = plan[: plan.index("regexp_extract_all")].splitlines()[-1]
     assert "Aggregate [link_template" in plan[plan.index("regexp_extract_all") :], filling  # below the filling: distinct keys
+
+
+def test_gaps_across_blocks_of_chapters(spark, small, monkeypatch):
+    monkeypatch.setattr(content, "BLOCK", 2)
+    verses = small.translation_verses.unionByName(spark.createDataFrame([(7, 1, 1, 7, 1, 1, "t", "h", True)], schema("translation_verses")))
+    got = {(r.translation, r.book_number): r.chapters_without_text for r in content.books_overview(small.translation_books, small.bible_books, verses, small.translations).collect()}
+    assert got[1, 1] == [3, 4, 5, 6] and got[2, 1] == [1, 2, 3, 5, 6, 7] and got[1, 2] == [] and got[1, 3] == []
