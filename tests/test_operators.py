@@ -243,3 +243,21 @@ def test_gaps_across_blocks_of_chapters(spark, small, monkeypatch):
     verses = small.translation_verses.unionByName(spark.createDataFrame([(7, 1, 1, 7, 1, 1, "t", "h", True)], schema("translation_verses")))
     got = {(r.translation, r.book_number): r.chapters_without_text for r in content.books_overview(small.translation_books, small.bible_books, verses, small.translations).collect()}
     assert got[1, 1] == [3, 4, 5, 6] and got[2, 1] == [1, 2, 3, 5, 6, 7] and got[1, 2] == [] and got[1, 3] == []
+
+
+def test_voices_that_share_a_folder(spark, small):
+    voices = small.voices.withColumn("alias", F.when(F.col("code") != 11, "va").otherwise(F.col("alias")))
+    asked = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (2, 12)], "translation int, voice bigint")
+    out = content.chapters_without_audio(asked, small.translation_books, small.translation_verses, small.translations, voices, small.audio_files)
+    assert {(r.translation, r.voice, r.book_number): r.chapters_without_audio for r in out.collect()} == {
+        (1, 10, 1): [2], (1, 10, 2): [1], (1, 10, 3): [], (1, 12, 1): [2], (1, 12, 2): [1], (1, 12, 3): [], (1, 11, 1): [1, 2], (1, 11, 2): [1], (1, 11, 3): [], (2, 12, 1): [4],
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "Aggregate [translation#" in plan and not [x for x in plan.splitlines() if "Aggregate" in x and "voice#" in x]  # gaps are of folders, not of voices
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+@pytest.mark.parametrize("query", ["chapter_verses", "chapters_without_audio"])
+def test_voices_are_not_paired_with_verses_before_shuffles(spark, query):
+    plan = queries()[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\(code#\d+L \+ code#\d+L\)", plan)) == 1 and "* 5) + (" in plan  # verses are paired once, and with classes
