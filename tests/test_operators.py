@@ -261,3 +261,16 @@ def test_voices_that_share_a_folder(spark, small):
 def test_voices_are_not_paired_with_verses_before_shuffles(spark, query):
     plan = queries()[query](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\(code#\d+L \+ code#\d+L\)", plan)) == 1 and "* 5) + (" in plan  # verses are paired once, and with classes
+
+
+def test_errors_of_excerpts_need_no_texts(spark, small):
+    asked = spark.createDataFrame([(1, 1, 10, "gen 1:1-9")], "request_id bigint, translation int, voice bigint, excerpt string")
+    plan = content.excerpts(asked, small)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # neither verses nor headings nor notes
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_only_voices_that_are_asked_for_are_paired_with_verses(spark):
+    plan = queries()["excerpt_parts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = re.findall(r"\(code#\d+L \+ (code#\d+L)\)", plan)
+    assert pairs and all(re.search(rf"Join LeftSemi, \(+({re.escape(code)} = voice#\d+L|voice#\d+L = {re.escape(code)}|alias#\d+ = voice_alias#\d+)", plan) for code in pairs)
