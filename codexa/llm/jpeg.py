@@ -12,6 +12,8 @@ kind are decoded by array operations; anything else that the format allows goes
 
 from __future__ import annotations
 
+import hashlib
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -217,6 +219,10 @@ class _Bits:
         return v if not size or v >> size - 1 else v - (1 << size) + 1
 
 
+#: What ends a scan, and what parts its stretches.
+_MARKER, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7]"), re.compile(rb"\xff(?:[^\x00]|\Z)")
+
+
 def decode(data: bytes) -> Image:
     """The image with the coefficients that all scans add up to; ValueError where the data isn't progressive JPEG."""
     if data[:2] != b"\xff\xd8":
@@ -251,16 +257,10 @@ def decode(data: bytes) -> Image:
         elif marker == 0xDA:
             if image is None:
                 raise ValueError("a scan before its frame")
-            end = at
-            while True:
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    raise ValueError("a scan without end")
-                if data[end + 1] and not 0xD0 <= data[end + 1] <= 0xD7:
-                    break
-                end += 2
-            _read_scan(image, body, data[at:end], huff, restart)
-            at = end
+            if (end := _MARKER.search(data, at)) is None:
+                raise ValueError("a scan without end")
+            _read_scan(image, body, data[at : end.start()], huff, restart)
+            at = end.start()
         elif 0xC0 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError(f"frame type {marker:#x} isn't progressive Huffman JPEG")
     if image is None:
@@ -283,14 +283,7 @@ def _read_scan(image: Image, head: bytes, data: bytes, huff: dict[int, _Codes],
     n = head[0]
     chosen = [(next(p for p in image.parts if p.number == head[1 + 2 * i]), head[2 + 2 * i]) for i in range(n)]
     first, last, high, low = *head[1 + 2 * n : 3 + 2 * n], head[3 + 2 * n] >> 4, head[3 + 2 * n] & 15
-    stretches = []
-    begin = at = 0
-    while (at := data.find(b"\xff", at)) >= 0:
-        if data[at + 1 : at + 2] != b"\0":
-            stretches.append(data[begin:at])
-            begin = at + 2
-        at += 2
-    stretches = [s.replace(b"\xff\0", b"\xff") for s in [*stretches, data[begin:]]]
+    stretches = [s.replace(b"\xff\0", b"\xff") for s in _RESTART.split(data)]
     if n == 1:
         p = chosen[0][0]
         orders = [(np.arange(p.own_high)[:, None] * p.wide + np.arange(p.own_wide)).ravel()]
@@ -464,13 +457,13 @@ def store(rows: DataFrame, text: str = "text", media: str = "media") -> DataFram
     return back(keep.mapInArrow(run, schema), media)
 
 
-LOADED = "payload binary, n_bytes long, height int, width int, feature string, rgb binary"
+LOADED = "payload binary, n_bytes long, rgb_sha256 string, height int, width int, feature string, rgb binary"
 
 
 def load(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame:
-    """rows with what their media hold: payload, n_bytes (without padding), height, width, feature, and rgb (height * width * 3 bytes; null unless tensors).
+    """rows with what their media hold: payload, n_bytes (without padding), rgb_sha256 (as digest_of_bands() has it), height, width, feature, and rgb (height * width * 3 bytes; null unless tensors).
 
-    The feature is the image's size, the mean of each colour and an 8 x 8 average hash of its brightness. A null medium
+    Each medium is decoded once, and its tensor is digested in bands of bounded size. The feature is the image's size, the mean of each colour and an 8 x 8 average hash of its brightness. A null medium
     gives nulls. Columns of the result's names are replaced, others stay.
     """
     names = [x.split()[0] for x in LOADED.split(", ")]
@@ -480,7 +473,7 @@ def load(rows: DataFrame, media: str = "media", tensors: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, media, 2 << 20):
-            got = [(None,) * 6 if m is None else _loaded(m, tensors) for m in b.column(media).to_pylist()]
+            got = [(None,) * 7 if m is None else _loaded(m, tensors) for m in b.column(media).to_pylist()]
             for i, name in enumerate(names):
                 upto = T.StructType(schema.fields[: b.num_columns + 1])
                 b = with_column(b, name, pa.array([g[i] for g in got], _ARROW[i]), upto)
@@ -523,13 +516,14 @@ def digest_of_bands(bands: DataFrame, key: str) -> DataFrame:
     return each.groupBy(key).agg(F.sha2(F.array_join(ordered, ""), 256).alias("rgb_sha256"))
 
 
-_ARROW = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+_ARROW = (pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.binary())
 
 
 def _loaded(media: bytes, tensors: bool) -> tuple:
     image = decode(media)
     payload, n_bytes = payload_of(image)
     sums, grid, held, whole, at = np.zeros(3, np.int64), np.zeros((8, 8), np.int64), np.zeros((8, 8), np.int64), [], 0
+    digests = hashlib.sha256()
     columns = np.arange(image.width) * 8 // image.width
     for band in rgb_bands(image):
         sums += band.reshape(-1, 3).sum(0, dtype=np.int64)
@@ -539,10 +533,12 @@ def _loaded(media: bytes, tensors: bool) -> tuple:
         np.add.at(grid, lines, by_column)
         np.add.at(held, lines, np.bincount(columns, minlength=8))
         at += len(band)
+        data = band.tobytes()
+        digests.update(hashlib.sha256(data).hexdigest().encode())
         if tensors:
-            whole.append(band.tobytes())
+            whole.append(data)
     means = sums * 100 // (image.width * image.height)
     level = grid / np.maximum(held, 1)
     code = np.packbits((level > level.mean()).ravel()).tobytes().hex()
     feature = f"{image.height}x{image.width} " + " ".join(f"{m // 100}.{m % 100:02d}" for m in means.tolist()) + f" {code}"
-    return payload, n_bytes, image.height, image.width, feature, b"".join(whole) if tensors else None
+    return payload, n_bytes, digests.hexdigest(), image.height, image.width, feature, b"".join(whole) if tensors else None

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,7 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codexa.llm import arc_convert as A
+from codexa.llm import common, queries
 from codexa.llm import jpeg as J
+from tests.llm.conftest import SF
 
 
 @settings(max_examples=60, deadline=None)
@@ -248,6 +251,18 @@ def test_stored_tensors_are_those_of_the_media(spark, empty, clashing):
     assert J.tensors(J.store(empty)).count() == 0 and J.tensors(spark.createDataFrame([(1, None)], "row int, media binary")).count() == 0
 
 
+def test_op5_keeps_the_media_alone_and_digests_their_tensors(spark, tmp_path, clashing, monkeypatch):
+    media = J.store(clashing).select("*", F.monotonically_increasing_id().alias("row")).cache()
+    digests = {r.row: r.rgb_sha256 for r in J.digest_of_bands(J.tensors(media), "row").collect()}
+    assert {r.row: r.rgb_sha256 for r in J.load(media, tensors=False).collect()} == digests and len(digests) == 15
+    media.unpersist()
+    assert J.load(spark.createDataFrame([(None,)], "media binary")).first().rgb_sha256 is None
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = queries.op5_jpeg(spark, SF).collect()
+    kept = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert all(r.rgb_sha256 for r in rows) and kept < 1.5 * Path(f"{SF}/documents.parquet").stat().st_size
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_archive_files(version):
     rows = [(1, "http://a b/ü", "é<p>\n\n".encode()), (None, None, b""), (3, "x", b"y" * 500), (-4, "", b"\r\n\r\nz")]
