@@ -16,15 +16,14 @@ over all words is the text's length in bits.
 
 Counts of words and of pairs of words are those of the whole corpus and grow with it: documents are dealt to buckets, a
 bucket asks for its distinct words and pairs, packed by hash range, and gets the count of each back. The gates learn from all
-texts to learn from, in shards of about SHARD_BYTES of text; the mixer of spelling learns from a share of all distinct words,
-in shards of about SHARD_WORDS. Shards start alike, learn side by side, and are averaged by the evidence that each has for a
+texts to learn from, in shards of about SHARD_BYTES of text; the mixer of spelling learns from all distinct words, in shards
+of about SHARD_WORDS. Shards start alike, learn side by side, and are averaged by the evidence that each has for a
 context. Shards and the order within them are drawn by hashes and sizes alone, so no number of partitions changes a score
 (but by rounding, and where over a thousandth of all rows are the same, by which of these rows are in which shard).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,12 +46,12 @@ LEAST_SLOT_BITS, MOST_SLOT_BITS = 12, 20
 PIECE = 40
 GATES, CELLS = 64, 33
 PRIOR = 0.05
-RATE, REFINE_RATE, STEP_WORDS = 0.01, 0.3, 4096
+RATE, REFINE_RATE, STEP_WORDS = 0.01, 0.3, 1 << 14
 CHUNK_SLOTS = 1 << 12
-#: The mixer of spelling learns from this share of the distinct words (a default of score(); all cost eight times as much).
-SPELLING_SHARE = 0.125
+#: The mixer of spelling learns from this share of the distinct words (a default of score()): all of them.
+SPELLING_SHARE = 1.0
 #: Distinct words, and bytes of text, from which one shard learns; no bucket has more text than a shard, about.
-SHARD_WORDS, SHARD_BYTES = 1 << 16, 8 << 20
+SHARD_WORDS, SHARD_BYTES = 1 << 18, 8 << 20
 #: Levels of how often the word before was seen; words of history; slots of the word before.
 LEVELS, HISTORY, FORMER_SLOTS = 12, 7, 1 << 10
 GATE_RATE, FORMER_RATE, GATE_STEP = 0.5, 0.2, 1024
@@ -75,20 +74,17 @@ class _Units:
     """Words as rows of bytes, the longest first; words of over PIECE bytes give several rows."""
 
     def __init__(self, words: list[bytes]) -> None:
-        rows, of, start = [], [], []
-        for i, w in enumerate(words):
-            w += b" "
-            for at in range(0, len(w), PIECE):
-                rows.append(w[at : at + PIECE])
-                of.append(i)
-                start.append(257 if at else 256)
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        pieces = -(-lengths // PIECE)
+        of = np.repeat(np.arange(len(words)), pieces)
+        at = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        sizes = np.minimum(PIECE, lengths[of] - at)
         order = np.argsort(-sizes, kind="stable")
-        flat = np.frombuffer(b"".join(rows), np.uint8)
+        flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
         first = np.cumsum(sizes) - sizes
-        self.sizes, self.of = sizes[order], np.array(of, np.int64)[order]
-        self.start = np.array(start, np.uint64)[order]
-        self.bytes = np.zeros((int(sizes.max()) if len(rows) else 0, len(rows)), np.uint8)
+        self.sizes, self.of = sizes[order], of[order]
+        self.start = np.where(at > 0, 257, 256).astype(np.uint64)[order]
+        self.bytes = np.zeros((int(sizes.max(initial=0)), len(of)), np.uint8)
         for i in range(len(self.bytes)):
             n = np.searchsorted(-self.sizes, -i, side="left")
             self.bytes[i, :n] = flat[first[order[:n]] + i]
@@ -139,28 +135,24 @@ def _level(total: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """counts: (predictor, 2, slot); weights: (gate, predictor); map: (gate, cell) of refined log odds."""
+    """counts: (predictor, 2, slot), none if packed(); weights: (gate, predictor); cells: the map's refined log odds (gate, cell)."""
 
-    counts: np.ndarray
+    counts: np.ndarray | None
     weights: np.ndarray
     cells: np.ndarray
     looked_up: tuple | None = None
+    held_out: tuple | None = None
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Mixer:
         return cls(counts.astype(np.float32, copy=False), np.full((GATES, len(ORDERS)), 0.3), np.tile(np.linspace(-8, 8, CELLS), (GATES, 1)))
 
-    def _mix(self, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        odds = np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR)))
-        total = zeros[-3:] + ones[-3:]
-        gate = _level(total[2]) * 8 + _level(total[0])
-        mixed = np.zeros(len(gate))
-        for j in range(len(ORDERS)):
-            mixed += odds[j] * self.weights[:, j].take(gate)
-        return odds, gate, mixed
+    def packed(self) -> Mixer:
+        """The same mixer with what cost() looks up in place of the counts."""
+        return Mixer(None, self.weights, self.cells, self._tables(), self._own_tables())
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all slots what _mix finds: log odds, and the two parts of the gate."""
+        """For all slots: log odds (predictor, slot), and the two parts of the gate."""
         if self.looked_up is None:
             zeros, ones = self.counts[:, 0], self.counts[:, 1]
             odds = np.empty_like(zeros)
@@ -169,15 +161,21 @@ class Mixer:
             self.looked_up = odds, _level(zeros[-3] + ones[-3]), 8 * _level(zeros[-1] + ones[-1])
         return self.looked_up
 
-    def _refined(self, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place = (np.clip(mixed, -7.999, 7.999) + 8) * ((CELLS - 1) / 16)
-        cell = place.astype(np.int64)
-        part = place - cell
-        return cell, part, (1 - part) * self.cells[gate, cell] + part * self.cells[gate, cell + 1]
+    def _own_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same without the occurrence at hand, a zero or a one: log odds are (predictor, value and slot)."""
+        if self.held_out is None:
+            zeros, ones = self.counts[:, 0], self.counts[:, 1]
+            odds = np.empty_like(self.counts)
+            for z, o, out in zip(zeros, ones, odds, strict=True):
+                np.log((o + np.float32(PRIOR)) / (np.maximum(z - 1, 0) + np.float32(PRIOR)), out=out[0])
+                np.log((np.maximum(o - 1, 0) + np.float32(PRIOR)) / (z + np.float32(PRIOR)), out=out[1])
+            low, high = (np.maximum(zeros[k] + ones[k] - 1, 0) for k in (-3, -1))
+            self.held_out = odds.reshape(len(ORDERS), -1), _level(low), 8 * _level(high)
+        return self.held_out
 
     @property
     def slot_bits(self) -> int:
-        return self.counts.shape[2].bit_length() - 1
+        return (self.looked_up[0].shape[1] if self.counts is None else self.counts.shape[2]).bit_length() - 1
 
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Online, one step for each bit of STEP_WORDS words: weights move by a damped Newton step, the map by its error.
@@ -186,62 +184,74 @@ class Mixer:
         """
         met, met_cells = np.zeros(GATES), np.zeros(GATES * CELLS)
         order = np.random.default_rng(len(words)).permutation(len(words))
-        curve = np.full((GATES, len(ORDERS)), 1.0)
-        k, step = range(len(ORDERS)), 0
+        weights, cells = self.weights.T.copy(), self.cells.ravel().copy()
+        curve, each, step = np.ones_like(weights), np.arange(len(ORDERS))[:, None] * GATES, 0
         for at in range(0, len(order), STEP_WORDS):
             units = _Units([words[i] for i in order[at : at + STEP_WORDS]])
             for _, bit, slots in units.bits(self.slot_bits):
-                odds, gate, mixed = self._mix(*self._without(bit, slots, k))
-                mixed = np.clip(mixed, -12, 12)
+                odds, gate = _found(self._own_tables(), slots + (bit.astype(np.int64) << self.slot_bits), slots)
+                mixed = _mixed(odds, gate, weights.astype(np.float32))
                 p = 1 / (1 + np.exp(-mixed))
                 error, spread = bit - p, p * (1 - p)
                 held = np.bincount(gate, minlength=GATES) + 4
                 met += held - 4
                 step += 1
-                for j in range(len(ORDERS)):
-                    if step % 8 == 1:
-                        curve[:, j] += 0.3 * (np.bincount(gate, spread * odds[j] ** 2, GATES) / held - curve[:, j])
-                    self.weights[:, j] += RATE * np.bincount(gate, error * odds[j], GATES) / held / (curve[:, j] + 0.02)
-                cell, part, refined = self._refined(gate, mixed)
+                places = (each + gate).ravel()
+                if step % 8 == 1:
+                    curve += 0.3 * (np.bincount(places, (spread * odds * odds).ravel(), weights.size).reshape(curve.shape) / held - curve)
+                weights += RATE * np.bincount(places, (error * odds).ravel(), weights.size).reshape(curve.shape) / held / (curve + 0.02)
+                place, part, refined = _refined(cells.astype(np.float32), gate, mixed)
                 wrong = bit - 1 / (1 + np.exp(-refined))
-                place = gate * CELLS + cell
-                flat = np.bincount(place, wrong * (1 - part), GATES * CELLS) + np.bincount(place + 1, wrong * part, GATES * CELLS)
-                near = np.bincount(place, 1 - part, GATES * CELLS) + np.bincount(place + 1, part, GATES * CELLS)
+                flat = np.bincount(place, wrong * (1 - part), len(cells)) + np.bincount(place + 1, wrong * part, len(cells))
+                near = np.bincount(place, 1 - part, len(cells)) + np.bincount(place + 1, part, len(cells))
                 met_cells += near
-                self.cells = np.clip(self.cells + (REFINE_RATE * flat / (near + 4)).reshape(GATES, CELLS), -12, 12)
+                cells = np.clip(cells + REFINE_RATE * flat / (near + 4), -12, 12)
+        self.weights, self.cells = np.ascontiguousarray(weights.T), cells.reshape(GATES, CELLS)
         return met, met_cells
 
-    def _without(self, bit: np.ndarray, slots: np.ndarray, k: range) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of zeros and ones without the occurrence at hand."""
-        seen = [np.stack([self.counts[j, b].take(slots[j]) for j in k]) for b in (0, 1)]
-        ones = bit.astype(np.float32)
-        return np.maximum(0, seen[0] + (ones - 1), out=seen[0]), np.maximum(0, seen[1] - ones, out=seen[1])
-
-    def _bits(self, bit: np.ndarray, gate: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        mixed = np.clip(mixed, -12, 12)
-        _, _, refined = self._refined(gate, mixed)
-        right = (1 / (1 + np.exp(-mixed)) + 1 / (1 + np.exp(-refined))) / 2
-        return -np.log2(np.where(bit == 1, right, 1 - right))
-
     def cost(self, words: list[bytes], own: bool = False) -> np.ndarray:
         """Bits of each word; if `own`, as if the word itself had not been learned from."""
-        out, k = np.zeros(len(words)), range(len(ORDERS))
-        odds, low, high = self._tables()
-        weights = np.ascontiguousarray(self.weights.T)
+        out, tables = np.zeros(len(words)), self._own_tables() if own else self._tables()
+        weights, cells = np.ascontiguousarray(self.weights.T, np.float32), self.cells.astype(np.float32).ravel()
         for at in range(0, len(words), 1 << 14):
             units = _Units(words[at : at + (1 << 14)])
             bits = np.zeros(len(units.of))
             for n, bit, slots in units.bits(self.slot_bits):
-                if own:
-                    _, gate, mixed = self._mix(*self._without(bit, slots, k))
-                else:
-                    gate = high[slots[-1]] + low[slots[-3]]
-                    mixed = sum(odds[j][slots[j]] * weights[j][gate] for j in range(len(ORDERS)))
-                bits[:n] += self._bits(bit, gate, mixed)
+                odds, gate = _found(tables, slots + (bit.astype(np.int64) << self.slot_bits) if own else slots, slots)
+                mixed = _mixed(odds, gate, weights)
+                refined = _refined(cells, gate, mixed)[2]
+                sign = bit * np.float32(2) - np.float32(1)
+                bits[:n] -= np.log2((1 / (1 + np.exp(-sign * mixed)) + 1 / (1 + np.exp(-sign * refined))) / 2)
             np.add.at(out, units.of + at, bits)
         return out
 
 
+def _found(tables: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each predictor's log odds (predictor, row) and each row's gate."""
+    odds, low, high = tables
+    out = np.empty(places.shape, np.float32)
+    for o, p, found in zip(odds, places, out, strict=True):
+        o.take(p, out=found, mode="clip")  # other modes make a copy first
+    return out, (high.take(slots[-1]) + low.take(slots[-3])).astype(np.intp)
+
+
+def _mixed(odds: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    mixed = odds[0] * weights[0].take(gate)
+    for o, w in zip(odds[1:], weights[1:], strict=True):
+        mixed += o * w.take(gate)
+    return np.clip(mixed, -12, 12, out=mixed)
+
+
+def _refined(cells: np.ndarray, gate: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The map's two cells around each row (the lower one, and the share of the upper) and what they give."""
+    place = (np.clip(mixed, -7.999, 7.999) + np.float32(8)) * np.float32((CELLS - 1) / 16)
+    cell = place.astype(np.intp)
+    part = place - cell.astype(np.float32)
+    cell += gate * CELLS
+    low = cells.take(cell)
+    return cell, part, low + part * (cells.take(cell + 1) - low)
+
+
 class _Vocabulary:
     """A bucket's distinct tokens and pairs in an order that does not depend on how its rows arrive, with the range of each."""
 
@@ -254,7 +264,7 @@ class _Vocabulary:
         filled = pa.compute.greater(pa.compute.binary_length(split.flatten()), 0)
         of = pa.compute.list_parent_indices(split).filter(filled).to_numpy()
         coded = split.flatten().filter(filled).dictionary_encode()
-        self.words = [b"", *coded.dictionary.cast(pa.large_binary()).to_pylist()]
+        self.words = [b"", *_each(coded.dictionary)]
         self.sizes = np.bincount(of, minlength=len(self.order)) + 1
         self.found = np.zeros(len(of) + len(self.order), np.int32)
         self.found[np.arange(len(of)) + of] = coded.indices.to_numpy() + 1  # each text before it has its end
@@ -266,8 +276,8 @@ class _Vocabulary:
             self.former[1:] = self.found[:-1]
             self.former[self.first] = 0
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        part = np.fromiter((zlib.crc32(w) % parts for w in self.words), np.int64, len(self.words))
-        self.by = np.argsort(part, kind="stable")
+        part = (self.hashes * _MIX[5] >> np.uint64(33)) % np.uint64(parts)
+        self.by = np.argsort(_small(part, parts), kind="stable")
         self.parts, first = np.unique(part[self.by], return_index=True)
         self.cuts = np.append(first, len(self.by))
 
@@ -279,7 +289,7 @@ class _Vocabulary:
         pair >>= np.uint64(16)
         self.keys, self.pair_of = np.unique(pair, return_inverse=True)
         part = (self.keys * _MIX[3] >> np.uint64(33)) % np.uint64(parts)
-        self.pairs_by = np.argsort(part, kind="stable")
+        self.pairs_by = np.argsort(_small(part, parts), kind="stable")
         self.pair_parts, first = np.unique(part[self.pairs_by], return_index=True)
         self.pair_cuts = np.append(first, len(self.pairs_by))
 
@@ -300,6 +310,21 @@ class _Vocabulary:
             yield p, self.pairs_by[i:j]
 
 
+def _each(texts: pa.LargeStringArray) -> list[bytes]:
+    """As to_pylist() of their bytes, but cut from one buffer, which is faster."""
+    if not len(texts):
+        return []
+    _, places, data = texts.buffers()
+    cuts = np.frombuffer(places, np.int64, len(texts) + 1, 8 * texts.offset).tolist()
+    data = data.to_pybytes()
+    return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _small(part: np.ndarray, parts: int) -> np.ndarray:
+    """Numbers below parts, in 16 bits where they fit: those are sorted faster."""
+    return part.astype(np.uint16) if parts <= 1 << 16 else part
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Keys of 48 bits in 6 bytes each."""
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -324,22 +349,34 @@ class Gates:
         return cls(np.tile(START_ODDS, (LEVELS * HISTORY, 1)).astype(np.float64), np.zeros((FORMER_SLOTS, 3)))
 
     def weights(self, gate: np.ndarray, former: np.ndarray) -> np.ndarray:
-        """log2 of each expert's weight: (token, expert)."""
-        odds = self.by_level[gate] + self.by_former[former]
-        odds -= odds.max(1, keepdims=True)
-        return (odds - np.log(np.exp(odds).sum(1, keepdims=True))) / np.log(2)
+        """Each expert's weight: (expert, token)."""
+        out = np.stack([self.by_level[:, k].take(gate) + self.by_former[:, k].take(former) for k in range(3)])
+        np.exp(out, out=out)
+        out /= out[0] + out[1] + out[2]
+        return out
+
+    def bits(self, experts: np.ndarray, gate: np.ndarray, former: np.ndarray) -> np.ndarray:
+        """log2 of the probability that all experts together give each token."""
+        most, shares = _scaled(experts)
+        shares *= self.weights(gate, former)
+        return most + np.log2(shares[0] + shares[1] + shares[2])
 
     def learn(self, experts: np.ndarray, gate: np.ndarray, former: np.ndarray) -> None:
         """Online, GATE_STEP tokens at a time: each weight moves towards the expert's share in the tokens' probability."""
+        shares, by_level, by_former = _scaled(experts)[1], self.by_level.T.copy(), self.by_former.T.copy()
+        each = np.arange(3)[:, None]
         for at in range(0, len(gate), GATE_STEP):
             own = slice(at, at + GATE_STEP)
-            weights = self.weights(gate[own], former[own])
-            both = weights + experts[own]
-            wrong = np.exp2(both - _total(both)[:, None]) - np.exp2(weights)
-            for table, which, rate, held in ((self.by_level, gate[own], GATE_RATE, 4), (self.by_former, former[own], FORMER_RATE, 8)):
-                n = np.bincount(which, minlength=len(table)) + held
-                for k in range(3):
-                    table[:, k] += rate * np.bincount(which, wrong[:, k], len(table)) / n
+            weights = np.exp(by_level.take(gate[own], 1) + by_former.take(former[own], 1))
+            weights /= weights[0] + weights[1] + weights[2]
+            wrong = shares[:, own] * weights
+            wrong /= wrong[0] + wrong[1] + wrong[2]
+            wrong -= weights
+            for table, which, rate, held in ((by_level, gate[own], GATE_RATE, 4), (by_former, former[own], FORMER_RATE, 8)):
+                size = table.shape[1]
+                moved = np.bincount((each * size + which).ravel(), wrong.ravel(), table.size).reshape(table.shape)
+                table += rate * moved / (np.bincount(which, minlength=size) + held)
+        self.by_level, self.by_former = np.ascontiguousarray(by_level.T), np.ascontiguousarray(by_former.T)
         np.clip(self.by_level, -12, 12, out=self.by_level)
         np.clip(self.by_former, -6, 6, out=self.by_former)
 
@@ -359,9 +396,10 @@ def _spread(evidence: np.ndarray, n: int) -> list[float]:
     return np.repeat(evidence + 1.0, n).tolist()
 
 
-def _total(logs: np.ndarray) -> np.ndarray:
-    """log2 of the sum over experts."""
-    return np.logaddexp2(np.logaddexp2(logs[:, 0], logs[:, 1]), logs[:, 2])
+def _scaled(experts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest log2 of each token's probabilities, and all of them as shares of that one: (expert, token)."""
+    most = np.maximum(np.maximum(experts[:, 0], experts[:, 1]), experts[:, 2])
+    return most, np.exp2(experts.T - most)
 
 
 def _experts(costs: np.ndarray, words: np.ndarray, pairs: np.ndarray, formers: np.ndarray, n: int) -> np.ndarray:
@@ -519,7 +557,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
         v, counts, costs, pairs = known(rows, answers)
         formers = counts[v.former]
         experts = _experts(costs[v.found], counts[v.found], pairs[v.pair_of], formers, n)
-        logs = _total(experts + gates.weights(_gates_of(experts, formers, v.first), v.former_slots())) if n else experts[:, 0]
+        logs = gates.bits(experts, _gates_of(experts, formers, v.first), v.former_slots()) if n else experts[:, 0]
         base = np.add.reduceat((np.log10(counts + 0.1) - np.log10(n + 0.1 * (distinct + 1)))[v.found], v.first)
         seen = np.add.reduceat((counts > 0)[v.found].astype(np.int64), v.first)
         bits, lengths = -np.add.reduceat(logs, v.first), np.fromiter(map(len, v.words), np.int64, len(v.words)) + 1
@@ -561,7 +599,7 @@ def _salted(keyed: DataFrame, text: str) -> tuple[DataFrame, int]:
 
 
 def _spelling(vocabulary: DataFrame, distinct: int, share: float, most_bits: int) -> Broadcast[Mixer]:
-    """The mixer of spelling: counts over all words; weights and map learned from a share of them, drawn by a hash, in shards."""
+    """The mixer of spelling: counts over all words; weights and map learned from all of them, or a share drawn by a hash, in shards."""
     context = vocabulary.sparkSession.sparkContext
     slot_bits = min(most_bits, max(LEAST_SLOT_BITS, (4 * distinct).bit_length()))
     spread = vocabulary.repartition(max(1, distinct >> 18))
@@ -601,6 +639,7 @@ def _spelling(vocabulary: DataFrame, distinct: int, share: float, most_bits: int
 
     def learn(rows: pa.Table) -> pa.Table:
         own = Mixer.fresh(start.value.counts)
+        own.held_out = start.value._own_tables()  # once a worker
         met, met_cells = own.learn(sorted({w for blob in rows.column("words").to_pylist() for w in _words(blob)}))
         values, seen = np.concatenate([own.weights.ravel(), own.cells.ravel()]), np.concatenate([_spread(met, len(ORDERS)), _spread(met_cells, 1)])
         trim()
@@ -614,7 +653,7 @@ def _spelling(vocabulary: DataFrame, distinct: int, share: float, most_bits: int
     if odds is not None:
         mixer.weights, mixer.cells = (x.reshape(GATES, -1) for x in np.split(odds.ravel(), [GATES * len(ORDERS)]))
     start.destroy()
-    return context.broadcast(mixer)
+    return context.broadcast(mixer.packed())
 
 
 def _narrow(counts: np.ndarray) -> bytes:

@@ -293,6 +293,16 @@ def test_language_model_scores(spark, monkeypatch, share, words, size):
     assert dict(want)[3] > dict(want)[63] + 10  # the order of words counts
 
 
+def test_mixer_of_spelling_learns_from_all_words(spark):
+    words = sorted({w.encode() for w in prose(11, 3000).split()})
+    vocabulary = spark.createDataFrame([(b" ".join(words[k::3]),) for k in range(3)], "words binary")
+    mixer = lm_mix._spelling(vocabulary, len(words), lm_mix.SPELLING_SHARE, 14).value
+    want = lm_mix.Mixer.fresh(lm_mix.count_bits(words, mixer.slot_bits))
+    want.learn(words)
+    assert np.allclose(mixer.weights, want.weights) and np.allclose(mixer.cells, want.cells)
+    assert np.allclose(mixer.cost(words), want.cost(words)) and np.allclose(mixer.cost(words, own=True), want.cost(words, own=True))
+
+
 def test_language_model_with_rows_repeated_often(spark):
     """Rows that are the same are dealt to many buckets; each counts, and all have one score."""
     text = prose(9, 30)
