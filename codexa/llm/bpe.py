@@ -8,8 +8,9 @@ adjacent pair is the encoding of its concatenation. For one pair, time is run ba
 of the two symbols at the border was formed last is split, and the pair is refused if the two symbols that met there
 would have merged before one of them became part of the token it is in.
 
-Texts of Latin letters are split by a pattern for that range of characters, all others by the tokenizer file's own
-normaliser and splitter. Equal words are encoded once for each Python worker, as long as its bounded cache holds them.
+Texts are cut at ASCII white space, where no word, special token or composed character goes across. Equal chunks are
+looked up; new ones of Latin letters are split into words by a pattern for that range of characters, all others by the
+tokenizer file's own normaliser and splitter. Equal words are encoded once for each Python worker. Both caches are bounded.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,22 +32,60 @@ from pyspark.sql import types as T
 from codexa.llm.common import int_lists, set_aside, slices, trim, with_column
 
 END = "</w>"
-#: Words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Words, and chunks of texts, that a worker remembers; beyond that it starts anew.
+CACHE_WORDS, CACHE_CHUNKS = 300_000, 400_000
 #: Words of up to so many symbols are merged exactly in tables of that width; longer ones each alone.
 SIDE_BY_SIDE = (6, 9, 13, 20)
 #: Pairs of tokens that a worker remembers.
 PAIRS = 300_000
 #: In texts up to U+024F, NFC changes nothing, and letters, numbers and white space are these.
 _OUTSIDE = re.compile("[^\x00-\u024f]").search
-_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|[^ \t-\r\x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
+_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼-¾]|\n|[^ \t-\r\x85\xa0A-Za-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼-¾]+").findall
 #: Marks words that are already in the vocabulary's byte alphabet.
 _CODED = "\0"
-#: A word's end where words are matched; not in the byte alphabet.
+#: A word's end where words are matched, a chunk's among words, and what marks special tokens there; not in the byte alphabet.
 _STOP = "\n"
 _NEVER = np.int64(1 << 40)
 
 
+class _Known:
+    """Tokens of strings, in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}  # first place in _flat << 32 | tokens
+        self._flat = np.empty(0, np.uint32)
+        self._used = 0
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def places(self, strings: list[str], learn: Callable[[list[str]], None]) -> np.ndarray:
+        """What `place` has for each of these distinct strings; learn() has to add those that it doesn't have."""
+        found = [*map(self.place.get, strings)]
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            own = [strings[i] for i in new]
+            learn(own)
+            for i, x in zip(new, map(self.place.__getitem__, own), strict=True):
+                found[i] = x
+        return np.array(found, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        more = len(ids)
+        if self._used + more > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), more), np.uint32)])
+        self._flat[self._used : self._used + more] = ids
+        first = self._used + np.cumsum(sizes) - sizes
+        self.place.update(zip(strings, (first << 32 | sizes).tolist(), strict=True))
+        self._used += more
+
+    def tokens(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of strings after each other, and where each string's begin, and the last's end."""
+        start, n = places >> 32, places & 0xFFFFFFFF
+        cuts = np.append(0, np.cumsum(n))
+        return self._flat[np.repeat(start - cuts[:-1], n) + np.arange(cuts[-1])], cuts
+
+
 class SpeculativeBPE:
     """An encoder and decoder for a tokenizer file with word ends: NFC, white space to one blank, lower case."""
 
@@ -59,6 +98,8 @@ class SpeculativeBPE:
         self.normalize, self.pretokenize = lib.normalizer.normalize_str, lib.pre_tokenizer.pre_tokenize_str
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(c.isspace() for s in self.special for c in s):
+            raise ValueError("a special token with white space would be cut in two")
         special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.split_special = special.split if special else None
         marked = all("<|" in s for s in self.special)  # then a quick look tells
@@ -92,26 +133,21 @@ class SpeculativeBPE:
         self._longest.make_automaton()
         self._pairs: dict[int, bool] = {}
         self.exact_words = self.words = 0
-        self._forget()
+        self._chunks, self._words = _Known(), _Known()
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        self._letters = {b: chr(256 + i) for i, b in enumerate(others) if chr(b) != _STOP}
+        self._letters = np.arange(256, dtype="<u2")
+        self._letters[[b for b in others if chr(b) != _STOP]] = [256 + i for i, b in enumerate(others) if chr(b) != _STOP]
         alphabet = [*map(chr, plain), *(chr(256 + i) for i in range(len(others)))]
         self._symbol_of, self._last_symbol_of = np.zeros(512, np.int64), np.zeros(512, np.int64)
         for c in alphabet:
             self._symbol_of[ord(c)], self._last_symbol_of[ord(c)] = self.vocab.get(c, 0), self.vocab.get(c + END, 0)
 
     def release(self) -> None:
-        """Gives the memory of remembered words and pairs back: a worker lives on after its task."""
-        self._forget()
-        self._pairs = {}
+        """Gives the memory of remembered chunks, words and pairs back: a worker lives on after its task."""
+        self._chunks, self._words, self._pairs = _Known(), _Known(), {}
         trim()
 
-    def _forget(self) -> None:
-        self._words: dict[str, int] = {}  # first place in _flat << 32 | tokens
-        self._flat = np.empty(0, np.uint32)
-        self._used = 0
-
     def _symbols(self, token: str) -> list[int]:
         body = token.removesuffix(END)
         parts = [*body]
@@ -274,59 +310,68 @@ class SpeculativeBPE:
 
     def _coded(self, words: list[str]) -> str:
         """All words in the vocabulary's byte alphabet, each ended by _STOP."""
-        marked = [w[0] == _CODED and len(w) > 1 for w in words]
-        if any(marked):
+        joined = _STOP.join([*words, ""])
+        if _CODED in joined and any(marked := [w[0] == _CODED and len(w) > 1 for w in words]):
             return "".join(w[1:] + _STOP if m else self._coded([w]) for w, m in zip(words, marked, strict=True))
-        return _STOP.join([*words, ""]).encode().decode("latin-1").translate(self._letters)
-
-    def _learn(self, words: list[str]) -> None:
-        ids, sizes = self._encoded(self._coded(words))
-        more = len(ids)
-        if self._used + more > len(self._flat):
-            self._flat = np.concatenate([self._flat, np.empty(max(len(self._flat), more), np.uint32)])
-        self._flat[self._used : self._used + more] = ids
-        first = self._used + np.cumsum(sizes) - sizes
-        self._words.update(zip(words, (first << 32 | sizes).tolist(), strict=True))
-        self._used += more
-
-    def _split(self, text: str) -> list[str]:
-        if _OUTSIDE(text) is None and _CODED not in text:
-            return _LATIN_WORDS(text.lower())
-        return [_CODED + w for w, _ in self.pretokenize(self.normalize(text))]
+        return self._letters[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+    def _cut(self, chunk: str) -> list[str]:
+        """A chunk's words; those not of Latin letters are coded and marked, special tokens have a _STOP before them."""
+        out: list[str] = []
+        for piece in self.split_special(chunk) if self._has_special(chunk) else [chunk]:
+            if piece in self.special:
+                out.append(_STOP + piece)
+            elif _OUTSIDE(piece) is None and _CODED not in piece:
+                out += _LATIN_WORDS(piece.lower())
+            else:
+                out += [_CODED + w for w, _ in self.pretokenize(self.normalize(piece))]
+        return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Token ids of each text; null counts as empty."""
+    def _words_of(self, chunks: list[str]) -> list[str]:
+        """The words of all chunks, with a _STOP after those of each."""
+        joined = _STOP.join([*chunks, ""])
+        if _OUTSIDE(joined) is None and _CODED not in joined and not self._has_special(joined):
+            return _LATIN_WORDS(joined.lower())
+        latin = [_OUTSIDE(c) is None and _CODED not in c and not self._has_special(c) for c in chunks]
+        out = _LATIN_WORDS(_STOP.join([*(c if plain else "" for c, plain in zip(chunks, latin, strict=True)), ""]).lower())
+        if all(latin):
+            return out
+        others = iter([i for i, plain in enumerate(latin) if not plain])
+        ends, at, more = (i for i, w in enumerate(out) if w == _STOP), 0, []
+        odd = next(others)
+        for i, end in enumerate(ends):
+            if i == odd:
+                more += out[at:end] + self._cut(chunks[i])
+                at, odd = end, next(others, -1)
+        return more + out[at:]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Remembers the tokens of words not met before."""
+        special = {w for w in words if w[0] == _STOP}
+        for w in special:
+            self._words.add([w], np.array([self.special[w[1:]]] if w[1:] else [], np.int64), np.array([len(w) > 1], np.int64))
+        if words := [w for w in words if w not in special]:
+            self._words.add(words, *self._encoded(self._coded(words)))
+
+    def _learn_chunks(self, chunks: list[str]) -> None:
+        """Remembers the tokens of chunks not met before."""
         if len(self._words) > CACHE_WORDS:
-            self._forget()
-        words: list[str] = []
-        parts: list[list[tuple[bool, int]]] = []  # for each text: (True, a special token) and (False, words so far)
-        for t in texts:
-            parts.append([])
-            for piece in self.split_special(t) if t and self._has_special(t) else [t or ""]:
-                if piece in self.special:
-                    parts[-1].append((True, self.special[piece]))
-                else:
-                    words += self._split(piece)
-                    parts[-1].append((False, len(words)))
-        coded = pa.array(words, pa.string()).dictionary_encode()
-        distinct, have = coded.dictionary.to_pylist(), self._words
-        if new := [w for w in distinct if w not in have]:
-            self._learn(new)
-        which = np.fromiter(map(have.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if words else np.empty(0, np.int64)
-        start, n = which >> 32, which & 0xFFFFFFFF
-        cuts = np.concatenate([[0], np.cumsum(n)])
-        flat = self._flat[np.repeat(start - cuts[:-1], n) + np.arange(cuts[-1])]
-        out, at = [], 0
-        for x in parts:
-            got = []
-            for kind, p in x:
-                if kind:
-                    got.append(np.array([p], np.uint32))
-                else:
-                    got.append(flat[cuts[at] : cuts[p]])
-                    at = p
-            out.append(got[0] if len(got) == 1 else np.concatenate(got))
-        return out
+            self._words = _Known()
+        coded = pa.array(self._words_of(chunks), pa.string()).dictionary_encode()
+        distinct, which = _strings(coded.dictionary), coded.indices.to_numpy()
+        flat, cuts = self._words.tokens(self._words.places(distinct, self._learn_words)[which])
+        ends = cuts[1:][which == distinct.index(_STOP)]
+        self._chunks.add(chunks, flat, np.diff(ends, prepend=0))
+
+    def encode_batch(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Token ids of each text; null counts as empty."""
+        if len(self._chunks) > CACHE_CHUNKS:
+            self._chunks = _Known()
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, ""))
+        coded = split.flatten().dictionary_encode()
+        flat, cuts = self._chunks.tokens(self._chunks.places(_strings(coded.dictionary), self._learn_chunks)[coded.indices.to_numpy()])
+        borders = cuts[np.append(0, np.cumsum(pa.compute.list_value_length(split).to_numpy()))].tolist()
+        return [flat[i:j] for i, j in zip(borders, borders[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library decodes: where the file names no decoder, the tokens' strings, joined by blanks."""
@@ -335,6 +380,11 @@ class SpeculativeBPE:
         return " ".join(self.strings[ids].tolist())
 
 
+def _strings(array: pa.StringArray) -> list[str]:
+    """As to_pylist(), which is slower."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> SpeculativeBPE:
     """One encoder for each Python worker and file."""
@@ -355,7 +405,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for b in slices(batches, text, 4 << 20):
-            got = bpe.encode_batch(b.column(text).to_pylist())
+            got = bpe.encode_batch(b.column(text))
             out = with_column(b, ids, int_lists(got), coded)
             yield with_column(out, decoded, pa.array(map(bpe.decode, got), pa.string()), schema) if decoded else out
         bpe.release()

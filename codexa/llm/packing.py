@@ -265,7 +265,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         bpe, packer, most = encoder(path), _Packer(capacity), CHUNK_TOKENS
         for b in slices(batches, "text", 4 << 20):
             whole: list[tuple] = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), bpe.encode_batch(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), bpe.encode_batch(b.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = doc_id, k, at, ids[at : at + capacity]

@@ -69,6 +69,23 @@ def test_small_caches_change_nothing(library, monkeypatch):
         same(small, library, [prose(k, 40)])
 
 
+def test_equal_chunks_are_split_once(library, monkeypatch):
+    split, seen = bpe._LATIN_WORDS, []
+    monkeypatch.setattr(bpe, "_LATIN_WORDS", lambda text: seen.append(len(text)) or split(text))
+    own = bpe.SpeculativeBPE(tokenizer_path())
+    texts = ["Don't stop, it's 1²½ naïve\x85über a\xa0b.\n\t", "日本 don't stop, <|endoftext|>x it's\0 \x1c"] * 200
+    same(own, library, texts)
+    same(own, library, texts[::-1])
+    assert sum(seen) < 200
+
+
+def test_small_chunk_cache_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 5)
+    small = bpe.SpeculativeBPE(tokenizer_path())
+    for k in range(5):
+        same(small, library, [prose(k, 40) + " é日 <|endoftext|>", None, ""])
+
+
 def test_encode_tables(spark, odd, empty, clashing, library):
     rows = bpe.encode(odd, tokenizer_path(), decoded="decoded").collect()
     assert len(rows) == 15
