@@ -48,6 +48,8 @@ GATES, CELLS = 64, 33
 PRIOR = 0.05
 RATE, REFINE_RATE, STEP_WORDS = 0.01, 0.3, 1 << 14
 CHUNK_SLOTS = 1 << 12
+#: Tokens that are judged at once: what is worked out for them stays near the processor.
+CHUNK_TOKENS = 1 << 15
 #: The mixer of spelling learns from this share of the distinct words (a default of score()): all of them.
 SPELLING_SHARE = 1.0
 #: Distinct words, and bytes of text, from which one shard learns; no bucket has more text than a shard, about.
@@ -71,7 +73,11 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class _Units:
-    """Words as rows of bytes, the longest first; words of over PIECE bytes give several rows."""
+    """Words as rows of bytes; words of over PIECE bytes give several rows, those behind the first at the end.
+
+    All that is looked up for a byte hangs on the bytes up to it, so rows next to each other that begin alike share it: words in
+    order are looked up about half as often.
+    """
 
     def __init__(self, words: list[bytes]) -> None:
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -79,52 +85,63 @@ class _Units:
         of = np.repeat(np.arange(len(words)), pieces)
         at = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
         sizes = np.minimum(PIECE, lengths[of] - at)
-        order = np.argsort(-sizes, kind="stable")
+        order = np.argsort(at > 0, kind="stable")
         flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        first = np.cumsum(sizes) - sizes
+        first = (np.cumsum(sizes) - sizes)[order]
         self.sizes, self.of = sizes[order], of[order]
         self.start = np.where(at > 0, 257, 256).astype(np.uint64)[order]
         self.bytes = np.zeros((int(sizes.max(initial=0)), len(of)), np.uint8)
-        for i in range(len(self.bytes)):
-            n = np.searchsorted(-self.sizes, -i, side="left")
-            self.bytes[i, :n] = flat[first[order[:n]] + i]
-
-    def bits(self, slot_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each bit in turn: rows that have it, its values, and the slot of each predictor (predictor, row)."""
-        word = self.start * _MIX[0]
-        for i in range(len(self.bytes)):
-            n = int(np.searchsorted(-self.sizes, -i, side="left"))
-            hashes = np.empty((len(ORDERS), n), np.uint64)
-            h = np.zeros(n, np.uint64)
+        self.shared = np.zeros(len(of), np.int64)  # first bytes that a row has in common with the row before
+        alike, alive = self.start[1:] == 256, np.arange(len(of))
+        for i, column in enumerate(self.bytes):
+            alive = alive[self.sizes[alive] > i]
+            column[alive] = flat[first[alive] + i]
+            alike &= column[1:] == column[:-1]
+            self.shared[1:] += alike
+
+    def steps(self, slot_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+        """For each byte in turn: rows that have it, which of the lookups is theirs, and _bits() of the lookups."""
+        word, rows = self.start * _MIX[0], np.arange(len(self.of))
+        for i, column in enumerate(self.bytes):
+            rows = rows[self.sizes[rows] > i]
+            new = self.shared[rows] <= i
+            own = rows[new]
+            hashes, h, start = np.empty((len(ORDERS), len(own)), np.uint64), np.zeros(len(own), np.uint64), self.start[own]
             for back in range(1, max(ORDERS) + 1):
-                b = self.bytes[i - back, :n].astype(np.uint64) if back <= i else self.start[:n]
+                b = self.bytes[i - back].take(own).astype(np.uint64) if back <= i else start
                 h = (h + b + np.uint64(1)) * _MIX[back]
                 if back in ORDERS:
                     hashes[ORDERS.index(back)] = h
-            hashes[ORDERS.index(0)] = word[:n]
+            hashes[ORDERS.index(0)] = word[own]
             hashes += np.arange(1, len(ORDERS) + 1, dtype=np.uint64)[:, None]
-            node, own = np.ones(n, np.uint64), self.bytes[i, :n]
-            for k in range(7, -1, -1):
-                mixed = hashes ^ (node * _MIX[0])
-                mixed *= _MIX[1]
-                mixed ^= mixed >> np.uint64(29)
-                mixed *= _MIX[2]
-                mixed >>= np.uint64(64 - slot_bits)
-                slots = mixed.view(np.int64)
-                bit = own >> k & 1
-                yield n, bit, slots
-                node = node << np.uint64(1) | bit
-            word[:n] = (word[:n] + own + np.uint64(1)) * _MIX[3]
+            yield rows, np.cumsum(new) - 1, _bits(hashes, column[own], slot_bits)
+            word[rows] = (word[rows] + column[rows] + np.uint64(1)) * _MIX[3]
+
+
+def _bits(hashes: np.ndarray, own: np.ndarray, slot_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each bit of bytes with these contexts: its values, and the slot of each predictor (predictor, byte)."""
+    node = np.ones(len(own), np.uint64)
+    for k in range(7, -1, -1):
+        mixed = hashes ^ (node * _MIX[0])
+        mixed *= _MIX[1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _MIX[2]
+        mixed >>= np.uint64(64 - slot_bits)
+        bit = own >> k & 1
+        yield bit, mixed.view(np.int64)
+        node = node << np.uint64(1) | bit
 
 
 def count_bits(words: list[bytes], slot_bits: int) -> np.ndarray:
     """How often each predictor's slots saw a zero and a one: (predictor, 2, slot); each word counts once."""
-    out, one = np.zeros((len(ORDERS), 2 << slot_bits), np.int32), np.int32(1)
+    out, words = np.zeros((len(ORDERS), 2 << slot_bits), np.int32), sorted(words)
     for at in range(0, len(words), 1 << 15):
-        for _, bit, slots in _Units(words[at : at + (1 << 15)]).bits(slot_bits):
-            place = slots + (bit.astype(np.int64) << slot_bits)
-            for k in range(len(ORDERS)):
-                np.add.at(out[k], place[k], one)
+        for _, which, bits in _Units(words[at : at + (1 << 15)]).steps(slot_bits):
+            times = np.bincount(which).astype(np.int32)
+            for bit, slots in bits:
+                place = slots + (bit.astype(np.int64) << slot_bits)
+                for k in range(len(ORDERS)):
+                    np.add.at(out[k], place[k], times)
     return out.reshape(len(ORDERS), 2, -1)
 
 
@@ -180,32 +197,34 @@ class Mixer:
     def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Online, one step for each bit of STEP_WORDS words: weights move by a damped Newton step, the map by its error.
 
-        Gives how many bits each gate and each cell of the map has learned from.
+        Gives how many bits each gate and each cell of the map has learned from. Faster if the words are in order.
         """
         met, met_cells = np.zeros(GATES), np.zeros(GATES * CELLS)
         order = np.random.default_rng(len(words)).permutation(len(words))
         weights, cells = self.weights.T.copy(), self.cells.ravel().copy()
         curve, each, step = np.ones_like(weights), np.arange(len(ORDERS))[:, None] * GATES, 0
         for at in range(0, len(order), STEP_WORDS):
-            units = _Units([words[i] for i in order[at : at + STEP_WORDS]])
-            for _, bit, slots in units.bits(self.slot_bits):
-                odds, gate = _found(self._own_tables(), slots + (bit.astype(np.int64) << self.slot_bits), slots)
-                mixed = _mixed(odds, gate, weights.astype(np.float32))
-                p = 1 / (1 + np.exp(-mixed))
-                error, spread = bit - p, p * (1 - p)
-                held = np.bincount(gate, minlength=GATES) + 4
-                met += held - 4
-                step += 1
-                places = (each + gate).ravel()
-                if step % 8 == 1:
-                    curve += 0.3 * (np.bincount(places, (spread * odds * odds).ravel(), weights.size).reshape(curve.shape) / held - curve)
-                weights += RATE * np.bincount(places, (error * odds).ravel(), weights.size).reshape(curve.shape) / held / (curve + 0.02)
-                place, part, refined = _refined(cells.astype(np.float32), gate, mixed)
-                wrong = bit - 1 / (1 + np.exp(-refined))
-                flat = np.bincount(place, wrong * (1 - part), len(cells)) + np.bincount(place + 1, wrong * part, len(cells))
-                near = np.bincount(place, 1 - part, len(cells)) + np.bincount(place + 1, part, len(cells))
-                met_cells += near
-                cells = np.clip(cells + REFINE_RATE * flat / (near + 4), -12, 12)
+            units = _Units([words[i] for i in np.sort(order[at : at + STEP_WORDS])])
+            for _, which, bits in units.steps(self.slot_bits):
+                times = np.bincount(which).astype(np.float32)
+                for bit, slots in bits:
+                    odds, gate = _found(self._own_tables(), slots + (bit.astype(np.int64) << self.slot_bits), slots)
+                    mixed = _mixed(odds, gate, weights.astype(np.float32))
+                    p = 1 / (1 + np.exp(-mixed))
+                    error, spread = (bit - p) * times, p * (1 - p) * times
+                    held = np.bincount(gate, times, GATES) + 4
+                    met += held - 4
+                    step += 1
+                    places = (each + gate).ravel()
+                    if step % 8 == 1:
+                        curve += 0.3 * (np.bincount(places, (spread * odds * odds).ravel(), weights.size).reshape(curve.shape) / held - curve)
+                    weights += RATE * np.bincount(places, (error * odds).ravel(), weights.size).reshape(curve.shape) / held / (curve + 0.02)
+                    place, part, refined = _refined(cells.astype(np.float32), gate, mixed)
+                    wrong, high = (bit - 1 / (1 + np.exp(-refined))) * times, part * times
+                    flat = np.bincount(place, wrong * (1 - part), len(cells)) + np.bincount(place + 1, wrong * part, len(cells))
+                    near = np.bincount(place, times - high, len(cells)) + np.bincount(place + 1, high, len(cells))
+                    met_cells += near
+                    cells = np.clip(cells + REFINE_RATE * flat / (near + 4), -12, 12)
         self.weights, self.cells = np.ascontiguousarray(weights.T), cells.reshape(GATES, CELLS)
         return met, met_cells
 
@@ -213,16 +232,21 @@ class Mixer:
         """Bits of each word; if `own`, as if the word itself had not been learned from."""
         out, tables = np.zeros(len(words)), self._own_tables() if own else self._tables()
         weights, cells = np.ascontiguousarray(self.weights.T, np.float32), self.cells.astype(np.float32).ravel()
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
         for at in range(0, len(words), 1 << 14):
-            units = _Units(words[at : at + (1 << 14)])
+            own_words = order[at : at + (1 << 14)]
+            units = _Units([words[i] for i in own_words.tolist()])
             bits = np.zeros(len(units.of))
-            for n, bit, slots in units.bits(self.slot_bits):
-                odds, gate = _found(tables, slots + (bit.astype(np.int64) << self.slot_bits) if own else slots, slots)
-                mixed = _mixed(odds, gate, weights)
-                refined = _refined(cells, gate, mixed)[2]
-                sign = bit * np.float32(2) - np.float32(1)
-                bits[:n] -= np.log2((1 / (1 + np.exp(-sign * mixed)) + 1 / (1 + np.exp(-sign * refined))) / 2)
-            np.add.at(out, units.of + at, bits)
+            for rows, which, each in units.steps(self.slot_bits):
+                cost = 0.0
+                for bit, slots in each:
+                    odds, gate = _found(tables, slots + (bit.astype(np.int64) << self.slot_bits) if own else slots, slots)
+                    mixed = _mixed(odds, gate, weights)
+                    refined = _refined(cells, gate, mixed)[2]
+                    sign = bit * np.float32(2) - np.float32(1)
+                    cost = cost - np.log2((1 / (1 + np.exp(-sign * mixed)) + 1 / (1 + np.exp(-sign * refined))) / 2).astype(np.float64)
+                bits[rows] += cost[which]
+            np.add.at(out, own_words[units.of], bits)
         return out
 
 
@@ -281,13 +305,26 @@ class _Vocabulary:
         self.parts, first = np.unique(part[self.by], return_index=True)
         self.cuts = np.append(first, len(self.by))
 
-    def pairs(self, parts: int) -> None:
-        """Keys of 48 bits of the distinct pairs, by range, and which of them each token has."""
+    def _pairs(self) -> np.ndarray:
+        """Each token's pair as a key of 48 bits."""
         pair = (self._former_hashes() * _MIX[1] ^ self.hashes[self.found]) * _MIX[0]
         pair ^= pair >> np.uint64(31)
         pair *= _MIX[2]
         pair >>= np.uint64(16)
-        self.keys, self.pair_of = np.unique(pair, return_inverse=True)
+        return pair
+
+    def pairs(self, parts: int) -> None:
+        """Keys of the distinct pairs, by range, and which of them each token has."""
+        self.keys, self.pair_of = _numbered(self._pairs())
+        self._deal(parts)
+
+    def counted_pairs(self, parts: int, learned: np.ndarray) -> np.ndarray:
+        """Keys of the distinct pairs, by range; gives how often each is learned from."""
+        self.keys, seen = _counted(self._pairs(), learned)
+        self._deal(parts)
+        return seen
+
+    def _deal(self, parts: int) -> None:
         part = (self.keys * _MIX[3] >> np.uint64(33)) % np.uint64(parts)
         self.pairs_by = np.argsort(_small(part, parts), kind="stable")
         self.pair_parts, first = np.unique(part[self.pairs_by], return_index=True)
@@ -320,6 +357,32 @@ def _each(texts: pa.LargeStringArray) -> list[bytes]:
     return [data[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique() of keys of 48 bits, with the inverse: values are sorted, their places in the low bits, which is faster than to sort places."""
+    low = np.uint64(max(16, (len(keys) - 1).bit_length()))
+    mixed = keys << np.uint64(16) >> low << low
+    mixed |= np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    place = (mixed & ((np.uint64(1) << low) - np.uint64(1))).view(np.int64)
+    own = keys[place]
+    if (own[1:] < own[:-1]).any():  # keys that differ in the bits that were cut off
+        return np.unique(keys, return_inverse=True)
+    new = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int64)
+    which[place] = np.cumsum(new) - 1
+    return own[new], which
+
+
+def _counted(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of 48 bits in order, and how often each is learned from."""
+    mixed = keys << np.uint64(1) | learned
+    mixed.sort()
+    own = mixed >> np.uint64(1)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[first], np.add.reduceat(mixed & np.uint64(1), first)
+
+
 def _small(part: np.ndarray, parts: int) -> np.ndarray:
     """Numbers below parts, in 16 bits where they fit: those are sorted faster."""
     return part.astype(np.uint16) if parts <= 1 << 16 else part
@@ -357,9 +420,13 @@ class Gates:
 
     def bits(self, experts: np.ndarray, gate: np.ndarray, former: np.ndarray) -> np.ndarray:
         """log2 of the probability that all experts together give each token."""
-        most, shares = _scaled(experts)
-        shares *= self.weights(gate, former)
-        return most + np.log2(shares[0] + shares[1] + shares[2])
+        out = np.empty(len(gate))
+        for at in range(0, len(gate), CHUNK_TOKENS):
+            own = slice(at, at + CHUNK_TOKENS)
+            most, shares = _scaled(experts[own])
+            shares *= self.weights(gate[own], former[own])
+            out[own] = most + np.log2(shares[0] + shares[1] + shares[2])
+        return out
 
     def learn(self, experts: np.ndarray, gate: np.ndarray, former: np.ndarray) -> None:
         """Online, GATE_STEP tokens at a time: each weight moves towards the expert's share in the tokens' probability."""
@@ -405,7 +472,11 @@ def _scaled(experts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _experts(costs: np.ndarray, words: np.ndarray, pairs: np.ndarray, formers: np.ndarray, n: int) -> np.ndarray:
     """log2 of the probability that each expert gives each token: (token, expert)."""
     with np.errstate(divide="ignore"):
-        return np.stack([-costs, np.log2(words / max(n, 1)), np.log2(pairs / np.maximum(formers, 1))], 1)
+        out = np.empty((3, len(costs)))
+        np.negative(costs, out=out[0])
+        np.log2(np.divide(words, max(n, 1), out=out[1]), out=out[1])
+        np.log2(np.divide(pairs, np.maximum(formers, 1), out=out[2]), out=out[2])
+        return out.T
 
 
 def _gates_of(experts: np.ndarray, formers: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -444,11 +515,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
 
     def ask(rows: pa.Table) -> pa.Table:
         v, own = _Vocabulary(rows, text, parts), rows.column("_bucket")[0].as_py()
-        v.pairs(parts)
         learned = np.repeat(v.learned, v.sizes)
         seen = np.bincount(v.found[learned], minlength=len(v.words)).astype(np.uint32)
         out = [(0, p, own, b" ".join([v.words[k] for k in which.tolist()]), seen[which].tobytes()) for p, which in v.word_runs()]
-        seen = np.bincount(v.pair_of[learned], minlength=len(v.keys)).astype(np.uint32)
+        seen = v.counted_pairs(parts, learned).astype(np.uint32)
         out += [(1, p, own, _packed(v.keys[which]), seen[which].tobytes()) for p, which in v.pair_runs()]
         del v
         trim()
@@ -460,7 +530,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
         asked = [_unpacked(b) for b in pairs.column("keys").to_pylist()]
         out = []
         if asked:
-            which = np.unique(np.concatenate(asked), return_inverse=True)[1]
+            which = _numbered(np.concatenate(asked))[1]
             counts = np.bincount(which, np.concatenate([np.frombuffer(b, np.uint32) for b in pairs.column("train").to_pylist()]))
             found = np.split(np.minimum(counts, (1 << 32) - 1).astype(np.uint32)[which], np.cumsum([*map(len, asked)])[:-1])
             out = [(1, p, bucket, None, x.tobytes()) for p, bucket, x in zip(pairs.column("p").to_pylist(), pairs.column("bucket").to_pylist(), found, strict=True)]
@@ -529,10 +599,14 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
             formers = counts[former] - 1
             experts = _experts(costs[tokens], counts[tokens] - 1, pairs[v.pair_of[learned]] - 1, formers, n - 1)
             gate, slots = _gates_of(experts, formers, last - sizes), v.former_slots()[learned]
-            found += zip(v.keys_of[v.learned].tolist(), *(np.split(x, last[:-1]) for x in (experts, gate, slots)), strict=True)
-            del v, counts, costs, pairs
-        found.sort(key=lambda x: x[0])
-        experts, gate, slots = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3)) if found else (np.empty((0, 3)), np.empty(0, np.int64), np.empty(0, np.int64))
+            found.append((v.keys_of[v.learned], sizes, experts, gate, slots))
+            del v, counts, costs, pairs, formers, tokens, former, learned
+        keys, sizes, experts, gate, slots = found[0] if len(found) == 1 else map(np.concatenate, zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 3)), np.empty(0, np.int64), np.empty(0, np.int64))
+        if len(found) > 1:  # the texts of one bucket are in order
+            order, first = np.argsort(keys, kind="stable"), np.cumsum(sizes) - sizes
+            sizes = sizes[order]
+            place = np.repeat(first[order] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(gate))
+            experts, gate, slots = experts[place], gate[place], slots[place]
         del found
         gates.learn(experts, gate, slots)
         met = np.bincount(gate, minlength=LEVELS * HISTORY), np.bincount(slots, minlength=FORMER_SLOTS)

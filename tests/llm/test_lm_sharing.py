@@ -1,0 +1,54 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from codexa.llm import lm_mix
+from tests.llm.conftest import prose
+
+
+def words_of(seed):
+    words = {w.encode() for w in prose(seed, 400).split()} | {b"", b"x" * 39, b"x" * 40, b"x" * 41, b"x" * 100, b"x" * 100 + b"y", b"\x00", b"\x00\x01", b"\xc3\xa9"}
+    return random.Random(seed).sample(sorted(words), len(words))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_words_that_begin_alike_share_lookups(monkeypatch, own):
+    words, found, looked_up = words_of(7), lm_mix._found, []
+    mixer = lm_mix.Mixer.fresh(lm_mix.count_bits(words, 14))
+    mixer.learn(sorted(words))
+    alone = np.array([mixer.cost([w], own)[0] for w in words])
+    monkeypatch.setattr(lm_mix, "_found", lambda tables, places, slots: looked_up.append(slots.shape[1]) or found(tables, places, slots))
+    assert mixer.cost(words, own) == pytest.approx(alone, rel=1e-9)
+    assert sum(looked_up) < 0.7 * 8 * sum(len(w) + 1 for w in words)
+
+
+def test_order_of_words_changes_no_counts():
+    words = words_of(8)
+    each = sum(lm_mix.count_bits([w], 12) for w in words)
+    assert np.array_equal(lm_mix.count_bits(words, 12), each) and np.array_equal(lm_mix.count_bits(words * 2, 12), 2 * each)
+
+
+def test_order_of_words_changes_no_learning():
+    """A step learns from its words at once; shuffled words share fewer lookups."""
+    words = words_of(9)
+    counts = lm_mix.count_bits(words, 14)
+    a, b = lm_mix.Mixer.fresh(counts), lm_mix.Mixer.fresh(counts)
+    for x, y in zip(a.learn(sorted(words)), b.learn(words), strict=True):
+        assert x == pytest.approx(y, rel=1e-4)
+    assert a.weights == pytest.approx(b.weights, abs=1e-4) and a.cells == pytest.approx(b.cells, abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [1, 5, 1 << 16, 200_000])
+def test_distinct_keys(n):
+    rng = np.random.default_rng(n)
+    for high in (3, 1000, 1 << 48):
+        keys = rng.integers(0, high, n, np.uint64)
+        learned = rng.random(n) < 0.5
+        want, which, held = np.unique(keys, return_inverse=True, return_counts=True)
+        got = lm_mix._numbered(keys)
+        assert np.array_equal(got[0], want) and np.array_equal(got[1], which)
+        own, seen = lm_mix._counted(keys, learned)
+        assert np.array_equal(own, want) and np.array_equal(seen, np.bincount(which, learned, len(held)))
