@@ -432,17 +432,21 @@ class Gates:
         """Online, GATE_STEP tokens at a time: each weight moves towards the expert's share in the tokens' probability."""
         shares, by_level, by_former = _scaled(experts)[1], self.by_level.T.copy(), self.by_former.T.copy()
         each = np.arange(3)[:, None]
+        tables = [(by_level, gate, GATE_RATE, 4), (by_former, former, FORMER_RATE, 8)]
         for at in range(0, len(gate), GATE_STEP):
             own = slice(at, at + GATE_STEP)
-            weights = np.exp(by_level.take(gate[own], 1) + by_former.take(former[own], 1))
+            weights = by_level.take(gate[own], 1)
+            weights += by_former.take(former[own], 1)
+            np.exp(weights, out=weights)
             weights /= weights[0] + weights[1] + weights[2]
             wrong = shares[:, own] * weights
             wrong /= wrong[0] + wrong[1] + wrong[2]
             wrong -= weights
-            for table, which, rate, held in ((by_level, gate[own], GATE_RATE, 4), (by_former, former[own], FORMER_RATE, 8)):
+            for table, which, rate, held in tables:
                 size = table.shape[1]
-                moved = np.bincount((each * size + which).ravel(), wrong.ravel(), table.size).reshape(table.shape)
-                table += rate * moved / (np.bincount(which, minlength=size) + held)
+                moved = np.bincount((each * size + which[own]).ravel(), wrong.ravel(), table.size).reshape(table.shape)
+                moved *= rate / (np.bincount(which[own], minlength=size) + held)
+                table += moved
         self.by_level, self.by_former = np.ascontiguousarray(by_level.T), np.ascontiguousarray(by_former.T)
         np.clip(self.by_level, -12, 12, out=self.by_level)
         np.clip(self.by_former, -6, 6, out=self.by_former)
@@ -547,7 +551,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
     pairs = blocks.where("kind = 1").select(F.lit(1).alias("kind"), "bucket", "p", F.col("train").alias("counts"), F.lit(None).cast("binary").alias("costs"))
 
     def total(rows: pa.Table) -> pa.Table:
-        words, counts = _summed(rows)
+        words, counts, _ = _summed(rows)
         known = np.flatnonzero(counts)
         out = [(b" ".join([words[k] for k in known.tolist()]), int(counts.sum()), len(known))]
         del words, counts, known
@@ -559,13 +563,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
     model = _spelling(vocabulary.where("v > 0").select("words"), distinct, spelling_share, slot_bits)
 
     def answer(rows: pa.Table) -> pa.Table:
-        words, counts = _summed(rows)
-        cost, place = model.value.cost(words).astype(np.float32), {w: i for i, w in enumerate(words)}
-        out = []
-        for p, bucket, blob in zip(*(rows.column(c).to_pylist() for c in ("p", "bucket", "keys")), strict=True):
-            which = np.fromiter(map(place.__getitem__, _words(blob)), np.int64)
-            out.append((0, bucket, p, counts[which].tobytes(), cost[which].tobytes()))
-        del words, counts, cost, place
+        words, counts, places = _summed(rows)
+        cost = model.value.cost(words).astype(np.float32)
+        out = [(0, bucket, p, counts[which].tobytes(), cost[which].tobytes()) for p, bucket, which in zip(rows.column("p").to_pylist(), rows.column("bucket").to_pylist(), places, strict=True)]
+        del words, counts, cost, places
         trim()
         return _table(out, ANSWERS)
 
@@ -589,7 +590,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", id_col: str = "doc
         """What one shard learns of the gates, and how many tokens each of their contexts had."""
         gates, found = Gates.fresh(), []
         for own in np.unique(rows.column("_bucket").to_numpy()).tolist() if n > 1 else ():
-            v, counts, costs, pairs = known(rows.filter(pa.compute.equal(rows.column("_bucket"), own)), answers.filter(pa.compute.equal(answers.column("bucket"), own)))
+            one = split == 1  # then the shard is the bucket
+            v, counts, costs, pairs = known(rows, answers) if one else known(rows.filter(pa.compute.equal(rows.column("_bucket"), own)), answers.filter(pa.compute.equal(answers.column("bucket"), own)))
             learned, sizes = np.repeat(v.learned, v.sizes), v.sizes[v.learned]
             if not len(sizes):
                 continue
@@ -650,13 +652,15 @@ def _words(blob: bytes) -> list[bytes]:
     return blob.split(b" ")
 
 
-def _summed(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    """Distinct words of all blocks with their counts."""
+def _summed(rows: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Distinct words of all blocks with their counts, and which of them each block has."""
     place: dict[bytes, int] = {}
-    take = place.setdefault
-    which = [np.fromiter((take(w, len(place)) for w in _words(b)), np.int64) for b in rows.column("keys").to_pylist()]
+    take, which = place.setdefault, []
+    for blob in rows.column("keys"):
+        own = _words(blob.as_py())
+        which.append(np.fromiter((take(w, len(place)) for w in own), np.int32, len(own)))
     train = [np.frombuffer(b, np.uint32) for b in rows.column("train").to_pylist()]
-    return [*place], np.bincount(np.concatenate(which), np.concatenate(train), len(place)).astype(np.int64)
+    return [*place], np.bincount(np.concatenate(which), np.concatenate(train), len(place)).astype(np.int64), which
 
 
 def _salted(keyed: DataFrame, text: str) -> tuple[DataFrame, int]:
@@ -664,12 +668,13 @@ def _salted(keyed: DataFrame, text: str) -> tuple[DataFrame, int]:
 
     Salts are numbers of rows, which another reading may give to other rows, so rows that have some are written first.
     """
-    total, size = keyed.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
-    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > max(total // HOT_KEYS, 64))
-    hot = [r["_key"] for r in counts.select("_key").collect()]  # fewer than HOT_KEYS
+    counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes"))
+    total, size, most = (x or 0 for x in counts.agg(F.sum("rows"), F.sum("bytes"), F.max("rows")).first())
+    least = max(total // HOT_KEYS, 64)
+    hot = [r["_key"] for r in counts.where(F.col("rows") > least).select("_key").collect()] if most > least else []  # fewer than HOT_KEYS
     if not hot:
-        return keyed.withColumn("_salt", F.lit(None).cast("long")), size or 0
-    return written(keyed.withColumn("_salt", F.when(F.col("_key").isin(hot), F.monotonically_increasing_id())), "salted"), size or 0
+        return keyed.withColumn("_salt", F.lit(None).cast("long")), size
+    return written(keyed.withColumn("_salt", F.when(F.col("_key").isin(hot), F.monotonically_increasing_id())), "salted"), size
 
 
 def _spelling(vocabulary: DataFrame, distinct: int, share: float, most_bits: int) -> Broadcast[Mixer]:
