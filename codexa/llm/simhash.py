@@ -114,7 +114,8 @@ def far_links(members: DataFrame, heavy: int = HEAVY) -> DataFrame:
     probe = index.select(F.col("fp").alias("fp2"), F.col("comp").alias("comp2"), "h", "v", F.explode(F.expr(_bits(32, 1))).alias("m"))
     probe = probe.select("fp2", "comp2", F.expr("(v ^ m) | shiftleft(cast(h AS long), 32)").alias("key"))
     apart = (F.col("comp") != F.col("comp2")) & (F.expr("bit_count(fp ^ fp2)") <= RADIUS)
-    links = light.join(probe, (light.key == probe.key) & apart).select(*_links("comp", "comp2"))
+    # Spark sizes what explode gives by its input, so it would broadcast the probes of a few hundred thousand fingerprints.
+    links = light.hint("merge").join(probe.hint("merge"), (light.key == probe.key) & apart).select(*_links("comp", "comp2"))
     if has:
         rest = hot_safe_join(index, crowded, "key", counts).where("crowded").select("fp", "comp").distinct()
         balls = rest.select("fp", "comp", F.explode(F.expr(_bits(64, 2))).alias("m")).select("comp", F.expr("fp ^ m").alias("variant"), F.expr("bit_count(m)").alias("r"))

@@ -56,6 +56,15 @@ def test_fingerprints(odd_rows):
     assert simhash.fingerprint("É A") == signed(plain_fingerprint("É a")) and simhash.fingerprint(None) == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_probes_are_not_broadcast(spark):
+    links = simhash.far_links(spark.createDataFrame([(7, 7), (7 << 40, 7 << 40)], "fp long, comp long"))
+    assert "SortMergeJoin" in plan_of(links) and "Broadcast" not in plan_of(links)
+
+
 @pytest.mark.parametrize("heavy", [simhash.HEAVY, 2, 0])
 def test_components_of_planted_fingerprints(spark, heavy):
     rng = random.Random(11)
