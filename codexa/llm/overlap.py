@@ -150,6 +150,17 @@ def prefix(hashes: np.ndarray, frequencies: np.ndarray, least: tuple[int, int] =
     return ordered[: len(hashes) - -(-least[0] * len(hashes) // least[1]) + 1]
 
 
+def _meeting(held: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of prefixes (shingle, place, key, n, comp, top) that meet on a shingle and can be alike; top: the shingle's largest component."""
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(least[1] / least[0]) * (1 - 1e-9)).cast("int")
+    other = held.select("shingle", size.alias("size"), *[F.col(c).alias(f"{c}2") for c in ("place", "key", "n", "comp")])
+    one = held.where("comp <> top").withColumn("size", F.explode(F.sequence(size - 1, size + 1)))
+    # One of a pair is outside the shingle's largest component, and the shingles behind the common one must suffice.
+    can = F.expr(f"comp <> comp2 AND {sum(least)} * least(n - place, n2 - place2) >= {least[0]} * (n + n2)")
+    # Spark sizes what explode gives by its input, and would broadcast it.
+    return one.hint("merge").join(other.hint("merge"), ["shingle", "size"]).where(can).select(*_links("key", "key2")).distinct()
+
+
 def _by_prefixes(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Pairs (u, v) of sets (key, n, comp, shingles) in different components that can be alike: no pair that is alike is left out.
 
@@ -170,12 +181,7 @@ def _by_prefixes(apart: DataFrame, least: tuple[int, int]) -> DataFrame:
     each = first.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("rows"))
     several = written(each.groupBy("shingle").agg(F.sum("rows").alias("rows"), F.max_by("comp", "rows").alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1"), "shared")
     held = written(hot_safe_join(first, several.select("shingle", "top"), "shingle", several.select("shingle", "rows"), "inner"), "held")
-    size = F.floor(F.log(F.col("n").cast("double")) / math.log(least[1] / least[0]) * (1 - 1e-9)).cast("int")
-    other = held.select("shingle", size.alias("size"), *[F.col(c).alias(f"{c}2") for c in ("place", "key", "n", "comp")])
-    one = held.where("comp <> top").withColumn("size", F.explode(F.sequence(size - 1, size + 1)))
-    # One of a pair is outside the shingle's largest component, and the shingles behind the common one must suffice.
-    can = F.expr(f"comp <> comp2 AND {sum(least)} * least(n - place, n2 - place2) >= {least[0]} * (n + n2)")
-    pairs = written(one.join(other, ["shingle", "size"]).where(can).select(*_links("key", "key2")).distinct(), "pairs")
+    pairs = written(_meeting(held, least), "pairs")
     discard(first, several, held)
     return pairs
 

@@ -81,3 +81,11 @@ def test_odd_tables(odd, odd_rows, empty, clashing):
 def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert shown(overlap.near_duplicates(docs, C.NEAR_SEEDS)) == plain_groups([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_prefixes_are_not_broadcast(spark):
+    held = spark.createDataFrame([(1, 0, 1, 9, 1, 2), (1, 0, 2, 9, 2, 2)], "shingle long, place long, key long, n long, comp long, top long")
+    pairs = overlap._meeting(held, overlap.LEAST)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
