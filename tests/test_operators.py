@@ -274,3 +274,15 @@ def test_only_voices_that_are_asked_for_are_paired_with_verses(spark):
     plan = queries()["excerpt_parts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     pairs = re.findall(r"\(code#\d+L \+ (code#\d+L)\)", plan)
     assert pairs and all(re.search(rf"Join LeftSemi, \(+({re.escape(code)} = voice#\d+L|voice#\d+L = {re.escape(code)}|alias#\d+ = voice_alias#\d+)", plan) for code in pairs)
+
+
+def test_gaps_are_found_by_blocks_and_shown_before_voices_repeat_them(spark, small, monkeypatch):
+    monkeypatch.setattr(content, "BLOCK", 1)
+    asked = spark.createDataFrame([(1, 11), (1, 12)], "translation int, voice bigint")
+    voices = spark.createDataFrame([(11, "va"), (12, "vb")], "code bigint, alias string")
+    have = small.translation_books, small.translation_verses, small.translations, voices
+    plain = content.chapters_without_audio(asked, *have, small.audio_files)
+    shown = content.chapters_without_audio(asked, *have, small.audio_files, shown=lambda c: F.array_join(c.cast("array<string>"), "+"))
+    assert {(r.voice, r.book_number): r.chapters_without_audio for r in shown.collect()} == {(r.voice, r.book_number): "+".join(map(str, r.chapters_without_audio)) for r in plain.collect()}
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan.split("Join")[0].replace("array_join(cast([]", "")
